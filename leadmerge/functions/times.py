@@ -8,38 +8,44 @@ from pyspark.sql import Column, functions as F
 
 from leadmerge.functions.text import blank_to_null
 
-# Shapes a spreadsheet timestamp comes in, besides ISO, and how to read them.
-# Slashed dates are month first unless they start with the year.
-_TIME = r"( +\d{1,2}:\d{2}(:\d{2})?)?"
-_SHAPES = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME + "$", "M/d/yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} +\d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} +\d{1,2}:\d{2}:\d{2} [AP]M$", "M/d/yyyy h:mm:ss a"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}" + _TIME + "$", "yyyy/M/d[ H:mm[:ss]]"),
-    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}" + _TIME + "$", "MMM d yyyy[ H:mm[:ss]]"),
-    (r"^[A-Z][a-z]{3,} \d{1,2} \d{4}" + _TIME + "$", "MMMM d yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}" + _TIME + "$", "d MMM yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}" + _TIME + "$", "d MMMM yyyy[ H:mm[:ss]]"),
-)
+# Shapes a spreadsheet timestamp comes in. Slashed dates are month first unless they
+# start with the year; month names may follow a weekday and be cut to three letters.
 _ISO = r"^\d{4}(-\d{1,2}(-\d{1,2})?)?([T ].*)?$"
+_CLOCK = r"(?:,? +(\d{1,2}:\d{2}(?::\d{2})?))?"
+_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK + "$"
+_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK + "$"
+_HALF_DAY = r"^\d{1,2}/\d{1,2}/\d{4},? +\d{1,2}:\d{2}(:\d{2})? [AP]M$"
+_WEEKDAY = r"^(?:[A-Z][a-z]{2,8}, )?"
+_NAME_FIRST = _WEEKDAY + r"([A-Z][a-z]{2})[a-z]* +(\d{1,2}),? +(\d{4})" + _CLOCK + "(?: GMT)?$"
+_DAY_FIRST = _WEEKDAY + r"(\d{1,2}) +([A-Z][a-z]{2})[a-z]* +(\d{4})" + _CLOCK + "(?: GMT)?$"
 
 
 def tolerant_timestamp(c: Column) -> Column:
     """Any accepted spelling of a time to a UTC instant, else null.
 
-    The shape of the text picks one parser, so a value is parsed once instead of
-    failing through a list of formats.
+    The shape of the text picks one rewrite and one parser, so a value is parsed
+    once instead of failing through a list of formats.
     """
     text = blank_to_null(c)
-    # Named months may carry a weekday, a comma and a trailing "GMT".
-    plain = F.regexp_replace(text, r"^[A-Z][a-z]{2,8}, |,| GMT$", "")
-    parsed = F.when(text.rlike(_ISO), text.try_cast("timestamp"))
-    for shape, fmt in _SHAPES:
-        parsed = parsed.when(
-            plain.rlike(shape),
-            F.try_to_timestamp(F.regexp_replace(plain, " +", " "), F.lit(fmt)),
+    rewrite = lambda shape, form: F.regexp_replace(text, shape, form)
+    named = "MMM d yyyy[ H:mm[:ss]]"
+    return (
+        F.when(text.rlike(_ISO), text.try_cast("timestamp"))
+        .when(text.rlike(_MONTH_FIRST), rewrite(_MONTH_FIRST, "$3-$1-$2 $4").try_cast("timestamp"))
+        .when(text.rlike(_YEAR_FIRST), rewrite(_YEAR_FIRST, "$1-$2-$3 $4").try_cast("timestamp"))
+        .when(
+            text.rlike(_HALF_DAY),
+            F.try_to_timestamp(rewrite(",? +", " "), F.lit("M/d/yyyy h:mm[:ss] a")),
         )
-    return parsed
+        .when(
+            text.rlike(_NAME_FIRST),
+            F.try_to_timestamp(F.rtrim(rewrite(_NAME_FIRST, "$1 $2 $3 $4")), F.lit(named)),
+        )
+        .when(
+            text.rlike(_DAY_FIRST),
+            F.try_to_timestamp(F.rtrim(rewrite(_DAY_FIRST, "$2 $1 $3 $4")), F.lit(named)),
+        )
+    )
 
 
 def parse_cutoff(text: str | None) -> Column:

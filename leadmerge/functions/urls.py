@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -11,13 +12,21 @@ from leadmerge.contract import (
 )
 from leadmerge.functions.text import blank_to_null
 
+_ALL = 1 << 30  # longer than any text
+
+# Optional scheme, any slashes, optional user info: what comes before the host.
+_LEAD = r"^(?i:https?://)?[/\\]*(?:[^/\\?#]*@)?"
 # A host without characters that are forbidden in host names, then a valid port.
 _HOST = (
-    r"^(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#/<>?@\[\\\]^|%:\x7f]+)"
-    r"(?::0*(?:[0-5]?\d{0,4}|6[0-4]\d{3}|65[0-4]\d{2}|655[0-2]\d|6553[0-5]))?$"
+    _LEAD
+    + r"(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#/<>?@\[\\\]^|%:\x7f]+)"
+    + r"(?::0*(?:[0-5]?\d{0,4}|6[0-4]\d{3}|65[0-4]\d{2}|655[0-2]\d|6553[0-5]))?(?=[/\\?#]|$)"
 )
-# Characters a URL path spells as %XX.
-_PATH_ESCAPES = r"""[^\x21\x23-\x3b\x3d\x40-\x5d\x5f\x61-\x7a\x7c\x7e]"""
+_PATH = _LEAD + r"[^/\\?#]*([^?#]*)"
+# Characters a URL path spells as %XX, and segments that move up or stay.
+_ESCAPED = r"""[^\x21\x23-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"""
+_STAY, _UP = r"^(\.|%2[eE])$", r"^(\.|%2[eE]){2}$"
+_UNUSUAL = _ESCAPED + r"|\\|/(\.|%2[eE]){1,2}(/|$)"
 
 
 def canonical_host(
@@ -27,53 +36,63 @@ def canonical_host(
 ) -> Column:
     """Mobile and regional hosts of one site become one host.
 
-    The suffix test is a plain text suffix, not a domain-label test.
+    The suffix test is a plain text suffix, not a domain-label test. One pattern
+    per canonical host, so the host expression occurs once in the plan.
     """
-    name = F.lower(host)
-    rule = F.when(name.isin(*short_hosts), name)
+    kept = "|".join(re.escape(h) for h in short_hosts)
+    guard = f"(?!(?:{kept})$)" if kept else ""
+    groups: dict[str, list[str]] = {}
     for suffix, canonical in suffixes:
-        rule = rule.when(name.endswith(suffix), F.lit(canonical))
-    return rule.otherwise(name)
+        groups.setdefault(canonical, []).append(re.escape(suffix))
+    name = F.lower(host)
+    for canonical, group in groups.items():
+        name = F.regexp_replace(name, f"^{guard}.*(?:{'|'.join(group)})$", canonical)
+    return name
+
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once (a one-element transform)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def _escape_path(path: Column) -> Column:
-    """Percent-encode what a browser would; rows that need none pass through."""
+
+def _rewrite_path(path: Column) -> Column:
+    """Back slashes turned, characters escaped, dot segments resolved."""
     escaped = F.array_join(
         F.transform(
-            F.split(path, ""),
+            F.split(F.translate(path, "\\", "/"), ""),
             lambda ch: F.when(
-                ch.rlike(_PATH_ESCAPES), F.regexp_replace(F.hex(ch), "(..)", "%$1")
+                ch.rlike(_ESCAPED), F.regexp_replace(F.hex(ch), "(..)", "%$1")
             ).otherwise(ch),
         ),
         "",
     )
-    return F.when(path.rlike(_PATH_ESCAPES), escaped).otherwise(path)
-
-
-def _resolve_dots(path: Column) -> Column:
-    """Apply ``.`` and ``..`` segments; rows without them pass through."""
-    one, two = r"^(\.|%2[eE])$", r"^(\.|%2[eE]){2}$"
     folded = F.aggregate(
-        F.split(F.substring(path, 2, 1 << 30), "/"),
+        F.split(F.substring(escaped, 2, _ALL), "/"),
         F.array().cast("array<string>"),
         lambda kept, part: F.when(
-            part.rlike(two), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+            part.rlike(_UP), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
         )
-        .when(part.rlike(one), kept)
+        .when(part.rlike(_STAY), kept)
         .otherwise(F.array_append(kept, part)),
     )
-    resolved = F.concat(F.lit("/"), F.array_join(folded, "/"))
-    return F.when(path.rlike(r"/(\.|%2[eE]){1,2}(/|$)"), resolved).otherwise(path)
+    return F.concat(F.lit("/"), F.array_join(folded, "/"))
 
 
-def _query_value(pairs: Column, name: str) -> Column:
-    """First value of a parameter, decoded, lower case; empty counts as absent."""
-    hit = F.try_element_at(
-        F.filter(pairs, lambda p: (p == name) | p.startswith(name + "=")), F.lit(1)
+def _comparable_path(path: Column) -> Column:
+    """Rewritten where needed, no trailing slashes, lower case, at least ``/``."""
+    plain = _bind(
+        path, lambda p: F.when((p != "") & p.rlike(_UNUSUAL), _rewrite_path(p)).otherwise(p)
     )
-    raw = hit.substr(F.lit(len(name) + 2), F.length(hit))
+    return F.regexp_replace(F.lower(F.rtrim(plain, F.lit("/"))), "^$", "/")
+
+
+def _param(text: Column, name: str) -> Column:
+    """``&name=value`` for the first value of a parameter, decoded and lower case;
+    empty text if it is absent or has no value."""
+    first = r"^[^?#]*\?(?:[^#]*?&)??" + re.escape(name) + r"(?:=([^&#]*))?(?=&|#|$)"
+    raw = F.regexp_extract(text, first, 1)
     decoded = F.coalesce(F.try_url_decode(raw), F.translate(raw, "+", " "))
-    return F.nullif(F.lower(decoded), F.lit(""))
+    return F.regexp_replace(F.lower(decoded), r"(?s)^(?=.)", f"&{name}=")
 
 
 def normalize_permalink(
@@ -88,32 +107,12 @@ def normalize_permalink(
     and values are lower-cased. Not covered: international domain names and
     numeric host notations are kept as written.
     """
-    text = blank_to_null(url)
-    text = F.when(text.rlike(r"(?i)^https?://"), text).otherwise(
-        F.concat(F.lit("https://"), text)
-    )
-    rest = F.regexp_replace(F.translate(text, "\t\n\r", ""), r"(?i)^https?:[/\\]*", "")
-    rest = F.substring_index(rest, "#", 1)
-    before_query = F.substring_index(rest, "?", 1)
-    query = rest.substr(F.length(before_query) + 2, F.length(rest))
-    location = F.translate(before_query, "\\", "/")
-    authority = F.substring_index(location, "/", 1)
-    path = location.substr(F.length(authority) + 1, F.length(location))
-    path = F.rtrim(_resolve_dots(_escape_path(path)), F.lit("/"))
-    path = F.when(path == "", F.lit("/")).otherwise(F.lower(path))
-    host = F.nullif(
-        F.regexp_extract(F.substring_index(authority, "@", -1), _HOST, 1), F.lit("")
-    )
-    pairs = F.split(query, "&")
-    kept = F.concat_ws(
-        "&",
-        *[
-            F.concat(F.lit(name + "="), _query_value(pairs, name))
-            for name in sorted(params, key=lambda p: p + "=")
-        ],
-    )
-    suffix = F.when((query != "") & (kept != ""), F.concat(F.lit("?"), kept)).otherwise("")
-    return F.concat(canonical_host(host, short_hosts, suffixes), path, suffix)
+    text = F.translate(blank_to_null(url), "\t\n\r", "")
+    host = canonical_host(F.regexp_extract(text, _HOST, 1), short_hosts, suffixes)
+    path = _comparable_path(F.regexp_extract(text, _PATH, 1))
+    kept = F.concat(F.lit(""), *[_param(text, name) for name in sorted(params, key=lambda p: p + "=")])
+    query = F.when(text.contains("?"), F.regexp_replace(kept, "^&", "?")).otherwise("")
+    return F.concat(F.nullif(host, F.lit("")), path, query)
 
 
 def extract_post_id(

@@ -64,7 +64,8 @@ def after_outcome(
 
     ``handled`` has ``outcome``, ``decision``, ``attempt_count`` and ``error_text``.
     A failed job is retried with linear back-off until its attempts are used up;
-    then it is FAILED and its lead goes to review.
+    then it is FAILED and its lead goes to review. ``lead_status`` is null where the
+    lead stays as it is.
     """
     failed = F.col("outcome") == "failed"
     dead = failed & (F.col("attempt_count") >= max_attempts)
@@ -77,7 +78,6 @@ def after_outcome(
     )
     lead_status = (
         F.when(dead, F.lit("REVIEW_REQUIRED"))
-        .when(retry, F.lit("VALIDATING"))
         .when(F.col("outcome") == "decided", F.col("decision"))
         .when(F.col("outcome") == "rejected", F.lit("REJECTED"))
     )
