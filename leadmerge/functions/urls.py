@@ -15,7 +15,8 @@ from leadmerge.functions.text import blank_to_null
 _ALL = 1 << 30  # longer than any text
 
 # Optional scheme, any slashes, optional user info: what comes before the host.
-_LEAD = r"^(?i:https?://)?[/\\]*(?:[^/\\?#]*@)?"
+# Possessive: a recognised part is never given back.
+_LEAD = r"^(?i:https?://)?+[/\\]*+(?:[^/\\?#]*@)?+"
 # A host without characters that are forbidden in host names, then a valid port.
 _HOST = (
     _LEAD

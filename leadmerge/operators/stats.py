@@ -112,7 +112,7 @@ def validation_counts(status: DataFrame, jobs: DataFrame, results: DataFrame) ->
         results.agg(
             F.count_if(F.col("layer") == "deterministic").alias("rejected_before_ai"),
             F.count_if(F.col("layer") == "ai").alias("ai_calls"),
-            F.coalesce(F.sum(F.col("ai_cost_usd").cast("double")), F.lit(0.0)).alias("total_ai_cost_usd"),
+            F.coalesce(F.sum("ai_cost_usd").cast("double"), F.lit(0.0)).alias("total_ai_cost_usd"),
         ),
         latency(results, jobs),
     )
