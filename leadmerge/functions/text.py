@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -19,6 +20,16 @@ SPACES = (
 )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row.
+
+    A one-element transform. It keeps long rules out of the generated code of the
+    surrounding projection: a generated method beyond the JIT's size limit would run
+    interpreted, which costs far more than the lambda does.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def jtrim(c: Column) -> Column:
     """Strip all Unicode white space from both ends."""
     return F.btrim(c, F.lit(SPACES))

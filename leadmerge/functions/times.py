@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, functions as F
 
-from leadmerge.functions.text import blank_to_null
+from leadmerge.functions.text import bind, jtrim
 
 # Shapes a spreadsheet timestamp comes in. Slashed dates are month first unless they
 # start with the year; month names may follow a weekday and be cut to three letters.
@@ -26,7 +26,10 @@ def tolerant_timestamp(c: Column) -> Column:
     The shape of the text picks one rewrite and one parser, so a value is parsed
     once instead of failing through a list of formats.
     """
-    text = blank_to_null(c)
+    return bind(jtrim(c), _parsed)
+
+
+def _parsed(text: Column) -> Column:
     rewrite = lambda shape, form: F.regexp_replace(text, shape, form)
     named = "MMM d yyyy[ H:mm[:ss]]"
     return (

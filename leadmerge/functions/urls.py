@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 from leadmerge.contract import (
     CONTENT_PARAMS, HOST_SUFFIXES, POST_ID_PATTERNS, POST_TOKEN, SHORT_LINK_HOSTS,
 )
-from leadmerge.functions.text import blank_to_null
+from leadmerge.functions.text import bind, jtrim
 
 _ALL = 1 << 30  # longer than any text
 
@@ -51,11 +51,6 @@ def canonical_host(
     return name
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once (a one-element transform)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _rewrite_path(path: Column) -> Column:
     """Back slashes turned, characters escaped, dot segments resolved."""
     escaped = F.array_join(
@@ -81,7 +76,7 @@ def _rewrite_path(path: Column) -> Column:
 
 def _comparable_path(path: Column) -> Column:
     """Rewritten where needed, no trailing slashes, lower case, at least ``/``."""
-    plain = _bind(
+    plain = bind(
         path, lambda p: F.when((p != "") & p.rlike(_UNUSUAL), _rewrite_path(p)).otherwise(p)
     )
     return F.regexp_replace(F.lower(F.rtrim(plain, F.lit("/"))), "^$", "/")
@@ -108,12 +103,17 @@ def normalize_permalink(
     and values are lower-cased. Not covered: international domain names and
     numeric host notations are kept as written.
     """
-    text = F.translate(blank_to_null(url), "\t\n\r", "")
-    host = canonical_host(F.regexp_extract(text, _HOST, 1), short_hosts, suffixes)
-    path = _comparable_path(F.regexp_extract(text, _PATH, 1))
-    kept = F.concat(F.lit(""), *[_param(text, name) for name in sorted(params, key=lambda p: p + "=")])
-    query = F.when(text.contains("?"), F.regexp_replace(kept, "^&", "?")).otherwise("")
-    return F.concat(F.nullif(host, F.lit("")), path, query)
+    trimmed = F.translate(jtrim(url), "\t\n\r", "")
+
+    def comparable(text: Column) -> Column:
+        host = canonical_host(F.regexp_extract(text, _HOST, 1), short_hosts, suffixes)
+        path = _comparable_path(F.regexp_extract(text, _PATH, 1))
+        ordered = sorted(params, key=lambda p: p + "=")
+        kept = F.concat(F.lit(""), *[_param(text, name) for name in ordered])
+        query = F.when(text.contains("?"), F.regexp_replace(kept, "^&", "?")).otherwise("")
+        return F.when(text.rlike(_HOST), F.concat(host, path, query))
+
+    return bind(trimmed, comparable)
 
 
 def extract_post_id(
@@ -121,9 +121,13 @@ def extract_post_id(
     patterns: Sequence[str] = POST_ID_PATTERNS,
     token: str | None = POST_TOKEN,
 ) -> Column:
-    """Post token if the URL has one, else the first pattern that hits."""
-    text = blank_to_null(url)
-    hits = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]
-    if token is not None:
-        hits.insert(0, F.nullif(F.regexp_extract(text, token, 0), F.lit("")))
-    return F.coalesce(*hits)
+    """Post token if the URL has one, else the first pattern that hits.
+
+    Every pattern has exactly one group, the token has none.
+    """
+    # One anchored alternation: each alternative searches the whole text before the
+    # next one is tried, and the last one matches anything and captures nothing.
+    ordered = [*([f"({token})"] if token is not None else []), *patterns]
+    tried = "|".join(f".*?(?:{p})" for p in ordered)
+    groups = "".join(f"${i + 1}" for i in range(len(ordered)))
+    return F.nullif(F.regexp_replace(jtrim(url), f"(?s)^(?:{tried}|).*$", groups), F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadmerge.contract import ALIASES, BOTH, CANONICAL_COLUMNS, DISPLAY_HEADERS
 from leadmerge.functions import (
-    blank_to_null, clean_email, extract_post_id, fingerprint, first_uk_phone, jtrim,
+    clean_email, extract_post_id, fingerprint, first_uk_phone, jtrim,
     normalize_permalink, row_hash, tolerant_timestamp,
 )
 
@@ -16,16 +16,23 @@ Aliases = Mapping[str, Sequence[str]]
 
 
 def header_lookup(payload: Column) -> Column:
-    """Payload map with trimmed, lower-case headers; the later header wins."""
-    return F.transform_keys(payload, lambda k, v: F.lower(jtrim(k)))
+    """Payload map with trimmed, lower-case headers and trimmed cells, blanks dropped.
+
+    Of two headers that become equal the later one counts, even if its cell is blank.
+    """
+    clean = F.transform(
+        F.map_entries(payload),
+        lambda e: F.struct(F.lower(jtrim(e["key"])).alias("key"), jtrim(e["value"]).alias("value")),
+    )
+    return F.map_filter(F.map_from_entries(clean), lambda _, v: v != "")
 
 
 def alias_value(lookup: Column, field: str, aliases: Aliases = ALIASES) -> Column:
-    """Trimmed value of the first alias that is not blank."""
+    """Value of the first alias that has one, in a map made by :func:`header_lookup`."""
     names = [name.strip().lower() for name in aliases.get(field, ())]
     if not names:
         return F.lit(None).cast("string")
-    return F.coalesce(*[blank_to_null(lookup.getItem(name)) for name in names])
+    return F.coalesce(*[lookup.getItem(name) for name in names])
 
 
 def join_location(town: Column, county: Column) -> Column:

@@ -10,7 +10,7 @@ from leadmerge.plans.catalog.leads import (
     LEADS_SQL, base_keyed, base_payloads, secondary_keyed, secondary_payloads, with_row_key,
 )
 from leadmerge.plans.catalog.registry import Tables, query, text_time
-from leadmerge.session import work_path
+from leadmerge.session import cut_lineage, work_path
 from leadmerge.sources.store import LeadStore
 from leadmerge.streaming.ingest import item_stream, start_ingest
 
@@ -170,7 +170,8 @@ union all select 2, dedup_key, match_key from second_batch""")
 def ingest_two_batches(t: Tables):
     one, two = two_batches(t)
     nothing = one.limit(0)
-    first = inc.new_masters(one, nothing)
+    # The masters of a batch are stored before the next batch is compared with them.
+    first = cut_lineage(inc.new_masters(one, nothing))
     second = inc.new_masters(two, first)
     columns = ["dedup_key", "match_key"]
     return first.select(F.lit(1).alias("batch"), *columns).unionByName(

@@ -22,6 +22,7 @@ from leadmerge.operators.incremental import (
     possible_duplicates,
 )
 from leadmerge.operators.merge import merge_counts
+from leadmerge.operators.onerow import side_by_side
 from leadmerge.sources.store import LeadStore, utc_now
 
 COUNTS = ("received", "inserted", "updated", "duplicates", "errors", "omitted", "jobs_created")
@@ -86,7 +87,7 @@ def ingest(
     good, rows = staged.where("problem is null").drop("problem"), received - errors
 
     now = as_instant(as_of)
-    masters_before, raw_before = store.read("masters"), store.read("raw")
+    masters_before, raw_before = store.read("masters", "raw")
     fresh = classify_occurrences(good, raw_before, rows).where("is_new")
     store.write_run("raw", run_id, fresh.withColumn("received_at", now))
     seen = good.select("source", "source_record_id", "dedup_key").distinct()
@@ -100,12 +101,13 @@ def ingest(
     store.write_run("masters", run_id, added)
 
     written = store.read_run("masters", run_id)
-    inserted = written.count()
-    new_raw = store.read_run("raw", run_id).count()
-    updated = store.read_run("sightings", run_id).count() - new_raw
-    omitted = omitted_count(
-        good, masters_before, rows, base=names.base, secondary=names.secondary
-    ).first().omitted
+    wrote = side_by_side(
+        written.agg(F.count("*").alias("inserted")),
+        store.read_run("raw", run_id).agg(F.count("*").alias("new_raw")),
+        store.read_run("sightings", run_id).agg(F.count("*").alias("seen")),
+        omitted_count(good, masters_before, rows, base=names.base, secondary=names.secondary),
+    ).first()
+    inserted, updated, omitted = wrote.inserted, wrote.seen - wrote.new_raw, wrote.omitted
     queued = _enqueue(store, run_id, written, cutoff, now) if cutoff else 0
     counts = dict(
         received=received,

@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from leadmerge.operators.incremental import source_links
 from leadmerge.operators.queue import current_jobs, current_status
 from leadmerge.session import prepare
 
@@ -54,28 +56,38 @@ SCHEMAS = {
 BY_SOURCE = ("sightings", "masters")
 
 
+def columns_of(table: str) -> list[str]:
+    """Column names of a table (needs a running session)."""
+    return T.StructType.fromDDL(SCHEMAS[table]).fieldNames()
+
+
 class LeadStore:
     """Paths, schemas and current views of the state tables under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
-        for name, schema in SCHEMAS.items():
-            empty = spark.createDataFrame([], schema).coalesce(1)
-            empty.write.mode("ignore").parquet(f"{self.root}/{name}")
 
     # -- tables ------------------------------------------------------------------
 
     def _all(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}")
+        try:
+            return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], SCHEMAS[table])
+
+    def read(self, *tables: str) -> DataFrame | list[DataFrame]:
+        """Rows of all finished runs; unfinished runs are pruned as partitions.
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of all finished runs; unfinished runs are pruned as partitions."""
-        rows = self._all(table)
-        if table == "runs":
-            return rows
+        Several tables are read against the same state of the ledger.
+        """
         unfinished = self._unfinished()
-        return rows.where(~F.col("run_id").isin(unfinished)) if unfinished else rows
+        frames = [self._all(t) for t in tables]
+        if unfinished:
+            frames = [f.where(~F.col("run_id").isin(unfinished)) for f in frames]
+        return frames[0] if len(frames) == 1 else frames
 
     def read_run(self, table: str, run_id: str) -> DataFrame:
         """Rows one run wrote, finished or not."""
@@ -83,7 +95,7 @@ class LeadStore:
 
     def write_run(self, table: str, run_id: str, rows: DataFrame) -> None:
         """Replace what this run wrote to a table."""
-        columns = [f.name for f in self._all(table).schema.fields if f.name != "run_id"]
+        columns = [c for c in columns_of(table) if c != "run_id"]
         writer = rows.select(*columns).write.mode("overwrite")
         if table in BY_SOURCE:
             writer = writer.partitionBy("source")
@@ -116,8 +128,7 @@ class LeadStore:
 
     def log_run(self, **fields: Any) -> None:
         """Append one ledger row."""
-        names = [f.name for f in self._all("runs").schema.fields]
-        row = tuple(_aware(fields.get(n)) for n in names)
+        row = tuple(_aware(fields.get(n)) for n in columns_of("runs"))
         one = self.spark.createDataFrame([row], SCHEMAS["runs"]).coalesce(1)
         one.write.mode("append").parquet(f"{self.root}/runs")
 
@@ -133,18 +144,16 @@ class LeadStore:
 
     def masters(self) -> DataFrame:
         """Masters with their current status."""
-        status = current_status(self.read("status"))
+        masters, log = self.read("masters", "status")
+        status = current_status(log)
         return (
-            self.read("masters")
-            .join(status, "dedup_key", "left")
+            masters.join(status, "dedup_key", "left")
             .withColumn("status", F.coalesce("status", F.lit("INGESTED")))
         )
 
     def links(self) -> DataFrame:
         """One row per master and source with first and last sighting."""
-        from leadmerge.operators.incremental import source_links
-
-        return source_links(self.read("sightings"), self.read("masters"))
+        return source_links(*self.read("sightings", "masters"))
 
     def jobs(self) -> DataFrame:
         """Current state per job."""
