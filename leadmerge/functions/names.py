@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from leadmerge.contract import BUSINESS_STOPWORDS
-from leadmerge.functions.text import deaccent, remove_spaces
+from leadmerge.functions.text import deaccent, empty_to_null, remove_spaces
 
 
 def business_key(name: Column, stopwords: Sequence[str] = BUSINESS_STOPWORDS) -> Column:
@@ -26,6 +26,6 @@ def fingerprint(
     name: Column, postcode: Column, stopwords: Sequence[str] = BUSINESS_STOPWORDS
 ) -> Column:
     """``business|postcode`` when both parts say something, else null."""
-    business = F.nullif(business_key(name, stopwords), F.lit(""))
-    place = F.nullif(postcode_key(postcode), F.lit(""))
+    business = empty_to_null(business_key(name, stopwords))
+    place = empty_to_null(postcode_key(postcode))
     return F.concat(business, F.lit("|"), place)

@@ -30,6 +30,20 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def first_match(c: Column, pattern: str, group: int = 0) -> Column:
+    """Group of the first match, null when there is none.
+
+    ``nullif(regexp_extract(...), '')`` says the same but evaluates the pattern
+    twice wherever it is nested in another expression.
+    """
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(1))
+
+
+def empty_to_null(c: Column) -> Column:
+    """Null for empty text, computing ``c`` once."""
+    return first_match(c, r"(?s)^.+$")
+
+
 def jtrim(c: Column) -> Column:
     """Strip all Unicode white space from both ends."""
     return F.btrim(c, F.lit(SPACES))
@@ -37,7 +51,7 @@ def jtrim(c: Column) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, or null when nothing is left."""
-    return F.nullif(jtrim(c), F.lit(""))
+    return empty_to_null(jtrim(c))
 
 
 def is_blank(c: Column) -> Column:

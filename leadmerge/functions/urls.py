@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from leadmerge.contract import (
     CONTENT_PARAMS, HOST_SUFFIXES, POST_ID_PATTERNS, POST_TOKEN, SHORT_LINK_HOSTS,
 )
-from leadmerge.functions.text import bind, jtrim
+from leadmerge.functions.text import bind, empty_to_null, first_match, jtrim
 
 _ALL = 1 << 30  # longer than any text
 
@@ -106,12 +106,12 @@ def normalize_permalink(
     trimmed = F.translate(jtrim(url), "\t\n\r", "")
 
     def comparable(text: Column) -> Column:
-        host = canonical_host(F.regexp_extract(text, _HOST, 1), short_hosts, suffixes)
+        host = canonical_host(first_match(text, _HOST, 1), short_hosts, suffixes)
         path = _comparable_path(F.regexp_extract(text, _PATH, 1))
         ordered = sorted(params, key=lambda p: p + "=")
         kept = F.concat(F.lit(""), *[_param(text, name) for name in ordered])
         query = F.when(text.contains("?"), F.regexp_replace(kept, "^&", "?")).otherwise("")
-        return F.when(text.rlike(_HOST), F.concat(host, path, query))
+        return F.concat(host, path, query)
 
     return bind(trimmed, comparable)
 
@@ -130,4 +130,4 @@ def extract_post_id(
     ordered = [*([f"({token})"] if token is not None else []), *patterns]
     tried = "|".join(f".*?(?:{p})" for p in ordered)
     groups = "".join(f"${i + 1}" for i in range(len(ordered)))
-    return F.nullif(F.regexp_replace(jtrim(url), f"(?s)^(?:{tried}|).*$", groups), F.lit(""))
+    return empty_to_null(F.regexp_replace(jtrim(url), f"(?s)^(?:{tried}|).*$", groups))

@@ -11,6 +11,7 @@ from leadmerge.functions import (
     clean_email, extract_post_id, fingerprint, first_uk_phone, jtrim,
     normalize_permalink, row_hash, tolerant_timestamp,
 )
+from leadmerge.functions.text import empty_to_null
 
 Aliases = Mapping[str, Sequence[str]]
 
@@ -37,7 +38,7 @@ def alias_value(lookup: Column, field: str, aliases: Aliases = ALIASES) -> Colum
 
 def join_location(town: Column, county: Column) -> Column:
     """``town, county`` without the missing part; null when both are missing."""
-    return F.nullif(F.concat_ws(", ", town, county), F.lit(""))
+    return empty_to_null(F.concat_ws(", ", town, county))
 
 
 def canonical(df: DataFrame, *, aliases: Aliases = ALIASES, **url_rules) -> DataFrame:
@@ -54,6 +55,7 @@ def canonical(df: DataFrame, *, aliases: Aliases = ALIASES, **url_rules) -> Data
         "source",
         "raw_payload",
         *extra,
+        row_hash(F.col("source"), F.col("raw_payload")).alias("source_record_id"),
         pick("url").alias("url"),
         pick("message").alias("message"),
         pick("posting_date").alias("_posting_date"),
@@ -61,28 +63,24 @@ def canonical(df: DataFrame, *, aliases: Aliases = ALIASES, **url_rules) -> Data
         pick("business_name").alias("business_name"),
         pick("phone").alias("_phone1"),
         pick("phone2").alias("phone2"),
-        pick("phone3").alias("_phone3"),
+        first_uk_phone(pick("phone"), pick("phone2"), pick("phone3")).alias("norm_phone"),
         clean_email(pick("email")).alias("email"),
         pick("postcode").alias("postcode"),
         pick("address1").alias("address1"),
         join_location(pick("town"), pick("county")).alias("location"),
     )
-    keyed = picked.select(
-        "*",
-        row_hash(F.col("source"), F.col("raw_payload")).alias("source_record_id"),
-        first_uk_phone(F.col("_phone1"), F.col("phone2"), F.col("_phone3")).alias("norm_phone"),
-    )
-    full = (
-        keyed.withColumn("dedup_key", F.col("source_record_id"))
-        .withColumn("match_key", F.col("norm_phone"))
-        .withColumn("post_id", extract_post_id(F.col("url")))
-        .withColumn("norm_permalink", normalize_permalink(F.col("url"), **url_rules))
-        .withColumn("owner_name", F.lit(None).cast("string"))
-        .withColumn("post_timestamp", tolerant_timestamp(F.col("_posting_date")))
-        .withColumn("scrape_timestamp", tolerant_timestamp(F.col("_timestamp")))
-        .withColumn("phone", F.coalesce("_phone1", "phone2"))
-    )
-    return full.select(*CANONICAL_COLUMNS, *extra)
+    derived = {
+        "dedup_key": F.col("source_record_id"),
+        "match_key": F.col("norm_phone"),
+        "post_id": extract_post_id(F.col("url")),
+        "norm_permalink": normalize_permalink(F.col("url"), **url_rules),
+        "owner_name": F.lit(None).cast("string"),
+        "post_timestamp": tolerant_timestamp(F.col("_posting_date")),
+        "scrape_timestamp": tolerant_timestamp(F.col("_timestamp")),
+        "phone": F.coalesce("_phone1", "phone2"),
+    }
+    columns = [derived[c].alias(c) if c in derived else F.col(c) for c in CANONICAL_COLUMNS]
+    return picked.select(*columns, *extra)
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
