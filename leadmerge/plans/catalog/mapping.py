@@ -24,12 +24,12 @@ def order_grids(t: Tables) -> DataFrame:
         row(-1, text(F.lit("Key "), F.lit("Status"), F.lit("Key"), F.lit("Status"))),
     )
     heads = t.customer.select(grid, F.explode(fixed).alias("r")).select("grid_id", "r.*")
-    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
     cells = (
-        F.when(key % 4 == 0, text(key))
-        .when(key % 4 == 1, text(key, status, F.lit("k"), F.col("o_orderpriority")))
-        .when(key % 4 == 2, text(key, status, F.lit(""), F.lit(None), F.lit("surplus")))
-        .otherwise(text(F.lit(" "), F.lit(""), F.lit(None)))
+        F.when(priority == "5-LOW", text(F.lit(" "), F.lit(""), F.lit(None)))
+        .when(status == "O", text(key))
+        .when(status == "F", text(key, status, F.lit("k"), priority))
+        .otherwise(text(key, status, F.lit(""), F.lit(None), F.lit("surplus")))
     )
     rows = t.orders.select(
         F.concat(F.lit("g"), F.col("o_custkey")).alias("grid_id"), key.alias("row_idx"), cells.alias("cells")
@@ -39,9 +39,9 @@ def order_grids(t: Tables) -> DataFrame:
 
 @query("""
 select 'g' || o_custkey as grid_id, o_orderkey as row_idx, cast(o_orderkey as varchar) as key_spaced,
-       case when o_orderkey % 4 = 1 then 'k' else '' end as key,
-       case when o_orderkey % 4 = 1 then o_orderpriority else '' end as status
-from orders where o_orderkey % 4 <> 3 and o_custkey in (select c_custkey from customer)""")
+       case when o_orderstatus = 'F' then 'k' else '' end as key,
+       case when o_orderstatus = 'F' then o_orderpriority else '' end as status
+from orders where o_orderpriority <> '5-LOW' and o_custkey in (select c_custkey from customer)""")
 def header_detect(t: Tables):
     rows = grid_rows(order_grids(t), min_cells=2)
     cell = lambda h: F.col("raw_payload").getItem(h)
@@ -52,7 +52,7 @@ def header_detect(t: Tables):
 
 @query("""
 select 'g' || o_custkey as grid_id, o_orderkey as row_idx, cast(o_orderkey as varchar) as titled
-from orders where o_orderkey % 4 <> 3 and o_custkey in (select c_custkey from customer)
+from orders where o_orderpriority <> '5-LOW' and o_custkey in (select c_custkey from customer)
 union all
 select 'g' || c_custkey, -1, 'Key ' from customer""")
 def header_detect_first_row(t: Tables):
@@ -61,7 +61,7 @@ def header_detect_first_row(t: Tables):
 
 
 @query("""
-with data as (select o_custkey as k, count(*) filter (where o_orderkey % 4 <> 3) as n from orders group by 1)
+with data as (select o_custkey as k, count(*) filter (where o_orderpriority <> '5-LOW') as n from orders group by 1)
 select 'g' || coalesce(c_custkey, k) as grid_id,
        cast(coalesce(n, 0) + case when c_custkey is null then 0 else 2 end as bigint) as populated_rows,
        cast(greatest(coalesce(n, 0) + case when c_custkey is null then 0 else 2 end - 1, 0) as bigint) as data_rows

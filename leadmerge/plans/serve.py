@@ -94,6 +94,11 @@ class LeadReader:
         self.store.log_run(**log, status="COMPLETED", finished_at=as_of, received=marked)
         return marked
 
+    def latest_results(self) -> DataFrame:
+        """Last stored decision per lead."""
+        results = self.store.read("results")
+        return latest_per_key(results, ["dedup_key"], ["validated_at", "run_id"])
+
     def dedup_report(self) -> DataFrame:
         """Occurrences, masters and overlap of the sources in one row."""
         return reports.dedup_report(self.store.read("masters"), self.store.links())

@@ -13,7 +13,7 @@ from leadmerge.contract import (
 )
 from leadmerge.functions.times import as_instant
 from leadmerge.operators.canonical import lead_rows
-from leadmerge.operators.latest import latest_per_key
+from leadmerge.operators.latest import first_per_key, latest_per_key
 from leadmerge.operators.payloads import merge_payloads
 from leadmerge.operators.queue import after_outcome, claim, requeue_candidates
 from leadmerge.operators.validation import (
@@ -76,7 +76,7 @@ def run_validation(
             fetched = evidence_records(evidence(scoring_rows(store, missing)))
             store.write_run("evidence", run_id, fetched.withColumn("collected_at", now))
             stored = stored.unionByName(latest_evidence(store.read_run("evidence", run_id)))
-        verdicts = scorer(scoring_rows(store, passed, stored))
+        verdicts = latest_verdicts(scorer(scoring_rows(store, passed, stored)))
 
     keep = ["dedup_key", "norm_permalink", "message", "location", "post_timestamp", "business_name", "phone", "postcode"]
     outcome = validate_batch(claimed, masters.select(*keep), verdicts, as_of, **rules)
@@ -115,10 +115,12 @@ def run_validation(
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
-    """One verdict per lead; the last one when the table has a ``scored_at``."""
+    """One verdict per lead: the last one if the table has a ``scored_at``, else the
+    least by content, so that a repeated job picks the same."""
+    columns = ["dedup_key", "response_json", "error"]
     if "scored_at" in verdicts.columns:
-        verdicts = latest_per_key(verdicts, ["dedup_key"], ["scored_at"])
-    return verdicts
+        return latest_per_key(verdicts, ["dedup_key"], ["scored_at"]).select(*columns)
+    return first_per_key(verdicts.select(*columns), ["dedup_key"], ["response_json", "error"])
 
 
 def drain(store: LeadStore, scorer: Scorer | DataFrame, *, max_rounds: int = 1000, **options) -> int:

@@ -34,15 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     folder; a cluster without it is an error, since a machine-local folder would
     not be visible to the other machines.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="leadmerge-")
-    spark.sparkContext.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="leadmerge-"))
+    return context.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leadmerge.sources.grids import grid_rows
 
-MAX_COLUMNS = 256
+MAX_COLUMNS = 64
 # A text that no cell holds, so that empty cells stay '' and only missing cells
 # read as null.
 _NO_VALUE = "\x00\x00"

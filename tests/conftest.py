@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -21,9 +20,5 @@ def spark():
     )
     session = prepare(builder.getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        folder = tempfile.mkdtemp(prefix="leadmerge-ckpt-")
-        session.conf.set("spark.checkpoint.dir", folder)
-        session.sparkContext.setCheckpointDir(folder)
     yield session
     session.stop()

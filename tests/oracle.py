@@ -11,6 +11,8 @@ import time
 
 import duckdb
 
+# Digits compared; a large number means bit for bit.
+DIGITS = int(os.environ.get("ORACLE_DIGITS", "9"))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings"
     " pages benchmark labels conversations"
@@ -30,7 +32,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6)
+        return None if math.isnan(value) else round(value, DIGITS)
     if isinstance(value, (dt.datetime, dt.date)):
         return str(value)
     return value
