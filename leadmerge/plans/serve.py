@@ -13,10 +13,11 @@ from leadmerge.functions.times import as_instant
 from leadmerge.operators import reports, stats
 from leadmerge.operators.canonical import display_rows
 from leadmerge.operators.latest import latest_per_key
-from leadmerge.operators.listing import lead_list, page_of, page_summary
+from leadmerge.operators.listing import lead_list, master_filters, page_of, page_summary
 from leadmerge.operators.onerow import side_by_side
+from leadmerge.session import cut_lineage
 from leadmerge.sources.sinks import write_csv
-from leadmerge.sources.store import LeadStore, utc_now
+from leadmerge.sources.store import LeadStore, keyed_by, utc_now, with_status
 
 
 class LeadReader:
@@ -30,13 +31,52 @@ class LeadReader:
         s = self.store
         return lead_list(s.masters(), s.links(), s.read("exports"), **filters)
 
-    def page(self, page: int | None = None, page_size: int | None = None, **filters) -> DataFrame:
-        """One page of display rows, newest first."""
-        return display_rows(page_of(self.leads(**filters), page, page_size))
-
-    def page_summary(self, page: int | None = None, page_size: int | None = None, **filters) -> DataFrame:
+    def page(
+        self,
+        page: int | None = None,
+        page_size: int | None = None,
+        *,
+        date: str | None = None,
+        status: str | None = None,
+        **filters,
+    ) -> DataFrame:
+        """One page of display rows, newest first.
+
+        Without a source or export filter the page is cut from the masters first
+        (every master has a link) and written to the checkpoint folder; its keys, at
+        most one page, then probe the other tables, which are not shuffled.
+        """
+        if filters:
+            rows = self.leads(date=date, status=status, **filters)
+            return display_rows(page_of(rows, page, page_size))
+        top = cut_lineage(page_of(self._filtered(date, status), page, page_size))
+        keys = F.broadcast(top.select("dedup_key"))
+        log, exports = self.store.read("status", "exports")
+        rows = with_status(top.drop("status"), keyed_by(log, keys))
+        rows = lead_list(rows, self.store.links(keys), keyed_by(exports, keys))
+        return display_rows(rows.orderBy(F.desc("created_at"), F.desc("dedup_key")))
+
+    def _filtered(self, date: str | None, status: str | None) -> DataFrame:
+        """Masters after their own filters; the status is joined only if asked for."""
+        masters = self.store.masters() if status else self.store.read("masters")
+        where = master_filters(date, status)
+        return masters if where is None else masters.where(where)
+
+    def page_summary(
+        self,
+        page: int | None = None,
+        page_size: int | None = None,
+        *,
+        date: str | None = None,
+        status: str | None = None,
+        **filters,
+    ) -> DataFrame:
         """Total and number of pages for the same filters."""
-        return page_summary(self.leads(mark_exported=False, **filters), page, page_size)
+        if filters:
+            rows = self.leads(date=date, status=status, mark_exported=False, **filters)
+        else:
+            rows = self._filtered(date, status)
+        return page_summary(rows, page, page_size)
 
     def export_csv(self, path: str, *, limit: int | None = None, **filters) -> None:
         """Write all matching display rows as CSV part files."""
@@ -46,7 +86,7 @@ class LeadReader:
         """Overview, source comparison and validation figures in one row."""
         s = self.store
         return side_by_side(
-            stats.overview(s.masters(), s.read("raw"), s.links(), as_of_date),
+            stats.overview(s.read("masters"), s.read("raw"), s.links(), as_of_date),
             stats.validation_counts(s.masters(), s.jobs(), s.read("results")),
         )
 

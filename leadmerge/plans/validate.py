@@ -13,6 +13,7 @@ from leadmerge.contract import (
 )
 from leadmerge.functions.times import as_instant
 from leadmerge.operators.canonical import lead_rows
+from leadmerge.operators.membership import PROBE_ROWS
 from leadmerge.operators.latest import first_per_key, latest_per_key
 from leadmerge.operators.payloads import merge_payloads
 from leadmerge.operators.queue import after_outcome, claim, requeue_candidates
@@ -21,15 +22,23 @@ from leadmerge.operators.validation import (
     reject_records, result_records, screen, validate_batch,
 )
 from leadmerge.plans.ingest import queue_jobs
-from leadmerge.sources.store import LeadStore, utc_now
+from leadmerge.sources.store import LeadStore, keyed_by, utc_now
 
 # Lead rows in, (dedup_key, response_json, error) or (dedup_key, evidence_json) out.
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def scoring_rows(store: LeadStore, masters: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """Verbose lead rows with merged payloads, and the stored evidence if given."""
-    raw = store.raw().join(masters.select("dedup_key"), "dedup_key", "left_semi")
+def scoring_rows(
+    store: LeadStore,
+    masters: DataFrame,
+    evidence: DataFrame | None = None,
+    keys: DataFrame | None = None,
+) -> DataFrame:
+    """Verbose lead rows with merged payloads, and the stored evidence if given.
+
+    ``keys`` (a superset of the masters' keys) narrows the stored payloads.
+    """
+    raw = keyed_by(store.raw(), masters.select("dedup_key") if keys is None else keys)
     merged = masters.join(merge_payloads(raw), "dedup_key", "left")
     rows = lead_rows(merged, "merged_payload")
     if evidence is None:
@@ -64,19 +73,22 @@ def run_validation(
         return 0
     store.log_run(run_id=run_id, kind="validate", status="RUNNING", started_at=as_of)
 
-    masters = store.masters().join(claimed.select("dedup_key"), "dedup_key", "left_semi")
+    keys = claimed.select("dedup_key").distinct()
+    # A bounded claim probes the stored tables; a large one is a shuffled join.
+    keys = F.broadcast(keys) if handled <= PROBE_ROWS else keys
+    masters = store.masters(keys)
     screen_rules = {k: v for k, v in rules.items() if k in ("freshness_hours", "keywords")}
     if isinstance(scorer, DataFrame):
         verdicts = latest_verdicts(scorer)
     else:
         passed = screen(masters, as_of, **screen_rules).where("reject_reason is null")
-        stored = latest_evidence(store.read("evidence"))
+        stored = latest_evidence(keyed_by(store.read("evidence"), keys))
         if evidence is not None:
             missing = needs_evidence(passed, stored)
-            fetched = evidence_records(evidence(scoring_rows(store, missing)))
+            fetched = evidence_records(evidence(scoring_rows(store, missing, keys=keys)))
             store.write_run("evidence", run_id, fetched.withColumn("collected_at", now))
             stored = stored.unionByName(latest_evidence(store.read_run("evidence", run_id)))
-        verdicts = latest_verdicts(scorer(scoring_rows(store, passed, stored)))
+        verdicts = latest_verdicts(scorer(scoring_rows(store, passed, stored, keys)))
 
     keep = ["dedup_key", "norm_permalink", "message", "location", "post_timestamp", "business_name", "phone", "postcode"]
     outcome = validate_batch(claimed, masters.select(*keep), verdicts, as_of, **rules)

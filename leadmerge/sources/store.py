@@ -61,6 +61,19 @@ def columns_of(table: str) -> list[str]:
     return T.StructType.fromDDL(SCHEMAS[table]).fieldNames()
 
 
+def keyed_by(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Rows whose ``dedup_key`` occurs in ``keys``; all rows without ``keys``."""
+    return rows if keys is None else rows.join(keys, "dedup_key", "left_semi")
+
+
+def with_status(masters: DataFrame, log: DataFrame) -> DataFrame:
+    """Masters with the last status of the log, INGESTED where it has none."""
+    current = current_status(log)
+    return masters.join(current, "dedup_key", "left").withColumn(
+        "status", F.coalesce("status", F.lit("INGESTED"))
+    )
+
+
 class LeadStore:
     """Paths, schemas and current views of the state tables under ``root``."""
 
@@ -142,18 +155,19 @@ class LeadStore:
 
     # -- current views -------------------------------------------------------------
 
-    def masters(self) -> DataFrame:
-        """Masters with their current status."""
+    def masters(self, only: DataFrame | None = None) -> DataFrame:
+        """Masters with their current status.
+
+        ``only`` narrows both tables to the keys of a frame before they are joined;
+        give it a broadcast hint when its size is known to be small.
+        """
         masters, log = self.read("masters", "status")
-        status = current_status(log)
-        return (
-            masters.join(status, "dedup_key", "left")
-            .withColumn("status", F.coalesce("status", F.lit("INGESTED")))
-        )
+        return with_status(keyed_by(masters, only), keyed_by(log, only))
 
-    def links(self) -> DataFrame:
+    def links(self, only: DataFrame | None = None) -> DataFrame:
         """One row per master and source with first and last sighting."""
-        return source_links(*self.read("sightings", "masters"))
+        sightings, masters = self.read("sightings", "masters")
+        return source_links(keyed_by(sightings, only), keyed_by(masters, only))
 
     def jobs(self) -> DataFrame:
         """Current state per job."""

@@ -78,6 +78,13 @@ def test_ingest_read_and_report(spark, store, tmp_path):
     assert page.count() == 2 and "Lead Proof URL" in page.columns
     summary = reader.page_summary(1, 2).first()
     assert (summary.total, summary.total_pages) == (5, 3)
+    shown = reader.page(status="ingested", date="2025-03-04").collect()
+    assert len(shown) == 5 and reader.page_summary(status="rejected").first().total == 0
+    key_order = [(r.created_at, r.dedup_key) for r in store.read("masters").collect()]
+    assert [r.master_id for r in shown] == [k for _, k in sorted(key_order, reverse=True)]
+    filtered = reader.page(source="MFULL", exported=False)
+    assert [r["Company Name"] for r in filtered.collect()] == ["Quay Bakery Ltd"]
+    assert reader.page_summary(source="MFULL").first().total == 2
     rows = {r["Company Name"]: r for r in reader.page().collect()}
     assert rows["Arch Bistro"]["exported"] and rows["Arch Bistro"]["source"] == "MFULL"
     assert rows["Arch Bistro"][rows["Arch Bistro"].__fields__[5]] == "Leeds, West Yorkshire"
@@ -255,6 +262,7 @@ def test_validation_life_cycle(spark, store):
     assert results["Hill Academy"].requires_manual_review
     assert "manual review" in results["Hill Academy"].reasons[-1]
     assert "Broken Co" not in results
+    assert LeadReader(store).latest_results().count() == 5
     jobs = {r.business_name: r for r in store.jobs().join(names, "dedup_key").collect()}
     assert (jobs["Broken Co"].status, jobs["Broken Co"].attempt_count) == ("FAILED", 2)
     assert jobs["Broken Co"].last_error == "upstream error"
