@@ -14,7 +14,7 @@ def row_hash(source: Column, payload: Column) -> Column:
     A null cell prints as the text ``null``; file scans turn missing cells into
     empty text before they get here.
     """
-    entries = F.array_sort(F.map_entries(payload))
+    entries = F.sort_array(F.map_entries(payload))  # native order, no comparator lambda
     pairs = F.transform(
         entries,
         lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))),

@@ -131,7 +131,7 @@ def lead_rows(df: DataFrame, payload: str | None = None, *, aliases: Aliases = A
 
 def source_badge(sources: Column) -> Column:
     """``BOTH`` for two distinct sources, else the one there is."""
-    names = F.array_sort(F.array_distinct(sources))
+    names = F.sort_array(F.array_distinct(sources))
     return F.when(F.size(names) == 2, F.lit(BOTH)).otherwise(F.try_element_at(names, F.lit(1)))
 
 

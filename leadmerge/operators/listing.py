@@ -36,9 +36,16 @@ def with_exported(masters: DataFrame, exports: DataFrame) -> DataFrame:
     )
 
 
-def collect_sources(links: DataFrame) -> DataFrame:
-    """Sorted distinct source names per master; the set is as small as the enum."""
-    return links.groupBy("dedup_key").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+def collect_sources(links: DataFrame, known: Sequence[str] = SOURCES) -> DataFrame:
+    """Sorted distinct source names per master, out of the known names.
+
+    One flag per name instead of collected sets: the flags are combined before the
+    shuffle in a hash aggregate.
+    """
+    flags = [F.max(F.col("source") == name).alias(f"_s{i}") for i, name in enumerate(sorted(known))]
+    names = [F.when(F.col(f"_s{i}"), F.lit(name)) for i, name in enumerate(sorted(known))]
+    per_master = links.where(F.col("source").isin(*known)).groupBy("dedup_key").agg(*flags)
+    return per_master.select("dedup_key", F.array_compact(F.array(*names)).alias("sources"))
 
 
 def source_filter(sources: Column, wanted: str | None, known: Sequence[str] = SOURCES) -> Column | None:
@@ -61,6 +68,7 @@ def lead_list(
     exported: bool | None = None,
     source: str | None = None,
     mark_exported: bool = True,
+    known: Sequence[str] = SOURCES,
 ) -> DataFrame:
     """Masters with ``sources`` and ``exported`` after all filters, unordered.
 
@@ -71,8 +79,8 @@ def lead_list(
     rows = masters if where is None else masters.where(where)
     if exported is not None:
         rows = exported_only(rows, exports, exported)
-    sourced = collect_sources(links)
-    having = source_filter(F.col("sources"), source)
+    sourced = collect_sources(links, known)
+    having = source_filter(F.col("sources"), source, known)
     rows = rows.join(sourced if having is None else sourced.where(having), "dedup_key")
     if not mark_exported:
         return rows

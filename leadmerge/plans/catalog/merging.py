@@ -94,7 +94,7 @@ masters as (select distinct l_orderkey || '-' || l_linenumber as dedup_key from
 
 def _raw_and_masters(t: Tables) -> tuple[DataFrame, DataFrame]:
     lines = line_items(t)
-    raw = latest.distinct_occurrences(lines).select("source", "source_record_id", "dedup_key")
+    raw = lines.select("source", "source_record_id", "dedup_key").distinct()
     return raw, lines.where("l_returnflag = 'N'").select("dedup_key").distinct()
 
 

@@ -142,7 +142,7 @@ select dedup_key, case when count(distinct source) = 2 then 'BOTH' else min(sour
        string_agg(distinct source, '|' order by source) as sources
 from days group by 1""")
 def badge(t: Tables):
-    sourced = listing.collect_sources(day_links(t))
+    sourced = listing.collect_sources(day_links(t), tuple(PAIR.values()))
     return sourced.select(
         "dedup_key", source_badge(F.col("sources")).alias("badge"), joined(F.col("sources")).alias("sources")
     )
