@@ -15,21 +15,27 @@ from leadmerge.operators.canonical import display_rows
 from leadmerge.operators.latest import latest_per_key
 from leadmerge.operators.listing import lead_list, master_filters, page_of, page_summary
 from leadmerge.operators.onerow import side_by_side
+from leadmerge.plans.ingest import Names
 from leadmerge.session import cut_lineage
 from leadmerge.sources.sinks import write_csv
 from leadmerge.sources.store import LeadStore, keyed_by, utc_now, with_status
 
 
 class LeadReader:
-    """Queries over the state tables; everything but the marks is lazy."""
+    """Queries over the state tables; pages and marks run jobs, the rest is lazy."""
 
-    def __init__(self, store: LeadStore):
+    def __init__(self, store: LeadStore, names: Names = Names()):
         self.store = store
+        self.names = names
+        self._pair = {"base": names.base, "secondary": names.secondary}
 
     def leads(self, **filters) -> DataFrame:
         """All matching masters with sources and export mark."""
         s = self.store
-        return lead_list(s.masters(), s.links(), s.read("exports"), **filters)
+        return lead_list(s.masters(), s.links(), s.read("exports"), known=self._known(), **filters)
+
+    def _known(self) -> tuple[str, str]:
+        return (self.names.base, self.names.secondary)
 
     def page(
         self,
@@ -53,7 +59,7 @@ class LeadReader:
         keys = F.broadcast(top.select("dedup_key"))
         log, exports = self.store.read("status", "exports")
         rows = with_status(top.drop("status"), keyed_by(log, keys))
-        rows = lead_list(rows, self.store.links(keys), keyed_by(exports, keys))
+        rows = lead_list(rows, self.store.links(keys), keyed_by(exports, keys), known=self._known())
         return display_rows(rows.orderBy(F.desc("created_at"), F.desc("dedup_key")))
 
     def _filtered(self, date: str | None, status: str | None) -> DataFrame:
@@ -86,7 +92,7 @@ class LeadReader:
         """Overview, source comparison and validation figures in one row."""
         s = self.store
         return side_by_side(
-            stats.overview(s.read("masters"), s.read("raw"), s.links(), as_of_date),
+            stats.overview(s.read("masters"), s.read("raw"), s.links(), as_of_date, **self._pair),
             stats.validation_counts(s.masters(), s.jobs(), s.read("results")),
         )
 
@@ -117,7 +123,7 @@ class LeadReader:
         spark, as_of = self.store.spark, as_of or utc_now()
         if not isinstance(keys, DataFrame):
             if not keys:
-                raise ValueError("master keys must be a non-empty list")
+                raise ValueError("no master keys to mark")
             keys = spark.createDataFrame([(k,) for k in keys], "dedup_key string")
         run_id = f"export-{uuid.uuid4().hex}"
         log: dict[str, Any] = dict(run_id=run_id, kind="export", started_at=as_of)
@@ -130,7 +136,7 @@ class LeadReader:
         self.store.write_run("exports", run_id, rows)
         marked = self.store.read_run("exports", run_id).count()
         if marked == 0:
-            raise ValueError("master keys must be a non-empty list")
+            raise ValueError("no master keys to mark")
         self.store.log_run(**log, status="COMPLETED", finished_at=as_of, received=marked)
         return marked
 
@@ -141,11 +147,11 @@ class LeadReader:
 
     def dedup_report(self) -> DataFrame:
         """Occurrences, masters and overlap of the sources in one row."""
-        return reports.dedup_report(self.store.read("masters"), self.store.links())
+        return reports.dedup_report(self.store.read("masters"), self.store.links(), **self._pair)
 
     def both_examples(self, limit: int = EXAMPLES_LIMIT) -> DataFrame:
         """Some masters both sources found."""
-        return reports.both_examples(self.store.read("masters"), self.store.links(), limit)
+        return reports.both_examples(self.store.read("masters"), self.store.links(), limit, **self._pair)
 
     def shadow(self, served: DataFrame) -> DataFrame:
         """Rows the sources serve against rows stored, per source."""

@@ -12,8 +12,6 @@ _REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     # Two headers that trim to the same text: the later one wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # A re-run of a batch replaces only its own run_id partitions.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

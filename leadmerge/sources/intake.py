@@ -25,7 +25,7 @@ def read_source_batch(spark: SparkSession, path: str | list[str], source: str) -
     """Files ``{"rows": [{header: value}, ...]}`` of one source as ingest items."""
     bodies = _payloads(spark, path, ROWS_SCHEMA)
     if bodies.where(F.col("rows").isNull()).limit(1).count():
-        raise BatchRejected("`rows` must be an array of lead objects")
+        raise BatchRejected("payload without a list of rows")
     return bodies.select(F.lit(source).alias("source"), F.explode("rows").alias("raw_payload"))
 
 
@@ -44,12 +44,12 @@ def read_mixed_batch(
     """
     bodies = _payloads(spark, path, MIXED_SCHEMA)
     if bodies.where(F.col("rows").isNull()).limit(1).count():
-        raise BatchRejected("`rows` must be an array")
+        raise BatchRejected("payload without a list of entries")
     entries = bodies.select(F.explode("rows").alias("e"))
     items = entries.select(F.col("e.source").alias("source"), F.col("e.row").alias("raw_payload"))
     bad = invalid_items(items, sources).limit(1).collect()
     if bad:
-        raise BatchRejected(f"each row needs a known source and a row object (got {bad[0].source})")
+        raise BatchRejected(f"entry with unknown source or without cells (source: {bad[0].source})")
     return items
 
 

@@ -107,9 +107,11 @@ class LeadStore:
         return self._all(table).where(F.col("run_id") == run_id)
 
     def write_run(self, table: str, run_id: str, rows: DataFrame) -> None:
-        """Replace what this run wrote to a table."""
+        """Replace everything this run wrote to a table, whatever the session's
+        overwrite mode is."""
         columns = [c for c in columns_of(table) if c != "run_id"]
         writer = rows.select(*columns).write.mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "static")
         if table in BY_SOURCE:
             writer = writer.partitionBy("source")
         writer.parquet(f"{self.root}/{table}/run_id={run_id}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadmerge.operators.incremental import unlinked_raw
-from leadmerge.plans.ingest import SourceSpec, ingest, ingest_sources, replay_counts
+from leadmerge.plans.ingest import Names, SourceSpec, ingest, ingest_sources, replay_counts
 from leadmerge.plans.serve import LeadReader
 from leadmerge.plans.validate import drain, requeue, run_validation
 from leadmerge.sources.store import LeadStore
@@ -19,6 +19,17 @@ DAY1 = dt.datetime(2025, 3, 4, 10)
 DAY2 = dt.datetime(2025, 3, 5, 10)
 
 
+def test_other_source_names(spark, store):
+    names = Names("CRM", "WEB")
+    ingest(store, items(spark, "CRM", [A_BASE]), as_of=DAY1, names=names)
+    ingest(store, items(spark, "WEB", [A_SECOND, C_SECOND]), as_of=DAY1, names=names)
+    reader = LeadReader(store, names)
+    s = reader.stats("2025-03-04").first()
+    assert (s.base_total, s.secondary_only, s.duplicates_removed) == (1, 1, 1)
+    assert [r.source for r in reader.page().orderBy("source").collect()] == ["CRM", "WEB"]
+    assert reader.leads(source="web").count() == 1
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return LeadStore(spark, str(tmp_path / "state"))
@@ -161,12 +172,14 @@ def test_unfinished_run_is_invisible_and_repeated(spark, store, monkeypatch):
 
     monkeypatch.setattr(LeadStore, "log_run", dies)
     with pytest.raises(RuntimeError):
-        ingest(store, base_items(spark, [A_BASE]), idempotency_key="once", as_of=DAY1)
+        mixed = base_items(spark, [A_BASE]).unionByName(second_items(spark, [C_SECOND]))
+        ingest(store, mixed, idempotency_key="once", as_of=DAY1)
     monkeypatch.setattr(LeadStore, "log_run", real)
     assert store.read("masters").count() == 1 and store.read("raw").count() == 1
     result = ingest(store, base_items(spark, [A_BASE]), idempotency_key="once", as_of=DAY1)
     assert pick(result, "inserted", "replayed") == (1, False)
-    assert store.read("masters").count() == 2
+    # Nothing of the dead attempt is left, not even what the retry did not send.
+    assert {r.business_name for r in store.read("masters").collect()} == {"Lantern Books", "Mill Café"}
 
 
 def test_outage_of_one_source(spark, store):
