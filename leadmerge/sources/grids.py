@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadmerge.functions import is_blank
+from leadmerge.operators.membership import attach
 from leadmerge.session import cut_lineage
 
 # Headers are broadcast up to this many bytes of text, after measuring them.
@@ -56,16 +57,17 @@ def grid_rows(grid: DataFrame, min_cells: int = 1, *, checked: bool = False) ->
     ``min_cells=1`` takes the first non-blank row as header, ``min_cells=2`` skips
     one-cell titles. With ``checked=True`` the headers are written to the
     checkpoint folder, measured and broadcast up to ``BROADCAST_BYTES``, so the
-    rows are not shuffled; otherwise, and beyond it, the join is left to adaptive
-    execution, which also splits a grid that holds a large share of the rows.
+    rows are not shuffled; otherwise, and beyond it, rows and headers are joined by
+    grid with heavy grids kept in place.
     """
-    headers = grid_headers(grid, min_cells)
+    headers, small = grid_headers(grid, min_cells), False
     if checked:
         headers = cut_lineage(headers)
         width = F.octet_length(F.concat_ws("", "header")) + F.octet_length("grid_id") + 8 * F.size("header") + 64
         size = headers.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-        headers = F.broadcast(headers) if size <= BROADCAST_BYTES else headers
-    body = drop_blank_rows(grid).join(headers, "grid_id")
+        small = size <= BROADCAST_BYTES
+    rows = drop_blank_rows(grid)
+    body = rows.join(F.broadcast(headers), "grid_id") if small else attach(rows, headers, "grid_id")
     body = body.where(F.col("row_idx") > F.col("header_idx"))
     return body.select("grid_id", "row_idx", row_payload(F.col("header"), F.col("cells")).alias("raw_payload"))
 
