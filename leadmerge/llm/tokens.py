@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts with other characters, or with a special token's string, go to the library whole.
 PLAIN = r"^[\n\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{17f}]*$"
 #: Entries of the broadcast table (a few MB) and of a worker's cache.
-TABLE_ROWS, CACHE_ROWS = 65_536, 500_000
+TABLE_ROWS, CACHE_ROWS = 65_536, 200_000
 #: Pre-tokens that one batch proposes for the table.
 PROPOSED = 20_000
 
@@ -26,6 +27,8 @@ class _Counter:
     """Lengths of pre-tokens: the shared table, then the worker's cache, then the library."""
 
     def __init__(self, path: str, table: dict[str, int]):
+        # One task is one thread.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
