@@ -6,17 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadmerge.llm.common import table
+from leadmerge.llm.embeddings import embedding_duplicates
+from leadmerge.llm.licenses import license_scan
 from leadmerge.llm.mixing import mix_sources
 from leadmerge.llm.tokens import token_counts
+from leadmerge.llm.toxicity import toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_mixing)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_counts, op5_embedding_duplicates, op6_mixing, op9_license_scan, op10_toxicity)
+}
 SQL: dict[str, str] = {}
