@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadmerge.session import work_path
@@ -84,3 +87,81 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         later = found.withColumnsRenamed({"node": "to"})
         found = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     return found
+
+
+#: Byte tables: A-Z in lower case; the same with all but letters, digits and non-ASCII as spaces.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+ALNUM = np.array(
+    [b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8
+)
+
+
+def word_lists(texts: pa.Array, table: np.ndarray = LOWER) -> tuple[np.ndarray, pa.Array]:
+    """Words between ASCII white space after mapping the bytes by ``table``.
+
+    Returns the offsets of each text's words, and all words one after the other.
+    """
+    texts = pa.concat_arrays([texts])  # offsets from 0
+    _, offsets, data = texts.buffers()
+    mapped = table[np.frombuffer(data, np.uint8)] if data is not None and data.size else np.empty(0, np.uint8)
+    texts = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(mapped))
+    lists = pc.ascii_split_whitespace(texts)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return kept[ends - ends[0]], words.filter(full)
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    coded = words.dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(n) for n in names), np.uint64, len(names))
+    return hashes[coded.indices.to_numpy()] if len(names) else np.empty(0, np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed bijection on 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Bits:
+    """A fixed-size membership filter over 64-bit numbers: no misses, some false alarms."""
+
+    SIZE = 1 << 24
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def collect(cls, df: DataFrame, column: str) -> Bits:
+        """Of a column of longs. At most SIZE / 64 partial words come to the driver."""
+        place = F.pmod(F.xxhash64(column), F.lit(cls.SIZE))
+        parts = (
+            df.select(F.shiftright(place, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
+            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        )
+        words = np.zeros(cls.SIZE // 64, np.int64)
+        words[parts["w"].to_numpy()] = parts["b"].to_numpy()
+        return cls(words.view(np.uint64))
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place = (_xxhash64_long(values.astype(np.int64)).view(np.int64) % self.SIZE).astype(np.int64)
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of a long column (public xxHash64 over eight bytes)."""
+    p1, p2, p3, p4, p5 = (
+        np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+    )
+    rot = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = np.full(len(x), np.uint64(seed) + p5 + np.uint64(8), np.uint64)
+    h ^= rot(x.view(np.uint64) * p2, 31) * p1
+    h = rot(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))

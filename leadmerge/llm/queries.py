@@ -9,6 +9,7 @@ from leadmerge.llm.common import table
 from leadmerge.llm.embeddings import embedding_duplicates
 from leadmerge.llm.licenses import license_scan
 from leadmerge.llm.mixing import mix_sources
+from leadmerge.llm.substrings import substring_dedup
 from leadmerge.llm.tokens import token_counts
 from leadmerge.llm.toxicity import toxicity
 
@@ -25,6 +26,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op5_embedding_duplicates, op6_mixing, op9_license_scan, op10_toxicity)
+    for f in (op2_token_counts, op5_embedding_duplicates, op6_mixing, op8_substring_dedup, op9_license_scan, op10_toxicity)
 }
 SQL: dict[str, str] = {}
