@@ -141,7 +141,7 @@ class Bits:
         """Of a column of longs. At most SIZE / 64 partial words come to the driver."""
         place = F.pmod(F.xxhash64(column), F.lit(cls.SIZE))
         parts = (
-            df.select(F.shiftright(place, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
+            df.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         )
         words = np.zeros(cls.SIZE // 64, np.int64)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadmerge.llm.common import table
+from leadmerge.llm.decontamination import contaminated
 from leadmerge.llm.embeddings import embedding_duplicates
 from leadmerge.llm.licenses import license_scan
 from leadmerge.llm.mixing import mix_sources
@@ -26,6 +27,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -41,6 +46,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op5_embedding_duplicates, op6_mixing, op8_substring_dedup, op9_license_scan, op10_toxicity)
+    for f in (op2_token_counts, op5_embedding_duplicates, op6_mixing, op7_decontamination, op8_substring_dedup, op9_license_scan, op10_toxicity)
 }
 SQL: dict[str, str] = {}
