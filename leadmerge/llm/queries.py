@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leadmerge.llm.common import table
 from leadmerge.llm.decontamination import contaminated
 from leadmerge.llm.embeddings import embedding_duplicates
+from leadmerge.llm.hmm import hmm_scores
 from leadmerge.llm.jaccard import jaccard_components
 from leadmerge.llm.licenses import license_scan
 from leadmerge.llm.mixing import mix_sources
@@ -16,6 +17,10 @@ from leadmerge.llm.tokens import token_counts
 from leadmerge.llm.toxicity import toxicity
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +56,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op4_jaccard_join, op5_embedding_duplicates, op6_mixing, op7_decontamination, op8_substring_dedup, op9_license_scan, op10_toxicity)
+    for f in (op1_hmm_scores, op2_token_counts, op4_jaccard_join, op5_embedding_duplicates, op6_mixing, op7_decontamination, op8_substring_dedup, op9_license_scan, op10_toxicity)
 }
 SQL: dict[str, str] = {}
