@@ -16,6 +16,8 @@ STRIDE = 4
 STEPS, SAMPLED, WALKS = 20, 4, 6
 #: Windows that are walked together.
 BLOCK = 1 << 18
+#: Index keys that are broadcast besides the filter, at most.
+LISTED_KEYS = 1 << 21
 
 
 class Walks:
@@ -115,13 +117,18 @@ def contaminated(
     not looked at.
     """
     index = stage(item_index(items, id_col=item_col, text_col=item_text_col), "index")
-    seen = docs.sparkSession.sparkContext.broadcast(Bits.collect(index, "key").words)
+    # The keys themselves where they are few enough; beyond, the join below sorts out more.
+    listed = index.select("key").distinct().limit(LISTED_KEYS + 1).toArrow()["key"].to_numpy()
+    listed = np.sort(listed) if len(listed) <= LISTED_KEYS else None
+    seen = docs.sparkSession.sparkContext.broadcast((Bits.collect(index, "key").words, listed))
     span = F.size(F.split(F.trim(F.col(item_text_col)), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     longest = items.agg(F.max(span)).first()[0] or 1
     reach = int(longest * (1 + tolerance)) + STEPS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks, known = Walks(), Bits(seen.value)
+        walks = Walks()
+        words, exact = seen.value
+        known = Bits(words)
         schema = pa.schema([("id", pa.int64()), ("words", pa.string()), ("keys", pa.list_(pa.int64()))])
         for batch in batches:
             offsets, words = word_lists(texts_of(batch, "text"), ALNUM)
@@ -129,7 +136,12 @@ def contaminated(
             tokens, starts = _padded(offsets, words)
             owner, word = _windows(lengths, STRIDE)
             keys = walks.keys(tokens, starts[owner] + word)
-            hit = known.has(keys.reshape(-1)).reshape(keys.shape)
+            hit = known.has(keys.reshape(-1))
+            if exact is not None and len(exact):
+                maybe = np.flatnonzero(hit)
+                found = keys.reshape(-1)[maybe]
+                hit[maybe] = exact[np.minimum(np.searchsorted(exact, found), len(exact) - 1)] == found
+            hit = hit.reshape(keys.shape)
             some = np.flatnonzero(hit.any(axis=1))
             out: dict[str, list] = {"id": [], "words": [], "keys": []}
             # Hits of one text whose surroundings meet are one region.
