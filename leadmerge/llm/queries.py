@@ -9,6 +9,7 @@ from leadmerge.llm.common import table
 from leadmerge.llm.decontamination import contaminated
 from leadmerge.llm.embeddings import embedding_duplicates
 from leadmerge.llm.hmm import hmm_scores
+from leadmerge.llm.html import extract_pages
 from leadmerge.llm.jaccard import jaccard_components
 from leadmerge.llm.licenses import license_scan
 from leadmerge.llm.mixing import mix_sources
@@ -25,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hmm_scores, op2_token_counts, op4_jaccard_join, op5_embedding_duplicates, op6_mixing, op7_decontamination, op8_substring_dedup, op9_license_scan, op10_toxicity)
+    for f in (
+        op1_hmm_scores, op2_token_counts, op3_html_extraction, op4_jaccard_join, op5_embedding_duplicates,
+        op6_mixing, op7_decontamination, op8_substring_dedup, op9_license_scan, op10_toxicity,
+    )
 }
 SQL: dict[str, str] = {}
