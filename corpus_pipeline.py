@@ -1,9 +1,72 @@
-"""Corpus pipeline: stages over the documents table, each written before the next."""
+"""Corpus pipeline: stages over the documents table, each written before the next reads it."""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from leadmerge.llm.common import stage, table
+from leadmerge.llm.decontamination import contaminated
+from leadmerge.llm.jaccard import jaccard_components
+from leadmerge.llm.mixing import mix_sources
+from leadmerge.llm.substrings import substring_dedup
+from leadmerge.llm.toxicity import toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression distance does not call toxic; the model is learnt from them and ``labels``."""
+    scores = toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.filter("predicted = 1"))
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest id."""
+    groups = jaccard_components(docs)
+    return _without(docs, groups.filter("doc_id <> component_id"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand in an earlier document; emptied documents go."""
+    cut = substring_dedup(docs)
+    # A text that was empty before is not this stage's to judge.
+    kept = cut.filter("n_removed = 0 or n_removed < n_sentences")
+    return kept.withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    ).select(docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs, up to edits."""
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix_sources(docs)
+
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` whose id is not in ``bad``; documents without an id stay."""
+    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_per_group),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix),
+]
+# Models, hashes and random numbers: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply ``STAGES`` to the documents."""
-    raise NotImplementedError("stages follow")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply ``STAGES`` to the documents; every stage reads what the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, name)
+    return docs
