@@ -15,7 +15,7 @@ from leadmerge.session import work_path
 #: Words of a text: runs of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch handed to Python, whatever the length of the texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ FREQUENT = 64
 #: ... which a fixed-size filter holds: the bound rises so that it is never overfull.
 FILTER_ROWS = 1 << 22
 #: N-grams that one fragment of the order brings together.
-FRAGMENT_ROWS = 2_000_000
+FRAGMENT_ROWS = 1_000_000
 #: Parts of the order in which overlaps of candidates are counted, as shares of it.
 PARTS = (0.0, 0.3, 1.0)
 _TOP = 1 << 62  # n-grams are 62-bit hashes; this bit marks the frequent ones
@@ -173,12 +173,21 @@ def _fragment_pairs(group: pa.Table) -> pa.Table:
     new = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, bool)
     starts = np.flatnonzero(new)
     lengths = np.diff(np.append(starts, len(grams)))
-    codes: list[np.ndarray] = []
+    code, count = np.empty(0, np.int64), np.empty(0, np.int64)
+    waiting: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal code, count, waiting
+        more, k = np.unique(np.concatenate(waiting), return_counts=True)
+        code, at = np.unique(np.concatenate([code, more]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([count, k]), minlength=len(code)).astype(np.int64)
+        waiting = []
+
     if len(starts):
         c = comp[owner]
         mixed_run = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
         end = np.repeat(np.where(mixed_run, starts + lengths, 0), lengths)
-        at, step, waiting = np.arange(len(grams)), 1, 0
+        at, step = np.flatnonzero(end), 1
         while True:
             at = at[at + step < end[at]]
             if not len(at):
@@ -186,11 +195,14 @@ def _fragment_pairs(group: pa.Table) -> pa.Table:
             a, b = owner[at], owner[at + step]
             keep = (comp[a] != comp[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
             a, b = a[keep], b[keep]
-            codes.append(np.minimum(a, b) * base + np.maximum(a, b))
+            waiting.append(np.minimum(a, b) * base + np.maximum(a, b))
             step += 1
-    code, count = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64),) * 2
+            if sum(map(len, waiting)) > 1_000_000:
+                merge()
+        if waiting:
+            merge()
     x, y = rep[code // max(base, 1)], rep[code % max(base, 1)]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "common": count.astype(np.int64)})
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "common": count})
 
 
 def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, fragments: int) -> DataFrame:
@@ -223,7 +235,7 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(length), pa.array(last), _lists(ends, values)], ["rep", "p", "last", "prefix"])
 
-    found = rows.mapInArrow(prefixes, "rep long, p long, last long, prefix array<long>")
+    found = stage(rows.mapInArrow(prefixes, "rep long, p long, last long, prefix array<long>"), "prefixes")
     owned = found.join(sets, "rep")
     width = -(-_TOP // fragments)
 
