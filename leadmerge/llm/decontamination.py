@@ -13,7 +13,9 @@ from leadmerge.llm.common import ALNUM, Bits, hash_words, mixed, stage, texts_of
 #: Windows of a text start at every so many words; items are indexed from every word.
 STRIDE = 4
 #: Steps of a random walk, symbols sampled from it, and walks.
-STEPS, SAMPLED, WALKS = 20, 4, 6
+STEPS, SAMPLED, WALKS = 20, 5, 6
+#: Words that a window has to hold; what is shorter says too little.
+LEAST = 8
 #: Windows that are walked together.
 BLOCK = 1 << 18
 #: Index keys that are broadcast besides the filter, at most.
@@ -31,7 +33,9 @@ class Walks:
     def __init__(self, seed: int = 3, *, steps: int = STEPS, sampled: int = SAMPLED, walks: int = WALKS):
         rng = np.random.default_rng(seed)
         self.odd = rng.integers(0, 1 << 62, (walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.places = [set(rng.choice(steps, sampled, replace=False).tolist()) for _ in range(walks)]
+        # One place out of each of equal parts of the walk, so that a key spans many words.
+        parts = np.array_split(np.arange(steps), sampled)
+        self.places = [{int(rng.choice(p)) for p in parts} for _ in range(walks)]
 
     def keys(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One 63-bit key per start and walk; ``tokens`` has to go on for the steps of a walk."""
@@ -75,8 +79,8 @@ def _padded(offsets: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def _windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word) of every window start."""
-    counts = -(-lengths // stride)
+    """(text, word) of every window start; a text shorter than a window has one."""
+    counts = np.where(lengths > 0, np.maximum(lengths - LEAST, 0) // stride + 1, 0)
     owner = np.repeat(np.arange(len(lengths)), counts)
     return owner, (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
 
