@@ -66,4 +66,30 @@ QUERIES = {
         op6_mixing, op7_decontamination, op8_substring_dedup, op9_license_scan, op10_toxicity,
     )
 }
-SQL: dict[str, str] = {}
+# The others learn, hash, round at random or compare approximately: tested against
+# brute force instead.
+SQL: dict[str, str] = {
+    "op4_jaccard_join": r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from worded where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as common
+  from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by all),
+links as (
+  select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b
+  where 100 * common >= 75 * (s.n + t.n - common)),
+edges as (select a, b from links union all select b, a from links),
+reach as (
+  select a, b from edges
+  union
+  select r.a, e.b from reach r join edges e on r.b = e.a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
+from documents d left join sizes using (doc_id)
+left join (select a as doc_id, min(b) as m from reach group by a) using (doc_id)""",
+}
