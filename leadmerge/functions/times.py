@@ -8,47 +8,66 @@ from pyspark.sql import Column, functions as F
 
 from leadmerge.functions.text import bind, jtrim
 
-# Shapes a spreadsheet timestamp comes in. Slashed dates are month first unless they
-# start with the year; month names may follow a weekday and be cut to three letters.
+# Shapes a spreadsheet timestamp comes in, each with year, month, day and, behind
+# them, hour, minute, second, fraction, half of the day and zone. Slashed dates are
+# month first unless they start with the year; month names may follow a weekday.
 _ISO = r"^\d{4}(-\d{1,2}(-\d{1,2})?)?([T ].*)?$"
-_CLOCK = r"(?:,? +(\d{1,2}:\d{2}(?::\d{2})?))?"
-_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK + "$"
-_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK + "$"
-_HALF_DAY = r"^\d{1,2}/\d{1,2}/\d{4},? +\d{1,2}:\d{2}(:\d{2})? [AP]M$"
-_WEEKDAY = r"^(?:[A-Z][a-z]{2,8}, )?"
-_NAME_FIRST = _WEEKDAY + r"([A-Z][a-z]{2})[a-z]* +(\d{1,2}),? +(\d{4})" + _CLOCK + "(?: GMT)?$"
-_DAY_FIRST = _WEEKDAY + r"(\d{1,2}) +([A-Z][a-z]{2})[a-z]* +(\d{4})" + _CLOCK + "(?: GMT)?$"
+_CLOCK = r"(?:,? +(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?\d*)?(?: ?([ap])\.?m\.?)?)?"
+_ZONE = r" *(?:z|utc|gmt)? *([+-]\d{1,2}(?::?\d{2})?)? *(?:\([^)]*\))?$"
+_DAY = r"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +)?"
+_MONTH = r"((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)\.?"
+_YEAR = r"(\d{4}|\d{2})"
+_REST = "|$4|$5|$6|$7|$8|$9"
+_SHAPES = {
+    _DAY + r"(\d{1,2})/(\d{1,2})/" + _YEAR: "$3|$1|$2",
+    r"^(\d{4})/(\d{1,2})/(\d{1,2})": "$1|$2|$3",
+    _DAY + _MONTH + r"[ -]+(\d{1,2})(?:,| |-)+" + _YEAR: "$3|$1|$2",
+    _DAY + r"(\d{1,2})[ -]*" + _MONTH + r"[ ,-]+" + _YEAR: "$3|$2|$1",
+}
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def tolerant_timestamp(c: Column) -> Column:
     """Any accepted spelling of a time to a UTC instant, else null.
 
-    The shape of the text picks one rewrite and one parser, so a value is parsed
-    once instead of failing through a list of formats.
+    ISO texts, and dates with slashes or English month names in any case, with two or
+    four digits of the year (00 to 49 are 2000 to 2049), optional clock with fractions
+    and AM or PM, and an offset from UTC; without one the text is UTC. The shape picks
+    one rewrite, so a value is taken apart once instead of failing through a list of
+    formats.
     """
     return bind(jtrim(c), _parsed)
 
 
 def _parsed(text: Column) -> Column:
-    rewrite = lambda shape, form: F.regexp_replace(text, shape, form)
-    named = "MMM d yyyy[ H:mm[:ss]]"
-    return (
-        F.when(text.rlike(_ISO), text.try_cast("timestamp"))
-        .when(text.rlike(_MONTH_FIRST), rewrite(_MONTH_FIRST, "$3-$1-$2 $4").try_cast("timestamp"))
-        .when(text.rlike(_YEAR_FIRST), rewrite(_YEAR_FIRST, "$1-$2-$3 $4").try_cast("timestamp"))
-        .when(
-            text.rlike(_HALF_DAY),
-            F.try_to_timestamp(rewrite(",? +", " "), F.lit("M/d/yyyy h:mm[:ss] a")),
-        )
-        .when(
-            text.rlike(_NAME_FIRST),
-            F.try_to_timestamp(F.rtrim(rewrite(_NAME_FIRST, "$1 $2 $3 $4")), F.lit(named)),
-        )
-        .when(
-            text.rlike(_DAY_FIRST),
-            F.try_to_timestamp(F.rtrim(rewrite(_DAY_FIRST, "$2 $1 $3 $4")), F.lit(named)),
-        )
+    lower = F.lower(text)
+    taken = F.lit(None).cast("string")
+    for shape, order in reversed(_SHAPES.items()):
+        whole = shape + _CLOCK + _ZONE
+        taken = F.when(lower.rlike(whole), F.regexp_replace(lower, whole, order + _REST)).otherwise(taken)
+    other = bind(F.split(taken, r"\|", -1), _assembled)
+    return F.when(text.rlike(_ISO), text.try_cast("timestamp")).otherwise(other)
+
+
+def _assembled(parts: Column) -> Column:
+    """Instant from the nine texts of a rewritten time."""
+    year, month, day, hour, minute, second, fraction, half, zone = (parts[i] for i in range(9))
+    number = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.left(month, F.lit(3))).cast("string")
+    year = F.when(F.length(year) == 4, year).otherwise(
+        F.concat(F.when(year < "50", F.lit("20")).otherwise(F.lit("19")), year)
     )
+    h = hour.try_cast("int")
+    h = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(half == "p", 12).otherwise(0))
+    clock = F.when(hour == "", F.lit("0:00:00")).otherwise(
+        F.concat(h.cast("string"), F.lit(":"), minute, F.lit(":"), F.when(second == "", F.lit("00")).otherwise(second), fraction)
+    )
+    digits = F.regexp_replace(zone, "[+:-]", "")
+    hours = F.lpad(F.when(F.length(digits) > 2, F.substring(digits, 1, F.length(digits) - 2)).otherwise(digits), 2, "0")
+    offset = F.when(zone == "", F.lit("Z")).otherwise(
+        F.concat(F.left(zone, F.lit(1)), hours, F.lit(":"), F.when(F.length(digits) > 2, F.right(digits, F.lit(2))).otherwise(F.lit("00")))
+    )
+    month = F.when(month.rlike("^[a-z]"), number).otherwise(month)
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), clock, offset).try_cast("timestamp")
 
 
 def parse_cutoff(text: str | None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leadmerge.functions.text import jtrim
+from leadmerge.functions.text import bind, jtrim
 
 CAPTION_FLAGS = (
     "has_opening_keywords", "has_relocation_keywords", "has_ownership_keywords",
@@ -30,8 +30,18 @@ def verdict_document(response: Column) -> Column:
 
 
 def _truthy(document: Column, path: str) -> Column:
-    text = F.try_variant_get(document, path, "string")
-    return F.coalesce(~text.isin("", "false", "0"), F.lit(False))
+    """Any value but false, zero, null and the empty text; texts "false" and "0" count."""
+
+    def counts(value: Column) -> Column:
+        kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+        return (
+            F.when(value.isNull() | (kind == "VOID"), F.lit(False))
+            .when(kind == "STRING", text != "")
+            .when(kind == "BOOLEAN", text == "true")
+            .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
+        )
+
+    return bind(F.try_variant_get(document, path, "variant"), counts)
 
 
 def verdict_fields(document: Column) -> Column:

@@ -50,7 +50,6 @@ def new_masters(
     *,
     base: str = BASE_SOURCE,
     secondary: str = SECONDARY_SOURCE,
-    **options,
 ) -> DataFrame:
     """Masters this batch adds.
 
@@ -63,7 +62,7 @@ def new_masters(
     secondary_rows = rows.where(F.col("source") == secondary)
     keys = base_match_keys(stage, stored_masters, batch_rows, base=base)
     candidates = base_rows.unionByName(
-        drop_members(secondary_rows, keys, "match_key", **options)
+        drop_members(secondary_rows, keys, "match_key")
     )
     known = stored_keys(stored_masters, rows, "dedup_key", batch_rows)
     return candidates.join(known, "dedup_key", "left_anti")
@@ -83,7 +82,7 @@ def omitted_count(
         .groupBy("match_key")
         .agg(F.count("*").alias("_n"))
     )
-    keys = base_match_keys(stage, stored_masters, batch_rows, base=base)
+    keys = base_match_keys(stage, stored_masters, batch_rows, base=base).distinct()
     hits = per_key.join(keys, "match_key", "left_semi")
     return hits.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("omitted"))
 
@@ -91,7 +90,7 @@ def omitted_count(
 def link_raw(raw: DataFrame, masters: DataFrame) -> DataFrame:
     """Stored occurrences with their master; ``master_key`` is null if unlinked.
 
-    A heavy dedup key (many copies) is resolved in place, see :func:`attach`.
+    For heavy dedup keys (many copies) see :func:`attach`.
     """
     keys = masters.select("dedup_key").distinct().withColumn("master_key", F.col("dedup_key"))
     return attach(raw, keys, "dedup_key")
@@ -129,12 +128,12 @@ def jobs_to_enqueue(
     candidates: DataFrame, jobs: DataFrame, *, rules_version: str = RULES_VERSION
 ) -> DataFrame:
     """``(dedup_key, rules_version)`` for candidates without an active job."""
-    active = jobs.where(F.col("status").isin(*JOB_ACTIVE)).select("dedup_key")
+    active = jobs.where(F.col("status").isin(*JOB_ACTIVE)).select("dedup_key").distinct()
     free = candidates.select("dedup_key").join(active, "dedup_key", "left_anti")
     return free.select("dedup_key", F.lit(rules_version).alias("rules_version"))
 
 
-def possible_duplicates(masters: DataFrame, key: str = "dedup_key", fingerprint: str = "fingerprint", **options) -> DataFrame:
+def possible_duplicates(masters: DataFrame, key: str = "dedup_key", fingerprint: str = "fingerprint") -> DataFrame:
     """Optional flag: ``possible_duplicate_of`` is the least key with the same
     fingerprint, null for that one and for rows without fingerprint.
 
@@ -146,7 +145,7 @@ def possible_duplicates(masters: DataFrame, key: str = "dedup_key", fingerprint:
         .groupBy(fingerprint)
         .agg(F.min(key).alias("_least"))
     )
-    flagged = attach(masters, least, fingerprint, **options)
+    flagged = attach(masters, least, fingerprint)
     return flagged.withColumn(
         "possible_duplicate_of", F.when(F.col("_least") != F.col(key), F.col("_least"))
     ).drop("_least")

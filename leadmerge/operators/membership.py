@@ -1,29 +1,24 @@
-"""Testing rows of one table for a key of another, safe against hot keys.
+"""Testing rows of one table for a key of another, safe against hot and missing keys.
 
-Row-level semi, anti and mark joins all go through :func:`mark_members`:
+Row-level semi, anti and mark joins all go through :func:`mark_members`. The left
+side is read once and joined once:
 
-* keyless rows never enter the join (they match nothing, and a shuffle would put
-  all of them in one partition);
 * the right side is reduced to distinct keys first, so copies collapse before
   they are shuffled and no row is multiplied;
-* the heaviest keys of the left side are found from per-key counts (combined
-  before the shuffle) and resolved through a broadcast of at most
-  ``HOT_KEY_SLOTS`` rows, so their rows stay where they are. Every other key holds
-  at most ``1/HOT_KEY_SLOTS`` of the rows and takes the shuffled join.
-
-The result does not depend on which keys were treated as heavy.
+* keyless rows match nothing; a second join column deals them over all partitions,
+  where a join on the key alone would gather them in one;
+* a heavy key of the left side makes a large partition whose other side is one row
+  per key: adaptive execution splits it (``skewJoin``, set by ``session.prepare``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Upper bound of the hot-key table, and so of what is broadcast.
-HOT_KEY_SLOTS = 1000
-# Below this many rows a key is no burden for one task.
-HOT_KEY_ROWS = 1_000_000
 # Largest batch whose keys are broadcast to probe a stored table.
 PROBE_ROWS = 200_000
+# Parts over which rows without key are dealt.
+KEYLESS_PARTS = 1 << 16
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
@@ -31,75 +26,35 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(key).distinct()
 
 
-def hot_keys(
-    df: DataFrame, key: str, *, min_rows: int = HOT_KEY_ROWS, slots: int = HOT_KEY_SLOTS
-) -> DataFrame:
-    """The ``slots`` heaviest keys with at least ``min_rows`` rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    heavy = counts.where(F.col("_n") >= min_rows)
-    return heavy.orderBy(F.desc("_n"), key).limit(slots).select(key)
-
-
-def mark_members(
-    rows: DataFrame,
-    keys: DataFrame,
-    key: str,
-    flag: str = "is_member",
-    *,
-    min_hot_rows: int = HOT_KEY_ROWS,
-) -> DataFrame:
+def _deal(rows: DataFrame, key: str) -> Column:
+    """0 for rows with a key, spread values for rows without."""
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(KEYLESS_PARTS)).cast("int")
+    return F.when(F.col(key).isNull(), part).otherwise(F.lit(0))
+
+
+def mark_members(rows: DataFrame, keys: DataFrame, key: str, flag: str = "is_member") -> DataFrame:
     """All ``rows`` plus a boolean: does ``key`` occur in ``keys``? Null: false."""
-    hot = hot_keys(rows, key, min_rows=min_hot_rows)
-    hot_hits = (
-        keys.select(key)
-        .join(F.broadcast(hot), key, "left_semi")
-        .distinct()
-        .withColumn("_hit", F.lit(True))
-    )
-    hot_marked = hot.join(F.broadcast(hot_hits), key, "left").select(
-        F.col(key).alias("_hot_key"), F.coalesce("_hit", F.lit(False)).alias("_hot_hit")
-    )
-    tagged = rows.join(
-        F.broadcast(hot_marked), F.col(key) == F.col("_hot_key"), "left"
-    ).drop("_hot_key")
-    settled = tagged.where(F.col(key).isNull() | F.col("_hot_hit").isNotNull())
-    settled = settled.withColumn(flag, F.coalesce("_hot_hit", F.lit(False)))
     members = distinct_keys(keys, key).withColumn("_hit", F.lit(True))
-    cold = tagged.where(F.col(key).isNotNull() & F.col("_hot_hit").isNull())
-    cold = cold.join(members, key, "left").withColumn(
-        flag, F.coalesce("_hit", F.lit(False))
-    )
-    columns = [*rows.columns, flag]
-    return settled.select(*columns).unionByName(cold.select(*columns))
+    hit = F.coalesce("_hit", F.lit(False)).alias(flag)
+    return attach(rows, members, key).select(*rows.columns, hit)
 
 
-def keep_members(rows: DataFrame, keys: DataFrame, key: str, **options) -> DataFrame:
+def keep_members(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``keys``."""
-    return mark_members(rows, keys, key, "_member", **options).where("_member").drop("_member")
+    return mark_members(rows, keys, key, "_member").where("_member").drop("_member")
 
 
-def drop_members(rows: DataFrame, keys: DataFrame, key: str, **options) -> DataFrame:
+def drop_members(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is null or does not occur in ``keys``."""
-    return mark_members(rows, keys, key, "_member", **options).where("not _member").drop("_member")
-
+    return mark_members(rows, keys, key, "_member").where("not _member").drop("_member")
 
-def attach(rows: DataFrame, lookup: DataFrame, key: str, *, min_hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Left join to a lookup with one row per key, heavy keys kept in place.
 
-    Same split as :func:`mark_members`: keyless rows get nulls without a shuffle,
-    heavy keys read a broadcast slice of the lookup (at most ``HOT_KEY_SLOTS``
-    rows), the rest is a shuffled join.
-    """
+def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join to a lookup with one row per key; keyless rows get nulls."""
     added = [c for c in lookup.columns if c != key]
-    hot = hot_keys(rows, key, min_rows=min_hot_rows).withColumn("_is_hot", F.lit(True))
-    hot_lookup = lookup.join(F.broadcast(hot.select(key)), key, "left_semi")
-    hot_rows = F.broadcast(hot.join(F.broadcast(hot_lookup), key, "left"))
-    tagged = rows.join(hot_rows, key, "left")
-    columns = [*rows.columns, *added]
-    settled = tagged.where(F.col(key).isNull() | F.col("_is_hot").isNotNull())
-    cold = tagged.where(F.col(key).isNotNull() & F.col("_is_hot").isNull())
-    cold = cold.select(*rows.columns).join(lookup, key, "left")
-    return settled.select(*columns).unionByName(cold.select(*columns))
+    dealt = rows.withColumn("_deal", _deal(rows, key))
+    found = lookup.where(F.col(key).isNotNull()).withColumn("_deal", F.lit(0))
+    return dealt.join(found, [key, "_deal"], "left").select(*rows.columns, *added)
 
 
 def stored_keys(

@@ -8,27 +8,27 @@ from leadmerge.operators.membership import distinct_keys, drop_members, keep_mem
 from leadmerge.operators.onerow import side_by_side
 
 
-def kept_secondary(base: DataFrame, secondary: DataFrame, key: str = "match_key", **options) -> DataFrame:
+def kept_secondary(base: DataFrame, secondary: DataFrame, key: str = "match_key") -> DataFrame:
     """Secondary rows whose key is null or absent from the base."""
-    return drop_members(secondary, base, key, **options)
+    return drop_members(secondary, base, key)
 
 
-def omitted_secondary(base: DataFrame, secondary: DataFrame, key: str = "match_key", **options) -> DataFrame:
+def omitted_secondary(base: DataFrame, secondary: DataFrame, key: str = "match_key") -> DataFrame:
     """Secondary rows the base already has."""
-    return keep_members(secondary, base, key, **options)
+    return keep_members(secondary, base, key)
 
 
-def split_secondary(base: DataFrame, secondary: DataFrame, key: str = "match_key", **options) -> DataFrame:
+def split_secondary(base: DataFrame, secondary: DataFrame, key: str = "match_key") -> DataFrame:
     """All secondary rows with ``omitted`` true or false, in one pass."""
-    return mark_members(secondary, base, key, "omitted", **options)
+    return mark_members(secondary, base, key, "omitted")
 
 
-def asymmetric_merge(base: DataFrame, secondary: DataFrame, key: str = "match_key", **options) -> DataFrame:
+def asymmetric_merge(base: DataFrame, secondary: DataFrame, key: str = "match_key") -> DataFrame:
     """Every base row, and every secondary row the base does not have.
 
     Neither source is deduplicated against itself.
     """
-    return base.unionByName(kept_secondary(base, secondary, key, **options))
+    return base.unionByName(kept_secondary(base, secondary, key))
 
 
 def merge_counts(base: DataFrame, secondary: DataFrame, key: str = "match_key") -> DataFrame:

@@ -18,12 +18,16 @@ def merge_payloads(
     """Per master, for each header the first non-blank cell in ``order``.
 
     The first aggregate reduces to one value per master and header before the
-    shuffle; the second gathers at most one entry per header.
+    shuffle; the second gathers at most one entry per header. Headers come in the
+    order in which the rows introduce them, so of two that trim to the same text the
+    later one still counts as the later.
     """
-    cells = rows.select(key, *order, F.explode(payload).alias("_header", "_cell"))
-    filled = cells.where(~is_blank(F.col("_cell")))
-    first = filled.groupBy(key, "_header").agg(
-        F.min_by("_cell", F.struct(*order)).alias("_cell")
-    )
-    entries = F.collect_list(F.struct("_header", "_cell"))
-    return first.groupBy(key).agg(F.map_from_entries(entries).alias("merged_payload"))
+    cells = rows.select(key, *order, F.posexplode(payload).alias("_place", "_header", "_cell"))
+    at = F.struct(*order, "_place")
+    full = ~is_blank(F.col("_cell"))
+    first = cells.groupBy(key, "_header").agg(
+        F.min(at).alias("_at"), F.min_by(F.when(full, F.col("_cell")), F.when(full, at)).alias("_cell")
+    ).where("_cell is not null")
+    entries = F.sort_array(F.collect_list(F.struct("_at", "_header", "_cell")))
+    pairs = F.transform(entries, lambda e: F.struct(e["_header"], e["_cell"]))
+    return first.groupBy(key).agg(F.map_from_entries(pairs).alias("merged_payload"))

@@ -100,7 +100,7 @@ def requeue_candidates(
     order: Sequence[str] = ("created_at", "dedup_key"),
 ) -> DataFrame:
     """Leads still INGESTED without an active job, oldest first; 0 means all."""
-    active = jobs.where(F.col("status").isin(*JOB_ACTIVE)).select("dedup_key")
+    active = jobs.where(F.col("status").isin(*JOB_ACTIVE)).select("dedup_key").distinct()
     waiting = masters.where(F.col("status") == "INGESTED").join(active, "dedup_key", "left_anti")
     return waiting.orderBy(*order).limit(limit) if limit > 0 else waiting
 

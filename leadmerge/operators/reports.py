@@ -12,11 +12,15 @@ from leadmerge.operators.stats import found_by_both, link_counts
 def shadow_delta(served: DataFrame, links: DataFrame) -> DataFrame:
     """Per source: rows served, rows stored, rows missing from the store.
 
+    Sources on either side are kept; stored rows of a source that serves nothing make
+    ``missing`` negative.
     ``served``: rows of the sources with a ``source`` column.
     """
     there = served.groupBy("source").agg(F.count("*").alias("served"))
     here = links.groupBy("source").agg(F.count("*").alias("stored"))
-    both = there.join(here, "source", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+    both = there.join(here, "source", "full").select(
+        "source", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("served", "stored")]
+    )
     return both.withColumn("missing", F.col("served") - F.col("stored"))
 
 

@@ -90,11 +90,6 @@ def latency(results: DataFrame, jobs: DataFrame) -> DataFrame:
     return joined.agg(F.round(mean).alias("avg_validation_seconds"))
 
 
-def mean_seconds(later: Column, earlier: Column) -> Column:
-    """Aggregate: rounded mean seconds between two instants of a row."""
-    return F.round(F.avg(epoch_seconds_between(later, earlier)))
-
-
 def validation_counts(status: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
     """Decision, queue, layer and cost figures in one row.
 

@@ -222,9 +222,12 @@ EVIDENCE_SCHEMA = (
 def evidence_records(responses: DataFrame, provider: str = "validator") -> DataFrame:
     """Evidence responses ``(dedup_key, evidence_json)`` as evidence rows.
 
-    A post counts as existing unless the response says otherwise.
+    A post counts as existing unless the response says otherwise. A response that is
+    missing or no JSON object is no evidence: it makes no row, so it is fetched again.
     """
-    parsed = responses.withColumn("_e", F.from_json("evidence_json", EVIDENCE_SCHEMA))
+    kind = F.schema_of_variant(F.try_parse_json("evidence_json"))
+    readable = responses.where(kind.startswith("OBJECT"))
+    parsed = readable.withColumn("_e", F.from_json("evidence_json", EVIDENCE_SCHEMA))
     e = F.col("_e")
     exists = ~e["success"].eqNullSafe(F.lit(False)) & ~e["status"].eqNullSafe(F.lit("not_found"))
     return parsed.select(

@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with an equivalent SQL text."""
 
-from leadmerge.plans.catalog import mapping, merging, reporting, scalars, validating
+from leadmerge.plans.catalog import mapping, merging, reporting, running, scalars, validating
 from leadmerge.plans.catalog.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "mapping", "merging", "reporting", "scalars", "validating"]
+__all__ = ["QUERIES", "SQL", "mapping", "merging", "reporting", "running", "scalars", "validating"]

@@ -114,7 +114,7 @@ def day_links(t: Tables) -> DataFrame:
         F.concat_ws("/", F.lpad(F.col("user_id").cast("string"), 9, "0"), day).alias("dedup_key"),
         F.col("event_type").alias("source"),
         F.col("ts").cast("timestamp").alias("first_seen"),
-    ).where(F.col("source").isin("click", "view"))
+    )
 
 
 PAIR = {"base": "click", "secondary": "view"}
@@ -341,14 +341,6 @@ def dedup_report(t: Tables):
     return reports.dedup_report(masters, links)
 
 
-@query("""
-select event_id as run_id, event_type as source, strftime(ts, '%Y-%m-%d %H:%M:%S') as started_at
-from events order by ts desc, event_id desc limit 50""")
-def recent_runs(t: Tables):
-    runs = t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    return runs.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("source"), text_time(F.col("ts")).alias("started_at"))
-
-
 @query("""
 select arg_max(event_id, {'a': ts, 'b': event_id}) as run_id, event_type as source,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') as started_at

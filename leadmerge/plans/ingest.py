@@ -67,12 +67,31 @@ def ingest(
         done = store.finished_run(idempotency_key)
         if done is not None:
             return {**_result(done), "replayed": True}
+    if max_rows is not None and (given := items.limit(max_rows + 1).count()) > max_rows:
+        raise ValueError(f"batch too large ({given} > {max_rows})")
     run_id, as_of = run_id_for(idempotency_key), as_of or utc_now()
     ledger = dict(
         run_id=run_id, kind="ingest", source=source, idempotency_key=idempotency_key, started_at=as_of
     )
     store.log_run(**ledger, status="RUNNING")
+    try:
+        status, counts = _ingest(
+            store, items, run_id, as_of, cutoff=cutoff, names=names, flag_duplicates=flag_duplicates, **mapping
+        )
+    except Exception:
+        # Not finished, so nothing of it is visible and the key may be sent again.
+        store.log_run(**ledger, status="FAILED")
+        raise
+    store.log_run(**ledger, status=status, finished_at=as_of, **counts)
+    store.drop_stage(run_id)
+    return {"run_id": run_id, "status": status, **counts, "replayed": False}
+
 
+def _ingest(
+    store: LeadStore, items: DataFrame, run_id: str, as_of: datetime, *, cutoff: str | None, names: Names,
+    flag_duplicates: bool, **mapping,
+) -> tuple[str, dict[str, Any]]:
+    """Write the tables of one run; its status and counts."""
     known = F.coalesce(F.col("source").isin(names.base, names.secondary), F.lit(False))
     problem = (
         F.when(~known, F.concat(F.lit("unknown source "), F.coalesce("source", F.lit("null"))))
@@ -81,8 +100,6 @@ def ingest(
     parsed = canonical(items.select("source", "raw_payload", problem.alias("problem")), **mapping)
     staged = store.stage(run_id, with_fingerprint(parsed))
     received, errors = staged.agg(F.count("*"), F.count("problem")).first()
-    if max_rows is not None and received > max_rows:
-        raise ValueError(f"batch too large ({received} > {max_rows})")
     samples = [r.problem for r in staged.where("problem is not null").limit(ERROR_SAMPLES).collect()]
     good, rows = staged.where("problem is null").drop("problem"), received - errors
 
@@ -119,9 +136,7 @@ def ingest(
         jobs_created=queued,
         error_samples=samples,
     )
-    status = "FAILED" if errors > 0 and inserted == 0 else "COMPLETED"
-    store.log_run(**ledger, status=status, finished_at=as_of, **counts)
-    return {"run_id": run_id, "status": status, **counts, "replayed": False}
+    return ("FAILED" if errors > 0 and inserted == 0 else "COMPLETED"), counts
 
 
 def _result(row: dict[str, Any]) -> dict[str, Any]:

@@ -13,7 +13,7 @@ from leadmerge.functions.times import as_instant
 from leadmerge.operators import reports, stats
 from leadmerge.operators.canonical import display_rows
 from leadmerge.operators.latest import latest_per_key
-from leadmerge.operators.listing import lead_list, master_filters, page_of, page_summary
+from leadmerge.operators.listing import lead_list, master_filters, page_after, page_of, page_summary
 from leadmerge.operators.onerow import side_by_side
 from leadmerge.plans.ingest import Names
 from leadmerge.session import cut_lineage
@@ -85,8 +85,13 @@ class LeadReader:
         return page_summary(rows, page, page_size)
 
     def export_csv(self, path: str, *, limit: int | None = None, **filters) -> None:
-        """Write all matching display rows as CSV part files."""
-        write_csv(display_rows(self.leads(**filters)), path, limit=limit)
+        """Write matching display rows as CSV part files, newest first."""
+        rows = self.leads(**filters).orderBy(F.desc("created_at"), F.desc("dedup_key"))
+        write_csv(display_rows(rows), path, limit=limit)
+
+    def page_after(self, created_at, dedup_key: str, page_size: int | None = None, **filters) -> DataFrame:
+        """Display rows behind a known last row, newest first; costs the same at any depth."""
+        return display_rows(page_after(self.leads(**filters), created_at, dedup_key, page_size))
 
     def stats(self, as_of_date: str) -> DataFrame:
         """Overview, source comparison and validation figures in one row."""
@@ -125,6 +130,8 @@ class LeadReader:
             if not keys:
                 raise ValueError("no master keys to mark")
             keys = spark.createDataFrame([(k,) for k in keys], "dedup_key string")
+        elif keys.isEmpty():
+            raise ValueError("no master keys to mark")
         run_id = f"export-{uuid.uuid4().hex}"
         log: dict[str, Any] = dict(run_id=run_id, kind="export", started_at=as_of)
         self.store.log_run(**log, status="RUNNING")
@@ -135,8 +142,6 @@ class LeadReader:
         )
         self.store.write_run("exports", run_id, rows)
         marked = self.store.read_run("exports", run_id).count()
-        if marked == 0:
-            raise ValueError("no master keys to mark")
         self.store.log_run(**log, status="COMPLETED", finished_at=as_of, received=marked)
         return marked
 

@@ -78,16 +78,17 @@ def run_validation(
     keys = F.broadcast(keys) if handled <= PROBE_ROWS else keys
     masters = store.masters(keys)
     screen_rules = {k: v for k, v in rules.items() if k in ("freshness_hours", "keywords")}
+    passed = screen(masters, as_of, **screen_rules).where("reject_reason is null")
+    stored = latest_evidence(keyed_by(store.read("evidence"), keys))
+    if evidence is not None:
+        missing = needs_evidence(passed, stored)
+        fetched = evidence_records(evidence(scoring_rows(store, missing, keys=keys)))
+        store.write_run("evidence", run_id, fetched.withColumn("collected_at", now))
+        stored = stored.unionByName(latest_evidence(store.read_run("evidence", run_id)))
     if isinstance(scorer, DataFrame):
-        verdicts = latest_verdicts(scorer)
+        # A table of verdicts may be large: only those of the claimed leads are compared.
+        verdicts = latest_verdicts(keyed_by(scorer, keys))
     else:
-        passed = screen(masters, as_of, **screen_rules).where("reject_reason is null")
-        stored = latest_evidence(keyed_by(store.read("evidence"), keys))
-        if evidence is not None:
-            missing = needs_evidence(passed, stored)
-            fetched = evidence_records(evidence(scoring_rows(store, missing, keys=keys)))
-            store.write_run("evidence", run_id, fetched.withColumn("collected_at", now))
-            stored = stored.unionByName(latest_evidence(store.read_run("evidence", run_id)))
         verdicts = latest_verdicts(scorer(scoring_rows(store, passed, stored, keys)))
 
     keep = ["dedup_key", "norm_permalink", "message", "location", "post_timestamp", "business_name", "phone", "postcode"]
@@ -123,6 +124,8 @@ def run_validation(
     store.log_run(
         run_id=run_id, kind="validate", status="COMPLETED", started_at=as_of, finished_at=as_of, received=handled
     )
+    store.drop_stage(run_id)
+    store.drop_stage(f"{run_id}-outcome")
     return handled
 
 
@@ -135,13 +138,13 @@ def latest_verdicts(verdicts: DataFrame) -> DataFrame:
     return first_per_key(verdicts.select(*columns), ["dedup_key"], ["response_json", "error"])
 
 
-def drain(store: LeadStore, scorer: Scorer | DataFrame, *, max_rounds: int = 1000, **options) -> int:
-    """Handle batches until no job is due."""
+def drain(store: LeadStore, scorer: Scorer | DataFrame, **options) -> int:
+    """Handle batches until no job is due, however many that takes.
+
+    Every round moves its jobs on: they end, or wait with one attempt less.
+    """
     total = 0
-    for _ in range(max_rounds):
-        handled = run_validation(store, scorer, **{"limit": None, **options})
-        if handled == 0:
-            break
+    while handled := run_validation(store, scorer, **{"limit": None, **options}):
         total += handled
     return total
 

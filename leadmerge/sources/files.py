@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from leadmerge.sources.grids import grid_rows
 
 MAX_COLUMNS = 64
-# A text that no cell holds, so that empty cells stay '' and only missing cells
-# read as null.
-_NO_VALUE = "\x00\x00"
 
 
 def read_cells(
@@ -21,10 +18,12 @@ def read_cells(
 ) -> DataFrame:
     """Delimited files as a cell grid, one grid per file.
 
-    Quoted fields may hold commas, doubled quotes and line breaks. Rows wider than
-    ``max_columns`` fail the job instead of losing cells. ``multiline=False`` lets
-    Spark split large files when no cell holds a line break. Unlike a strict
-    character reader, quotes in the middle of an unquoted field are kept.
+    Quoted fields may hold commas, doubled quotes and line breaks. Every cell keeps its
+    place: empty ones are '', only those missing at the end of a row are left out.
+    Cells beyond ``max_columns`` + 1 are not read; :func:`read_rows` fails on a header
+    that wide, while a data row may be wider than its header. ``multiline=False`` lets
+    Spark split large files when no cell holds a line break. Unlike a strict character
+    reader, quotes in the middle of an unquoted field are kept.
     """
     names = [f"_c{i}" for i in range(max_columns + 1)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -33,12 +32,12 @@ def read_cells(
         .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
-        .option("nullValue", _NO_VALUE)
         .option("maxColumns", max(20480, max_columns + 1))
         .csv(path)
     )
-    too_wide = F.raise_error(F.lit(f"row has more than {max_columns} columns"))
-    cells = F.filter(F.array(*names), lambda c: c.isNotNull())
+    # The reader gives null for a missing and for an unquoted empty cell.
+    width = F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), F.lit(i + 1)) for i, n in enumerate(names)])
+    cells = F.slice(F.transform(F.array(*names), lambda c: F.coalesce(c, F.lit(""))), F.lit(1), width)
     return lines.select(
         F.col("_metadata.file_path").alias("grid_id"),
         # Splits of one file may be read in any order: block first, then row.
@@ -46,9 +45,7 @@ def read_cells(
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("row_idx"),
-        F.when(F.col(names[-1]).isNotNull(), too_wide.cast("array<string>"))
-        .otherwise(cells)
-        .alias("cells"),
+        cells.alias("cells"),
     )
 
 
@@ -58,8 +55,14 @@ def read_rows(
     source: str,
     *,
     min_cells: int = 1,
+    max_columns: int = MAX_COLUMNS,
     **options,
 ) -> DataFrame:
-    """Whole files of one source as ingest items ``(source, raw_payload)``."""
-    rows = grid_rows(read_cells(spark, path, **options), min_cells, checked=True)
+    """Whole files of one source as ingest items ``(source, raw_payload)``.
+
+    A header wider than ``max_columns`` fails the job; surplus cells of a data row are
+    dropped.
+    """
+    cells = read_cells(spark, path, max_columns=max_columns, **options)
+    rows = grid_rows(cells, min_cells, checked=True, max_header=max_columns)
     return rows.select(F.lit(source).alias("source"), "raw_payload")

@@ -51,16 +51,21 @@ def row_payload(header: Column, cells: Column) -> Column:
     return F.map_from_arrays(header, F.transform(padded, lambda c: F.coalesce(c, F.lit(""))))
 
 
-def grid_rows(grid: DataFrame, min_cells: int = 1, *, checked: bool = False) -> DataFrame:
+def grid_rows(
+    grid: DataFrame, min_cells: int = 1, *, checked: bool = False, max_header: int | None = None
+) -> DataFrame:
     """Data rows below the detected header as ``(grid_id, row_idx, raw_payload)``.
 
     ``min_cells=1`` takes the first non-blank row as header, ``min_cells=2`` skips
     one-cell titles. With ``checked=True`` the headers are written to the
     checkpoint folder, measured and broadcast up to ``BROADCAST_BYTES``, so the
     rows are not shuffled; otherwise, and beyond it, rows and headers are joined by
-    grid with heavy grids kept in place.
+    grid. A header of more than ``max_header`` cells fails the job.
     """
     headers, small = grid_headers(grid, min_cells), False
+    if max_header is not None:
+        wide = F.raise_error(F.lit(f"header has more than {max_header} columns")).cast("array<string>")
+        headers = headers.withColumn("header", F.when(F.size("header") > max_header, wide).otherwise(F.col("header")))
     if checked:
         headers = cut_lineage(headers)
         width = F.octet_length(F.concat_ws("", "header")) + F.octet_length("grid_id") + 8 * F.size("header") + 64

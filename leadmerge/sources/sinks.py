@@ -19,7 +19,8 @@ def csv_lines(rows: DataFrame, columns=CSV_COLUMNS) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, columns=CSV_COLUMNS, *, limit: int | None = None) -> None:
     """Write display rows as CSV part files, each starting with the header.
 
-    All rows are written unless a ``limit`` is asked for. The cells are flattened
+    Part files follow the order of ``rows``. All rows are written unless a ``limit`` is
+    asked for, which takes the first ones, so ``rows`` should be sorted. The cells are flattened
     here; quoting is left to Spark's writer, which quotes only where needed.
     """
     from leadmerge.functions.text import one_line

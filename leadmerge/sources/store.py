@@ -126,11 +126,16 @@ class LeadStore:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def drop_stage(self, run_id: str) -> None:
+        """Delete the intermediate table of a finished run."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/stage/run_id={run_id}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # -- ledger ------------------------------------------------------------------
 
     def runs(self) -> DataFrame:
         """Last ledger row per run."""
-        finished = F.struct(F.col("finished_at").isNotNull(), "finished_at")
+        finished = F.struct(F.col("finished_at").isNotNull(), F.col("status") != "RUNNING", "finished_at")
         rows = self._all("runs")
         picked = rows.groupBy("run_id").agg(
             F.max_by(F.struct(*rows.columns), finished).alias("_r")
@@ -176,9 +181,24 @@ class LeadStore:
         return current_jobs(self.read("jobs"))
 
     def raw(self, columns: Sequence[str] = ("source", "source_record_id", "dedup_key", "raw_payload", "received_at")) -> DataFrame:
-        """Stored occurrences, one row each."""
+        """Stored occurrences, one row each, as they first came."""
         return self.read("raw").select(*columns)
 
+    def raw_refreshed(self) -> DataFrame:
+        """Stored occurrences with the time and run of their last sighting.
+
+        Sightings are reduced to one row per occurrence before they meet the payloads.
+        """
+        raw, sightings = self.read("raw", "sightings")
+        key = ["source", "source_record_id"]
+        last = sightings.groupBy(*key).agg(F.max(F.struct("seen_at", "run_id")).alias("_last"))
+        rows = raw.select(*key, "dedup_key", "raw_payload", "received_at", "run_id").join(last, key, "left")
+        return rows.select(
+            *key, "dedup_key", "raw_payload",
+            F.coalesce("_last.seen_at", "received_at").alias("received_at"),
+            F.coalesce("_last.run_id", "run_id").alias("run_id"),
+        )
+
 
 def utc_now() -> datetime:
     """Wall clock for callers that give no ``as_of``."""

@@ -33,12 +33,30 @@ def secondary_row_spaced(name, phone, url):
     }
 
 
-A_BASE = base_row("Mill Café", "01130 567890", "https://www.facebook.com/MillCafe/posts/5550001?fbclid=xyz")
-B_BASE = base_row("Lantern Books", "07700 456789", "https://www.facebook.com/permalink.php?story_fbid=5550002&id=77", postcode="YO1 7HH")
-D_BASE = base_row("Quay Bakery", "(0151) 600 9999", "", postcode="L3 4AA")
-A_SECOND = secondary_row("Mill Cafe Ltd", "+44 (0)1130 567890", "https://m.facebook.com/MillCafe/posts/5550001")
-C_SECOND = secondary_row("Arch Bistro", "0161 600 0000", "https://www.facebook.com/archbistro/posts/5550003", postcode="M4 1AB")
-D_SECOND = secondary_row("Quay Bakery Ltd", "+44 151 600 1234", "https://www.facebook.com/quay/posts/5550004", postcode="L3 4AA")
+# Generated firms: trade and street by number, phone and post id from it.
+TRADES = ("Plumber", "Florist", "Dentist", "Garage", "Tailor", "Optician", "Brewery", "Pharmacy")
+
+
+def number(i):
+    """National digits of firm i."""
+    return f"1{i:03d}200{i:03d}"
+
+
+def firm(i):
+    return f"{TRADES[i % len(TRADES)]} No {i}"
+
+
+def post(i, host="www.facebook.com", tail=""):
+    return f"https://{host}/firm{i}/posts/{900000 + i}{tail}"
+
+
+A_BASE = base_row(firm(1), "0" + number(1), post(1, tail="?fbclid=t1"))
+B_BASE = base_row(firm(2), "0044 " + number(2), f"https://www.facebook.com/permalink.php?story_fbid=900002&id=2", postcode="BT1 2AA")
+D_BASE = base_row(firm(4), "+44" + number(4), "", postcode="CF10 4DD")
+# The first firm again by its phone, a new firm, and the fourth firm under a second phone.
+A_SECOND = secondary_row(firm(1) + " Limited", "44" + number(1), post(1, host="m.facebook.com"))
+C_SECOND = secondary_row(firm(3), "0" + number(3), post(3), postcode="EH3 3CC")
+D_SECOND = secondary_row(firm(4) + " Ltd", "0" + number(40), post(4), postcode="CF10 4DD")
 
 
 def items(spark, source, rows):

@@ -16,7 +16,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     got = spark_table(entry.queries()[name](spark, SF_DIR))
     assert got == sql_table(con, entry.oracle_sql()[name])

@@ -59,7 +59,7 @@ def test_ingest_read_and_report(spark, store, tmp_path):
 
     # The omitted copy stays stored, without a master.
     left = unlinked_raw(store.raw(), store.read("masters")).collect()
-    assert [(r.source, r.raw_payload["Company Name"]) for r in left] == [("MFULL", "Mill Cafe Ltd")]
+    assert [(r.source, r.raw_payload["Company Name"]) for r in left] == [("MFULL", "Florist No 1 Limited")]
 
     # Again: nothing new, everything refreshed; links keep their first sighting.
     again = [ingest(store, b, source=s, as_of=DAY2) for s, b in (("NFULL", base), ("MFULL", second))]
@@ -78,7 +78,7 @@ def test_ingest_read_and_report(spark, store, tmp_path):
     assert (s.combined_unique, s.found_by_both, s.base_only, s.secondary_only, s.duplicates_removed) == (5, 0, 3, 2, 1)
     assert (s.base_today, s.secondary_today, s.flagged_possible_duplicates, s.pending) == (3, 2, 0, 5)
 
-    key = store.read("masters").where("business_name = 'Arch Bistro'").first().dedup_key
+    key = store.read("masters").where("business_name = 'Garage No 3'").first().dedup_key
     assert reader.mark_exported([key], "mail") == 1
     assert reader.mark_exported([key]) == 1
     assert (count(exported=True), count(exported=False)) == (1, 4)
@@ -94,11 +94,11 @@ def test_ingest_read_and_report(spark, store, tmp_path):
     key_order = [(r.created_at, r.dedup_key) for r in store.read("masters").collect()]
     assert [r.master_id for r in shown] == [k for _, k in sorted(key_order, reverse=True)]
     filtered = reader.page(source="MFULL", exported=False)
-    assert [r["Company Name"] for r in filtered.collect()] == ["Quay Bakery Ltd"]
+    assert [r["Company Name"] for r in filtered.collect()] == ["Tailor No 4 Ltd"]
     assert reader.page_summary(source="MFULL").first().total == 2
     rows = {r["Company Name"]: r for r in reader.page().collect()}
-    assert rows["Arch Bistro"]["exported"] and rows["Arch Bistro"]["source"] == "MFULL"
-    assert rows["Arch Bistro"][rows["Arch Bistro"].__fields__[5]] == "Leeds, West Yorkshire"
+    assert rows["Garage No 3"]["exported"] and rows["Garage No 3"]["source"] == "MFULL"
+    assert rows["Garage No 3"][rows["Garage No 3"].__fields__[5]] == "Leeds, West Yorkshire"
 
     out = str(tmp_path / "csv")
     reader.export_csv(out)
@@ -179,7 +179,7 @@ def test_unfinished_run_is_invisible_and_repeated(spark, store, monkeypatch):
     result = ingest(store, base_items(spark, [A_BASE]), idempotency_key="once", as_of=DAY1)
     assert pick(result, "inserted", "replayed") == (1, False)
     # Nothing of the dead attempt is left, not even what the retry did not send.
-    assert {r.business_name for r in store.read("masters").collect()} == {"Lantern Books", "Mill Café"}
+    assert {r.business_name for r in store.read("masters").collect()} == {"Dentist No 2", "Florist No 1"}
 
 
 def test_outage_of_one_source(spark, store):

@@ -63,12 +63,20 @@ def test_split_files_without_line_breaks_in_cells(spark, tmp_path):
     assert len(got) == 3000 and all(r["Value"] == "v" + r["Key"] for r in got)
 
 
-def test_wide_rows_fail_instead_of_losing_cells(spark, tmp_path):
-    path = write(tmp_path / "w.csv", "a,b\n1,2,3\n")
+def test_wide_header_fails_and_wide_row_is_cut(spark, tmp_path):
+    path = write(tmp_path / "w.csv", "a,b\n1,2,3,4,5\n")
+    assert payloads(files.read_rows(spark, path, "S", max_columns=2)) == [{"a": "1", "b": "2"}]
+    path = write(tmp_path / "x.csv", "a,b,c\n1,2\n")
     with pytest.raises(Exception, match="more than 2 columns"):
         files.read_rows(spark, path, "S", max_columns=2).collect()
 
 
+def test_empty_cells_keep_their_place(spark, tmp_path):
+    path = write(tmp_path / "e.csv", 'a,b,c,d\n1,,"",4\n,2,,\n,,3\n')
+    got = payloads(files.read_rows(spark, path, "S"))
+    assert [list(r.values()) for r in got] == [["1", "", "", "4"], ["", "2", "", ""], ["", "", "3", ""]]
+
+
 def test_grid_counts(spark):
     rows = [("g", i, c) for i, c in enumerate([["", "", "", "x"], ["h"], [None, " ", "y"]])] + [("e", 0, [""])]
     df = spark.createDataFrame(rows, "grid_id string, row_idx long, cells array<string>")
