@@ -269,3 +269,12 @@ def spelled_times(t: Tables):
     )
     rows = t.orders.select("o_orderkey", raw.alias("raw_time"))
     return rows.withColumn("parsed", text_time(tolerant_timestamp(F.col("raw_time"))))
+
+
+@query("select c_custkey as rec_id, '+44' || (1000000000 + c_custkey) as match_key from customer")
+def ingest_base(t: Tables):
+    """All base rows through the whole ingest; the masters as stored."""
+    store = _store(t, "ingest")
+    ingest(store, base_payloads(t), source="NFULL", as_of=_at(AS_OF))
+    number = F.regexp_extract("address1", r"^(\d+)", 1).cast("bigint")
+    return store.read("masters").select(number.alias("rec_id"), "match_key")
