@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leadmerge.operators.incremental import source_links
+from leadmerge.operators.latest import latest_per_key
 from leadmerge.operators.queue import current_jobs, current_status
 from leadmerge.session import prepare
 
@@ -52,6 +53,20 @@ SCHEMAS = {
     " inserted bigint, updated bigint, duplicates bigint, errors bigint, omitted bigint,"
     " jobs_created bigint, error_samples array<string>",
 }
+
+
+def _fold_sightings(rows: DataFrame) -> DataFrame:
+    key = ["dedup_key", "source_record_id", "source"]
+    ends = rows.groupBy(*key).agg(F.min("seen_at").alias("a"), F.max("seen_at").alias("b"))
+    return ends.select(*key, F.explode(F.array_distinct(F.array("a", "b"))).alias("seen_at"))
+
+
+# Tables that only grow, and what readers need of them.
+FOLDS = {
+    "status": lambda rows: latest_per_key(rows, ["dedup_key"], ["changed_at", "step"]),
+    "jobs": lambda rows: current_jobs(rows),
+    "sightings": _fold_sightings,
+}
 # Tables split by source below the run, so that base lookups prune the rest.
 BY_SOURCE = ("sightings", "masters")
 
@@ -128,8 +143,53 @@ class LeadStore:
 
     def drop_stage(self, run_id: str) -> None:
         """Delete the intermediate table of a finished run."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/stage/run_id={run_id}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(f"{self.root}/stage/run_id={run_id}")
+
+    # -- clean-up ----------------------------------------------------------------
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.delete(path, True)
+
+    def _names(self, table: str) -> list[str]:
+        """Names directly below a table's folder."""
+        path, fs = self._path(f"{self.root}/{table}")
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def compact(self, as_of: datetime | None = None) -> int:
+        """Fold the logs of all finished runs into one run, and the ledger into one file.
+
+        Status and jobs keep the last state, sightings the first and last of an
+        occurrence, the ledger the last row of a run. The folded rows are written and
+        logged before what they replace is deleted: in between, and after a crash
+        there, readers see both, which their own folding makes harmless. Returns the
+        number of run folders and ledger files that went.
+        """
+        as_of, gone = as_of or utc_now(), 0
+        run_id = f"compact-{as_of:%Y%m%d%H%M%S%f}"
+        log: dict[str, Any] = dict(run_id=run_id, kind="compact", started_at=as_of)
+        finished = {
+            f"run_id={r.run_id}"
+            for r in self._all("runs").where("finished_at is not null").select("run_id").distinct().collect()
+        }
+        old = {t: [n for n in self._names(t) if n in finished] for t in FOLDS}
+        self.log_run(**log, status="RUNNING")
+        for table, fold in FOLDS.items():
+            self.write_run(table, run_id, fold(self.read(table)))
+        self.log_run(**log, status="COMPLETED", finished_at=as_of)
+        for table, names in old.items():
+            for name in names:
+                self._delete(f"{self.root}/{table}/{name}")
+                gone += 1
+        ledger = [n for n in self._names("runs") if n.endswith(".parquet")]
+        self.runs().coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        for name in ledger:
+            self._delete(f"{self.root}/runs/{name}")
+        return gone + len(ledger)
 
     # -- ledger ------------------------------------------------------------------
 

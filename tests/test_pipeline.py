@@ -300,3 +300,38 @@ def test_retry_waits_and_requeue(spark, store):
     assert run_validation(store, verdicts, limit=None, as_of=DAY1 + dt.timedelta(minutes=5)) == 5
     due = store.jobs().where("status = 'RETRY'").select("next_retry_at", "attempt_count").distinct().collect()
     assert [(r.next_retry_at.minute, r.attempt_count) for r in due] == [(15, 2)]
+
+
+def test_logs_stay_small_over_many_batches(spark, tmp_path):
+    import os
+
+    store = LeadStore(spark, str(tmp_path / "state"))
+    shown = lambda: sorted((tuple(r) for r in LeadReader(store).leads().drop("run_id").collect()), key=repr)
+    for i in range(6):
+        at = dt.datetime(2025, 3, 4, i)
+        ingest(store, items(spark, "NFULL", [A_BASE, base_row(f"Firm {i}", f"0150 0{i}00 000", "")]), source="NFULL",
+               idempotency_key=f"b{i}", as_of=at, cutoff="2020-01-01")
+        if i % 2:
+            links, before, jobs = sorted(map(tuple, store.links().collect())), shown(), store.jobs().drop("run_id").count()
+            assert store.compact(at + dt.timedelta(minutes=1)) > 0
+            assert (sorted(map(tuple, store.links().collect())), shown(), store.jobs().drop("run_id").count()) == (links, before, jobs)
+        folders = [len(os.listdir(tmp_path / "state" / t)) for t in ("status", "jobs", "sightings")]
+        files = [f for f in os.listdir(tmp_path / "state" / "runs") if f.endswith(".parquet")]
+        assert max(folders) <= 3 and len(files) <= 8 and not os.listdir(tmp_path / "state" / "stage")
+    again = ingest(store, items(spark, "NFULL", [A_BASE]), source="NFULL", idempotency_key="b0")
+    assert again["replayed"] and again["received"] == 2
+    seen = {r.source_record_id: r.received_at for r in store.raw_refreshed().collect()}
+    assert max(seen.values()) == dt.datetime(2025, 3, 4, 5) and len(seen) == 7
+
+
+def test_failed_batch_is_logged_and_can_be_repeated(spark, tmp_path):
+    store = LeadStore(spark, str(tmp_path / "state"))
+    broken = items(spark, "NFULL", [A_BASE]).withColumn("raw_payload", F.when(F.col("source") == "x", F.col("raw_payload")).otherwise(F.raise_error(F.lit("torn file"))))
+    with pytest.raises(Exception, match="torn file"):
+        ingest(store, broken, source="NFULL", idempotency_key="k")
+    assert [r.status for r in store.runs().collect()] == ["FAILED"] and store.read("masters").count() == 0
+    done = ingest(store, items(spark, "NFULL", [A_BASE]), source="NFULL", idempotency_key="k")
+    assert (done["replayed"], done["inserted"]) == (False, 1)
+    with pytest.raises(ValueError, match="too large"):
+        ingest(store, items(spark, "NFULL", [A_BASE, B_BASE]), source="NFULL", max_rows=1)
+    assert store.runs().count() == 1
