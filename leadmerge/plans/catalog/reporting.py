@@ -341,6 +341,22 @@ def dedup_report(t: Tables):
     return reports.dedup_report(masters, links)
 
 
+@query(f"""
+with {DAYS_SQL},
+per as (select dedup_key, count(*) filter (where source = 'click') as nb, count(*) filter (where source = 'view') as ns
+        from days group by 1)
+select cast(sum(nb) as bigint) as base_total, cast(sum(ns) as bigint) as secondary_total, count(*) as masters,
+       cast(sum(nb) + sum(ns) as bigint) - count(*) as merged,
+       count(*) filter (where nb > 0 and ns = 0) as base_only, count(*) filter (where nb = 0 and ns > 0) as secondary_only,
+       count(*) filter (where nb > 0 and ns > 0) as found_by_both, cast(0 as bigint) as flagged
+from per""")
+def dedup_report_overlap(t: Tables):
+    """Masters that both sources found, besides those of one; other sources are left out of account."""
+    links = day_links(t)
+    masters = links.where(F.col("source").isin("click", "view")).select("dedup_key").distinct().withColumn("possible_duplicate_of", F.lit(None).cast("string"))
+    return reports.dedup_report(masters, links, **PAIR)
+
+
 @query("""
 select arg_max(event_id, {'a': ts, 'b': event_id}) as run_id, event_type as source,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') as started_at

@@ -21,9 +21,11 @@ from leadmerge.operators.incremental import (
     after_cutoff, classify_occurrences, jobs_to_enqueue, new_masters, omitted_count,
     possible_duplicates,
 )
+from leadmerge.operators.membership import PROBE_ROWS
 from leadmerge.operators.merge import merge_counts
 from leadmerge.operators.onerow import side_by_side
-from leadmerge.sources.store import LeadStore, utc_now
+from leadmerge.operators.queue import current_jobs
+from leadmerge.sources.store import LeadStore, keyed_by, utc_now
 
 COUNTS = ("received", "inserted", "updated", "duplicates", "errors", "omitted", "jobs_created")
 
@@ -125,7 +127,7 @@ def _ingest(
         omitted_count(good, masters_before, rows, base=names.base, secondary=names.secondary),
     ).first()
     inserted, updated, omitted = wrote.inserted, wrote.seen - wrote.new_raw, wrote.omitted
-    queued = _enqueue(store, run_id, written, cutoff, now) if cutoff else 0
+    queued = _enqueue(store, run_id, written, inserted, cutoff, now) if cutoff else 0
     counts = dict(
         received=received,
         inserted=inserted,
@@ -154,9 +156,12 @@ def _flag(added: DataFrame, stored: DataFrame) -> DataFrame:
     return added.join(flags, "dedup_key")
 
 
-def _enqueue(store: LeadStore, run_id: str, written: DataFrame, cutoff: str, now) -> int:
+def _enqueue(store: LeadStore, run_id: str, written: DataFrame, rows: int, cutoff: str, now) -> int:
     candidates = after_cutoff(written, parse_cutoff(cutoff))
-    jobs = jobs_to_enqueue(candidates, store.jobs(), rules_version=RULES_VERSION)
+    # Only the jobs of this batch's leads are folded; a small batch probes the log.
+    keys = written.select("dedup_key")
+    log = keyed_by(store.read("jobs"), F.broadcast(keys) if rows <= PROBE_ROWS else keys)
+    jobs = jobs_to_enqueue(candidates, current_jobs(log), rules_version=RULES_VERSION)
     return queue_jobs(store, run_id, jobs, now)
 
 
