@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from leadmerge.llm.common import mixed, stage, texts_of
 
 #: Where a sentence may end: after its mark, or at a line break.
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_WORD = re.compile(r"(\S+)\s*")
+#: Words beyond which a sentence is cut on, and the most that a piece of it has.
+LONG, CLAUSE = 24, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters of text whose spans one group resolves.
@@ -22,13 +26,32 @@ GROUP_CHARS = 24_000_000
 
 
 def sentences(text: str) -> list[str]:
-    """Consecutive pieces of a text, each with the white space that follows it."""
+    """Consecutive pieces of a text, each with the white space that follows it.
+
+    Sentences of more than ``LONG`` words, and text without marks, are cut on behind
+    words chosen by their hash: such a cut depends on nothing around it, so a passage
+    is cut alike wherever it stands.
+    """
     out, start = [], 0
-    for m in _END.finditer(text):
-        out.append(text[start : m.end()])
-        start = m.end()
-    if start < len(text):
-        out.append(text[start:])
+    for end in (*(m.end() for m in _END.finditer(text)), len(text)):
+        if end - start > LONG * 2 and text.count(" ", start, end) >= LONG:
+            out.extend(_clauses(text[start:end]))
+        elif end > start:
+            out.append(text[start:end])
+        start = end
+    return out
+
+
+def _clauses(sentence: str) -> list[str]:
+    """Pieces of a long sentence, of ``CLAUSE`` words at most."""
+    out, start, count = [], 0, 0
+    for m in _WORD.finditer(sentence):
+        count += 1
+        if count == CLAUSE or zlib.crc32(m[1].lower().encode("utf-8", "replace")) % 6 == 0:
+            out.append(sentence[start : m.end()])
+            start, count = m.end(), 0
+    if start < len(sentence):
+        out.append(sentence[start:])
     return out
 
 
@@ -186,7 +209,8 @@ def substring_dedup(
 ) -> DataFrame:
     """All columns of ``docs`` with repeated passages cut from the text, and two counts.
 
-    Sentences end at ``.``, ``!`` or ``?`` with white space after it, or at a line break.
+    Sentences end at ``.``, ``!`` or ``?`` with white space after it, or at a line break;
+    longer ones are cut on (:func:`sentences`).
     Every run of consecutive sentences that just reaches ``min_sentences`` and
     ``min_words`` is hashed (case and white space apart); a sentence goes if a run over
     it stands earlier as well, by (id, place): in a smaller id, or earlier in the same

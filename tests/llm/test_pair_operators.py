@@ -166,6 +166,18 @@ def test_substrings_against_all_spans(spark, docs, monkeypatch):
     assert sum(passage[:50].lower() in r.text.lower() for r in got if r.text) == 1
 
 
+def test_passages_without_marks_are_found(spark):
+    """Sixty words in the middle of running text, under other words each time."""
+    rng = random.Random(12)
+    passage = " ".join(words(rng, 60))
+    rows = [(i, f"{' '.join(words(rng, 33 + i))} {passage} {' '.join(words(rng, 45))}") for i in range(10)]
+    got = {r.doc_id: r.text for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 10):
+        left = [w for w in passage.split() if f" {w} " in got[i]]
+        assert len(left) < 30 and len(got[i].split()) >= 33 + i + 45
+
+
 def test_substrings_keep_odd_rows(spark, docs):
     got = substrings.substring_dedup(docs)
     assert set(docs.columns) - {"n_removed"} < set(got.columns) and got.count() == docs.count()
