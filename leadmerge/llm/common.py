@@ -41,6 +41,19 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(column).fill_null("")
 
 
+def most_frequent(counts: DataFrame, column: str, rows: int) -> DataFrame:
+    """Rows whose count is at least the level that ``rows`` of them at most reach.
+
+    The level comes from how many rows have each count, so nothing is sorted and no
+    task gathers candidates of all others; rows tied at the cut are left out.
+    """
+    levels = counts.groupBy(column).agg(F.count("*").alias("k")).toArrow()
+    order = np.argsort(-levels[column].to_numpy())
+    level, reached = levels[column].to_numpy()[order], np.cumsum(levels["k"].to_numpy()[order])
+    inside = level[reached <= rows]
+    return counts.where(F.col(column) >= int(inside[-1])) if len(inside) else counts.limit(0)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of ``edges(u, v)``: one row ``(node, root)`` per node.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import in_fold, stage, texts_of, word_lists
+from leadmerge.llm.common import in_fold, most_frequent, stage, texts_of, word_lists
 
 #: Latent states and rounds of Baum-Welch.
 STATES, ROUNDS = 8, 4
@@ -76,8 +76,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
-    top = counts.orderBy(F.desc("c"), "word").limit(COUNTED_WORDS).toArrow()
-    words = top["word"].combine_chunks()
+    top = most_frequent(counts, "c", COUNTED_WORDS).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    words = pa.concat_arrays(top["word"].chunks) if top.num_rows else pa.array([], pa.string())
     own = words.slice(0, OWN_WORDS)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     group = F.crc32(F.substring("word", -3, 3).cast("binary")) % ENDINGS

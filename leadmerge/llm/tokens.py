@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import texts_of
+from leadmerge.llm.common import most_frequent, stage, texts_of
 
 #: The pre-token pattern of the byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,7 +119,8 @@ def frequent_lengths(docs: DataFrame, path: str, *, text_col: str = "text", rows
             yield pa.RecordBatch.from_pydict({"token": tokens, "length": pa.array(counter.whole(tokens.to_pylist()), pa.int32())})
 
     proposed = docs.select(text_col).mapInArrow(propose, "token string, n long")
-    best = proposed.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(rows)
+    sums = stage(proposed.groupBy("token").agg(F.sum("n").alias("n")), "tokens")
+    best = most_frequent(sums, "n", rows).select("token")
     found = best.mapInArrow(encode, "token string, length int").toArrow()
     return dict(zip(found["token"].to_pylist(), found["length"].to_pylist()))
 
