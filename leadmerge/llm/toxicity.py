@@ -155,10 +155,16 @@ def toxicity(
         .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
         .withColumn("h", F.xxhash64("id", F.lit(3)))
     )
-    # Twice the sample: labels may name rows that are not there.
-    picked = known.filter("toxic = 1").orderBy("h", "id").limit(2 * sample).unionAll(
-        known.filter("toxic = 0").orderBy("h", "id").limit(2 * sample)
-    )
+    # Twice the sample: labels may name rows that are not there. A cut on the hash leaves
+    # about twice as many again to be sorted, however many labels there are.
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+
+    def first_by_hash(label: int) -> DataFrame:
+        share = min(1.0, 4 * sample / sizes.get(label, 1))
+        cut = -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))
+        return known.filter((F.col("toxic") == label) & (F.col("h") <= cut)).orderBy("h", "id").limit(2 * sample)
+
+    picked = first_by_hash(1).unionAll(first_by_hash(0))
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
         .join(F.broadcast(picked), "id")  # at most four times the sample, ids only
