@@ -213,7 +213,9 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
     the order; every fragment counts the overlaps of its pairs, the counts are summed
     per pair, and pairs that cannot reach the threshold with what lies beyond the
     prefixes go. Frequent n-grams are in the prefix of few sets, those made up of
-    them: these are joined by n-gram, for n-grams that more than one group holds.
+    them. All other n-grams of such a late set are in its prefix and so counted: of two
+    late sets without any of those in common, only pairs whose frequent n-grams could
+    be enough are joined, by n-gram, for n-grams that more than one group holds.
     """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -232,10 +234,12 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
             ends = np.concatenate([[0], np.cumsum(length)])
             values = grams[kept]
             last = np.where(length > 0, values[np.maximum(ends[1:] - 1, 0)] if len(values) else 0, 0)
+            often = np.bincount(owner, weights=late, minlength=len(counts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(length), pa.array(last), _lists(ends, values)], ["rep", "p", "last", "prefix"])
+                [batch.column("id"), pa.array(length), pa.array(last), pa.array(often), _lists(ends, values)],
+                ["rep", "p", "last", "often", "prefix"])
 
-    found = stage(rows.mapInArrow(prefixes, "rep long, p long, last long, prefix array<long>"), "prefixes")
+    found = stage(rows.mapInArrow(prefixes, "rep long, p long, last long, often long, prefix array<long>"), "prefixes")
     owned = found.join(sets, "rep")
     width = -(-_TOP // fragments)
 
@@ -262,24 +266,28 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
     counted = packed.groupBy("part").applyInArrow(_fragment_pairs, "a long, b long, common long")
     late = stage(
         owned.filter(F.col("last") >= _TOP)
-        .select("rep", "n", "comp", F.explode(F.filter("prefix", lambda g: g >= _TOP)).alias("gram")).distinct(), "late",
+        .select("rep", "n", "comp", "often", F.explode(F.filter("prefix", lambda g: g >= _TOP)).alias("gram")).distinct(), "late",
     )
     open_grams = late.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("gram")
     late = late.join(open_grams, "gram")
-    one = late.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = late.select("gram", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    one = late.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("often").alias("oa"))
+    two = late.select("gram", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("often").alias("ob"))
     late_pairs = (
         one.join(two, (one["gram"] == two["gram"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                 & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")))
-        .groupBy("a", "b").agg(F.count("*").alias("common"))
+                 & _linked(F.least("oa", "ob"), F.col("na"), F.col("nb")))
+        .select("a", "b", F.lit(0).cast("long").alias("common")).distinct()
     )
-    totals = counted.unionAll(late_pairs.select("a", "b", "common")).groupBy("a", "b").agg(F.sum("common").alias("common"))
+    totals = counted.unionAll(late_pairs).groupBy("a", "b").agg(F.sum("common").alias("common"))
     totals = stage(totals, "pairs")
     ends = totals.select(F.col("a").alias("rep")).unionAll(totals.select(F.col("b").alias("rep"))).distinct()
-    facts = stage(found.select("rep", "p", "last").join(ends, "rep").join(sets.select("rep", "n"), "rep").distinct(), "facts")
-    side = lambda s: facts.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("p").alias(f"p{s}"), F.col("last").alias(f"l{s}"))
-    # All common n-grams up to the nearer prefix end are counted; beyond it one set has this many left.
-    left = F.when(F.col("la") <= F.col("lb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
+    facts = stage(found.select("rep", "p", "last", "often").join(ends, "rep").join(sets.select("rep", "n"), "rep").distinct(), "facts")
+    side = lambda s: facts.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("p").alias(f"p{s}"), F.col("last").alias(f"l{s}"), F.col("often").alias(f"o{s}"))
+    # Common n-grams up to the nearer prefix end are counted, but for the frequent ones;
+    # beyond it one set has this many left.
+    left = (
+        F.when((F.col("la") >= _TOP) & (F.col("lb") >= _TOP), F.least("oa", "ob"))
+        .when(F.col("la") <= F.col("lb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
+    )
     pairs = totals.join(side("a"), "a").join(side("b"), "b").filter(_linked(F.col("common") + left, F.col("na"), F.col("nb")))
     pairs = stage(pairs.select("a", "b", "na", "nb"), "pairs")
     full = overlaps(rows, pairs, n, [PARTS[:2], PARTS[1:]])
