@@ -1,58 +1,24 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling tables, exact edit distances."""
+"""Benchmark decontamination: pieces that edits must leave whole, exact edit distances."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import ALNUM, Bits, hash_words, mixed, stage, texts_of, word_lists
+from leadmerge.llm.common import ALNUM, hash_words, mixed, texts_of, word_lists
 
-#: Windows of a text start at every so many words; items are indexed from every word.
-STRIDE = 4
-#: Steps of a random walk, symbols sampled from it, and walks.
-STEPS, SAMPLED, WALKS = 20, 5, 6
-#: Words that a window has to hold; what is shorter says too little.
-LEAST = 8
-#: Windows that are walked together.
-BLOCK = 1 << 18
-#: Index keys that are broadcast besides the filter, at most.
-LISTED_KEYS = 1 << 21
-
-
-class Walks:
-    """CGK: a walk copies the word it stands on and moves on if a random bit of the word and step says so.
-
-    Two word sequences at a small edit distance are walked in step again soon after
-    each edit, so their walks differ in few places. A table's key is the hash of a few
-    sampled places of one walk.
-    """
-
-    def __init__(self, seed: int = 3, *, steps: int = STEPS, sampled: int = SAMPLED, walks: int = WALKS):
-        rng = np.random.default_rng(seed)
-        self.odd = rng.integers(0, 1 << 62, (walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        # One place out of each of equal parts of the walk, so that a key spans many words.
-        parts = np.array_split(np.arange(steps), sampled)
-        self.places = [{int(rng.choice(p)) for p in parts} for _ in range(walks)]
-
-    def keys(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One 63-bit key per start and walk; ``tokens`` has to go on for the steps of a walk."""
-        out = np.empty((len(starts), len(self.odd)), np.int64)
-        for begin in range(0, len(starts), BLOCK):
-            first = starts[begin : begin + BLOCK]
-            for w, (odd, places) in enumerate(zip(self.odd, self.places)):
-                at = first.copy()
-                key = np.full(len(at), w + 1, np.uint64)
-                last = max(places)
-                for step in range(last + 1):
-                    word = tokens[at]
-                    if step in places:
-                        key = mixed(key * np.uint64(31) + word)
-                    at += (word * odd[step] >> np.uint64(63)).astype(np.int64)
-                out[begin : begin + BLOCK, w] = (key >> np.uint64(1)).astype(np.int64)
-        return out
+#: Words of a piece that its key holds, at most; the check looks at all of them.
+KEYED = 8
+#: Items of fewer words occur only as a whole text: anywhere else they say too little.
+LEAST = 3
+#: Bytes of item texts that are broadcast at once; more items take more passes.
+PASS_BYTES = 1 << 24
+#: Words of the windows that are compared together.
+BLOCK = 1 << 21
 
 
 def edit_in(item: list[str], text: list[str]) -> tuple[int, int]:
@@ -69,38 +35,96 @@ def edit_in(item: list[str], text: list[str]) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def _padded(offsets: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with ``STEPS`` fillers after each text, and each text's start in them."""
-    hashes, lengths = hash_words(words), np.diff(offsets)
-    starts = offsets[:-1] + np.arange(len(lengths)) * STEPS
-    out = np.zeros(len(hashes) + len(lengths) * STEPS, np.uint64)
-    out[np.repeat(starts - offsets[:-1], lengths) + np.arange(len(hashes))] = hashes
-    return out, starts
+def _keys(hashes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Keys of the runs of one word, two words and so on up to ``longest`` from every word."""
+    key = np.full(len(hashes), 1, np.uint64)
+    for size in range(1, min(longest, len(hashes)) + 1):
+        key = mixed(key[: len(hashes) - size + 1] * np.uint64(31) + hashes[size - 1 :])
+        yield key
 
 
-def _windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word) of every window start; a text shorter than a window has one."""
-    counts = np.where(lengths > 0, np.maximum(lengths - LEAST, 0) // stride + 1, 0)
-    owner = np.repeat(np.arange(len(lengths)), counts)
-    return owner, (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
+class Pieces:
+    """Items by their pieces.
 
+    ``k`` edits touch at most ``k`` of ``k + 1`` pieces, so an occurrence within ``k``
+    edits holds one piece unchanged, and the rest of it lies within ``k`` words of
+    where that piece says.
+    """
 
-def item_index(items: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """``(key, item_id, n, item)``: the keys of every window of every item."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks = Walks()
-        for batch in batches:
-            offsets, words = word_lists(texts_of(batch, "text"), ALNUM)
-            tokens, starts = _padded(offsets, words)
-            owner, word = _windows(np.diff(offsets), 1)
-            keys = walks.keys(tokens, starts[owner] + word)
-            ids = batch.column("id").take(pa.array(np.repeat(owner, keys.shape[1])))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.reshape(-1)), "item_id": ids})
-
-    kind = items.schema[id_col].dataType.simpleString()
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(walk, f"key long, item_id {kind}").distinct()
+    def __init__(self, ids: pa.Array, texts: pa.Array, tolerance: float):
+        self.ids, self.tolerance = ids, tolerance
+        self.offsets, self.words = word_lists(texts, ALNUM)
+        hashes = hash_words(self.words)
+        self.n = np.diff(self.offsets)
+        self.edits = np.minimum((self.n * tolerance).astype(np.int64), np.maximum(self.n - 1, 0))
+        counts = np.where(self.n > 0, self.edits + 1, 0)
+        item = np.repeat(np.arange(len(self.n)), counts)
+        number = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = number * self.n[item] // counts[item]
+        size = np.minimum((number + 1) * self.n[item] // counts[item] - begin, KEYED)
+        self.longest = int(size.max(initial=0))
+        #: Of each key length: keys in order, each one's item and place in it, and a filter.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length, keys in enumerate(_keys(hashes, self.longest), 1):
+            these = np.flatnonzero(size == length)
+            if len(these):
+                key = keys[self.offsets[item[these]] + begin[these]]
+                order = np.argsort(key, kind="stable")
+                seen = np.zeros(1 << 22, bool)
+                seen[key >> np.uint64(42)] = True
+                self.tables[length] = key[order], item[these][order], begin[these][order], seen
+        #: Every item's words.
+        self.held = np.unique(self._held(np.repeat(np.arange(len(self.n)), self.n), hashes))
+
+    @staticmethod
+    def _held(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return mixed(words + mixed(item.astype(np.uint64) + np.uint64(1)))
+
+    def candidates(self, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """``(text, item, first, end)`` rows of word ranges that hold all occurrences with a piece in them."""
+        found = [np.empty((0, 4), np.int64)]
+        for length, keys in enumerate(_keys(hashes, self.longest), 1):
+            if length not in self.tables:
+                continue
+            known, item, begin, seen = self.tables[length]
+            at = np.flatnonzero(seen[keys >> np.uint64(42)])
+            low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
+            text = np.searchsorted(offsets, at, "right") - 1
+            kept = (high > low) & (at + length <= offsets[text + 1])  # no run goes on in the next text
+            at, low, high, text = at[kept], low[kept], high[kept], text[kept]
+            ends = np.cumsum(high - low)
+            block = max(1, BLOCK // int((self.n + 2 * self.edits).max()))
+            for a in range(0, int(ends[-1]) if len(ends) else 0, block):
+                pair = np.arange(a, min(a + block, ends[-1]))
+                hit = np.searchsorted(ends, pair, "right")
+                entry = high[hit] - (ends[hit] - pair)
+                i, t = item[entry], text[hit]
+                start = at[hit] - begin[entry] - self.edits[i]
+                first = np.maximum(start, offsets[t])
+                end = np.minimum(start + self.n[i] + 2 * self.edits[i], offsets[t + 1])
+                # All words but those edited have to be there.
+                width = end - first
+                owner = np.repeat(np.arange(len(pair)), width)
+                word = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width) + first[owner]
+                held = self._held(i[owner], hashes[word])
+                there = self.held[np.minimum(np.searchsorted(self.held, held), len(self.held) - 1)] == held
+                enough = np.bincount(owner[there], minlength=len(pair)) >= self.n[i] - self.edits[i]
+                whole = (self.n[i] >= LEAST) | (offsets[t + 1] - offsets[t] == self.n[i])
+                found.append(np.stack([t, i, first, end], axis=1)[enough & whole])
+        return np.unique(np.concatenate(found), axis=0)
+
+    def occurrences(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
+        """``(text, item, distance)`` of all occurrences, one for each range of candidates."""
+        offsets, words = word_lists(texts, ALNUM)
+        rows = self.candidates(offsets, hash_words(words))
+        # Ranges of one item in one text that overlap are one.
+        apart = np.any(rows[1:, :2] != rows[:-1, :2], axis=1) | (rows[1:, 2] > np.maximum.accumulate(rows[:, 3])[:-1])
+        for part in np.split(rows, np.flatnonzero(apart) + 1) if len(rows) else []:
+            t, i, first, end = *part[0, :3], part[:, 3].max()
+            item = self.words.slice(self.offsets[i], self.n[i]).to_pylist()
+            distance = edit_in(item, words.slice(first, end - first).to_pylist())[0]
+            if distance <= int(self.n[i] * self.tolerance):
+                yield int(t), int(i), distance
 
 
 def contaminated(
@@ -110,84 +134,39 @@ def contaminated(
     """``(id_col, item_col, distance, n_words)``: items that occur in a text, up to edits.
 
     Words are lower-case letters and digits of any script. An item occurs if a run of
-    the text's words is within ``tolerance`` times the item's ``n_words`` word edits
-    (rounded down); ``distance`` is the least. Windows start at every ``STRIDE`` words
-    of the text and are as long as a walk over the shortest useful item; every window
-    of an item is indexed, so an occurrence has many windows in step with the text's
-    and one shared key of any makes a candidate. A fixed-size filter drops other
-    windows where they are cut; what is left is joined to the index and verified
-    exactly. Null and empty texts and items have no words and match nothing. A null id
-    is kept as it is; rows that repeat an id report it once per item. Other columns are
-    not looked at.
+    the text's words is within ``tolerance`` (below 1) times the item's ``n_words`` word
+    edits (rounded down); ``distance`` is the least. Items of under ``LEAST`` words occur
+    only as a whole text. Of all others every occurrence is found: one of the item's
+    pieces stands in it unchanged, pieces are looked up at every word of every text,
+    and what they point to is verified exactly where it is found. No text is shuffled.
+    Items are broadcast, ``PASS_BYTES`` of text at a time. Null and empty texts and
+    items have no words and match nothing. A null id is kept as it is; rows that repeat
+    an id report it once per item. Other columns are not looked at.
     """
-    index = stage(item_index(items, id_col=item_col, text_col=item_text_col), "index")
-    # The keys themselves where they are few enough; beyond, the join below sorts out more.
-    listed = index.select("key").distinct().limit(LISTED_KEYS + 1).toArrow()["key"].to_numpy()
-    listed = np.sort(listed) if len(listed) <= LISTED_KEYS else None
-    seen = docs.sparkSession.sparkContext.broadcast((Bits.collect(index, "key").words, listed))
-    span = F.size(F.split(F.trim(F.col(item_text_col)), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    longest = items.agg(F.max(span)).first()[0] or 1
-    reach = int(longest * (1 + tolerance)) + STEPS
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks = Walks()
-        words, exact = seen.value
-        known = Bits(words)
-        schema = pa.schema([("id", pa.int64()), ("words", pa.string()), ("keys", pa.list_(pa.int64()))])
-        for batch in batches:
-            offsets, words = word_lists(texts_of(batch, "text"), ALNUM)
-            lengths = np.diff(offsets)
-            tokens, starts = _padded(offsets, words)
-            owner, word = _windows(lengths, STRIDE)
-            keys = walks.keys(tokens, starts[owner] + word)
-            hit = known.has(keys.reshape(-1))
-            if exact is not None and len(exact):
-                maybe = np.flatnonzero(hit)
-                found = keys.reshape(-1)[maybe]
-                hit[maybe] = exact[np.minimum(np.searchsorted(exact, found), len(exact) - 1)] == found
-            hit = hit.reshape(keys.shape)
-            some = np.flatnonzero(hit.any(axis=1))
-            out: dict[str, list] = {"id": [], "words": [], "keys": []}
-            # Hits of one text whose surroundings meet are one region.
-            near = (owner[some][1:] == owner[some][:-1]) & (word[some][1:] - word[some][:-1] <= 2 * reach)
-            for part in np.split(some, np.flatnonzero(~near) + 1) if len(some) else []:
-                o = owner[part[0]]
-                a, b = max(0, word[part[0]] - reach), min(lengths[o], word[part[-1]] + reach)
-                out["id"].append(batch.column("id")[int(o)].as_py())
-                out["words"].append(" ".join(words.slice(offsets[o] + a, b - a).to_pylist()))
-                out["keys"].append(np.unique(keys[part][hit[part]]).tolist())
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    regions = stage(
-        rows.mapInArrow(cut, "id long, words string, keys array<long>").withColumn("region", F.xxhash64("id", "words")), "regions"
-    )
-    pairs = (
-        regions.select("region", F.explode("keys").alias("key")).join(index, "key").select("region", "item_id").distinct()
-    )
-    texts = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item"))
-    candidates = pairs.join(texts, "item_id").join(regions.select("region", "id", "words"), "region")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a_off, a_words = word_lists(texts_of(batch, "item"), ALNUM)
-            a_words = a_words.to_pylist()
-            distance, length = [], []
-            for i, text in enumerate(batch.column("words").to_pylist()):
-                item = a_words[a_off[i] : a_off[i + 1]]
-                distance.append(edit_in(item, text.split(" "))[0] if item else 1)
-                length.append(len(item))
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id"), "item_id": batch.column("item_id"),
-                "distance": pa.array(distance, pa.int64()), "n_words": pa.array(length, pa.int64()),
-            })
-
+    some = items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
+    parts = (some.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES + 1
     kind = items.schema[item_col].dataType.simpleString()
-    checked = candidates.select("id", "item_id", "item", "words").mapInArrow(
-        verify, f"id long, item_id {kind}, distance long, n_words long"
-    )
+
+    def find(part: int) -> DataFrame:
+        chosen = some.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).toArrow().combine_chunks()
+        ids, texts = (chosen[c].combine_chunks() for c in ("id", "text"))
+        shared = docs.sparkSession.sparkContext.broadcast(Pieces(ids, texts, tolerance))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = shared.value
+            for batch in batches:
+                found = list(pieces.occurrences(texts_of(batch, "text")))
+                text, item, distance = (pa.array([x[c] for x in found], pa.int64()) for c in range(3))
+                yield pa.RecordBatch.from_pydict({
+                    "id": batch.column("id").take(text), "item_id": pieces.ids.take(item),
+                    "distance": distance, "n_words": pa.array(pieces.n).take(item),
+                })
+
+        return rows.mapInArrow(search, f"id long, item_id {kind}, distance long, n_words long")
+
     return (
-        checked.filter(F.col("distance") <= F.floor(F.col("n_words") * tolerance))
+        reduce(DataFrame.unionAll, [find(p) for p in range(parts)])
         .groupBy("id", "item_id").agg(F.min("distance").alias("distance"), F.max("n_words").alias("n_words"))
         .select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "distance", "n_words")
     )

@@ -218,6 +218,39 @@ def test_decontamination_finds_edited_items_only(spark, docs):
     assert decontamination.contaminated(made, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_of_every_length(spark, monkeypatch):
+    """Every item of three words and more, exact or edited as far as allowed, at any place of a text, in several passes."""
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 4000)
+    monkeypatch.setattr(decontamination, "BLOCK", 500)
+    rng = random.Random(12)
+    items = [(n * 10 + k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))) for n in (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 21, 30, 60) for k in range(3)]
+    items += [(5, "two words"), (6, "two words"), (900, items[30][1])]
+    rows, want = [], set()
+    for i, text in items[:-3]:
+        for edits in {0, (n := len(text.split())) // 4}:
+            for way in "sid":
+                run = text.split()
+                # Edits at even distances leave the shortest pieces.
+                for place in sorted((int((e + 0.5) * n / edits) for e in range(edits)), reverse=True):
+                    run[place : place + (way != "i")] = [] if way == "d" else ["zz"]
+                want.add((len(rows), i))
+                rows.append((len(rows), " ".join([*["around"] * rng.randint(0, 30), *run, *["around"] * rng.randint(0, 30)])))
+    whole = len(rows)
+    rows += [(whole, "Two words"), (whole + 1, "and two words"), (whole + 2, "two"), (whole + 3, items[0][1].split()[0])]
+    got = decontamination.contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    found = {(r.doc_id, r.item_id): r for r in got}
+    assert want | {(whole, 5), (whole, 6)} <= set(found) and len(found) == len(got)
+    # All pairs by hand: nothing is missing, no distance is other than the least.
+    for d, text in rows[:whole]:
+        for i, item in items[:-3]:
+            least = decontamination.edit_in(item.split(), text.split())[0]
+            assert ((d, i) in found) == (least <= len(item.split()) // 4)
+            assert (d, i) not in found or found[d, i].distance == least
+    assert not {whole + 1, whole + 2, whole + 3} & {r.doc_id for r in got}
+
+
 def test_edit_distance_against_plain_table():
     rng = random.Random(1)
     for _ in range(100):
