@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from statistics import median_low
 
 import pyarrow as pa
 import zstandard
@@ -18,6 +19,8 @@ SAMPLE = 3000
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 16_384
 #: Words are cut into windows of so many bytes.
 WINDOW = 40
+#: What a window has to share of the gain that a known one has before it counts; a known one counts 1.
+BAR = 0.9
 #: Windows whose gain a task remembers.
 CACHE = 400_000
 # Letters of any script make up words; everything else separates.
@@ -83,12 +86,17 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], *, bar: float = 4.
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a window against the ordinary one."""
+    """What the toxic dictionary saves on the windows of a text against the ordinary one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.same = ordinary == toxic
         self.ordinary, self.toxic = (self._compressor(d) for d in (ordinary, toxic))
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[bytes, float] = {}
+        if not self.same:
+            added = toxic[len(ordinary) - len(_FRAME) : -len(_FRAME)]
+            known = added[len(_LEFT) : -len(_RIGHT)].split(_RIGHT + _LEFT)
+            #: Bytes of a window that the toxic dictionary knows whole.
+            self.least = median_low(self._lengths(known)[1])
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -98,41 +106,52 @@ class Distance:
         )
         return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
-    def gains(self, texts: list[str]) -> list[int]:
-        """The largest gain of any window of each text; 0 without windows."""
+    def _lengths(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        framed = [_HEAD + _TAIL + _LEFT + w + _RIGHT for w in words]
+        a, b = (c.multi_compress_to_buffer(framed, threads=1) for c in (self.ordinary, self.toxic))
+        return [len(x) for x in a], [len(x) for x in b]
+
+    def gains(self, texts: list[str]) -> list[float]:
+        """The gains of all windows of each text added up; 0 without windows.
+
+        A window's gain is the saved share of the bytes that it takes beyond a known
+        one: 1 for a short word as for a long one, if it is known. Only what is above
+        ``BAR`` counts, so that parts of words do not add up in long texts.
+        """
         if self.same:
-            return [0] * len(texts)
-        parts = [set(windows(t)) for t in texts]
+            return [0.0] * len(texts)
+        parts = [Counter(windows(t)) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list({w for p in parts for w in p if w not in self.cache})
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            framed = [_HEAD + _TAIL + _LEFT + w + _RIGHT for w in some]
-            a = self.ordinary.multi_compress_to_buffer(framed, threads=1)
-            b = self.toxic.multi_compress_to_buffer(framed, threads=1)
-            self.cache.update((w, len(a[j]) - len(b[j])) for j, w in enumerate(some))
+            for w, a, b in zip(some, *self._lengths(some)):
+                share = min(1.0, (a - b) / max(3, a - self.least))
+                self.cache[w] = max(0.0, (share - BAR) / (1 - BAR))
         cache = self.cache
-        return [max([cache[w] for w in p], default=0) for p in parts]
+        return [sum(n * cache[w] for w, n in p.items()) for p in parts]
 
 
-def calibrate(gains: list[int], toxic: list[int], alarm_cost: float = 4.0) -> float:
+def calibrate(gains: list[float], toxic: list[int], alarm_cost: float = 4.0) -> float:
     """The threshold on the gain with the least loss: share of toxic texts missed plus
     ``alarm_cost`` times the share of ordinary texts called toxic.
 
     Calling nothing toxic is among the choices, so a sample that separates nothing
-    rejects nothing. Of equally good cuts the middle one.
+    rejects nothing. Cuts lie midway between gains; of equally good ones the middle one.
     """
     bad = Counter(g for g, t in zip(gains, toxic) if t)
     good = Counter(g for g, t in zip(gains, toxic) if not t)
     n_bad, n_good = max(1, sum(bad.values())), max(1, sum(good.values()))
-    cuts = [g + 0.5 for g in range(min(gains, default=0) - 1, max(gains, default=0) + 1)]
+    levels = sorted({*gains, 0.0})
+    cuts = [levels[0] - 0.5, *((a + b) / 2 for a, b in zip(levels, levels[1:])), levels[-1] + 0.5]
     lost = [
         sum(n for g, n in bad.items() if g < c) / n_bad + alarm_cost * sum(n for g, n in good.items() if g > c) / n_good
         for c in cuts
     ]
-    best = [c for c, x in zip(cuts, lost) if x == min(lost)]
-    return (best[0] + best[-1]) / 2
+    least = min(lost)
+    best = [c for c, x in zip(cuts, lost) if x == least]
+    return best[len(best) // 2]
 
 
 def toxicity(
@@ -143,8 +162,8 @@ def toxicity(
 
     Labels of rows outside the held-out fold train the model: at most ``sample`` rows
     per class, the first by a hash of the id; two thirds of them build the
-    dictionaries, the rest set the threshold. Every text is then scored whole by its
-    most toxic window. A null or empty text scores low; null ids are not held out and
+    dictionaries, the rest set the threshold. Every text is then scored whole by what
+    all its windows gain together. A null or empty text scores low; null ids are not held out and
     have no label; labels that are null or name no row are not used, of repeated ones
     the larger counts. Without labels of both classes every score is below 0.5. Other
     columns are not looked at.

@@ -182,6 +182,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert again == {r.doc_id: r.score for r in got}
 
 
+def test_toxicity_adds_up_short_words(spark):
+    """Short toxic words count as long ones do, in long texts too; parts of toxic words in ordinary ones do not."""
+    import random
+
+    rng = random.Random(6)
+    made = lambda a, b: "".join(chr(97 + rng.randint(0, 25)) for _ in range(rng.randint(a, b)))
+    mild, long = [made(3, 9) for _ in range(600)], ["worthlesslout", "disgustingly", "pathetically"]
+    rows = []
+    for i in range(1200):
+        text = [rng.choice(mild) for _ in range(rng.choice([20, 60, 1500]) if i % 12 < 4 else 40)]
+        if i % 4 == 0:
+            # Of one word each: half of the toxic texts have short ones only.
+            some = ["scum", "twit", "dolt"] if i % 8 else long
+            for _ in range(3):
+                text.insert(rng.randrange(len(text)), rng.choice(some))
+        elif i % 4 == 1:
+            text.append(made(2, 3) + rng.choice(long)[:9] + made(2, 3))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    kept = [r for r in toxicity.toxicity(docs, marks).collect() if r.held_out]
+    short, others = [r.predicted for r in kept if r.doc_id % 8 == 4], [r.predicted for r in kept if r.doc_id % 4]
+    assert sum(short) / len(short) > 0.95 and sum(others) / len(others) < 0.02
+    # Two windows are more than one, and a short known word is as much as a long one.
+    distance = toxicity.Distance(*toxicity.train_dictionaries([t for i, t in rows if i % 4 == 0], [t for i, t in rows if i % 4]))
+    one, other, two, none = distance.gains(["scum", "worthlesslout", "scum and twit", "and so on"])
+    assert one == other and two > one > none == 0
+
+
 def test_toxicity_edges(spark, docs):
     marks = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None), (0, 0), (777, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, marks).collect()
