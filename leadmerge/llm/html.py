@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadmerge.llm.common import texts_of
 
-# A comment, a declaration, or a tag with its attributes; what is between is text.
+# A comment, a declaration, or a tag with its attributes; what is between is text. A quote
+# counts only after "=", elsewhere it is a character of a name or value.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)>", re.S
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+#: Elements whose content has no markup but their own end tag.
+PLAIN = frozenset("script style textarea title iframe".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in PLAIN}
 _NAME = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -158,13 +162,19 @@ class _Reader:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with the classifier's cost of each."""
     reader, at, skip = _Reader(), 0, ""
-    for m in _MARKUP.finditer(page):
+    endless: set[str] = set()
+    while m := _MARKUP.search(page, at):
         if m.start() > at and not skip:
             reader.text(page[at : m.start()])
-        at = max(at, m.end())
+        at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag in PLAIN and not m[1] and not m[3].endswith("/") and tag not in endless:
+            if end := _END[tag].search(page, at):
+                at = end.start()
+            else:
+                endless.add(tag)
         if skip:
             # A missing end tag of the head must not hide the page.
             if m[1] and tag == skip or skip == "head" and tag == "body":

@@ -243,6 +243,18 @@ def test_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>if(a<b||c>d)x='<article>'</script >", "<script><!-- f() </script>", "<SCRIPT>s = '<b'</Script>",
+     "<head><title>a <b</title><script>i<n</script></head><body>", "<style>a::before{content:'<b'}</style>", "<textarea><!-- a <b </textarea>", "<svg><style>a<b</style></svg>",
+     "<img title=it's>", "<img alt=5\" width=3>", "<a' href='x'></a>", "<img alt='a > b' title = \"c > 'd\">", "<head><title>no end<body>"],
+)
+def test_markup_inside_scripts_and_stray_quotes(before):
+    """Neither hides what comes after it, whether or not more scripts and quotes follow."""
+    page = f"{before}<article><p>All of the text's words are here.</p></article><p>It's over</p><script>'</script>"
+    assert html.main_blocks(page) == ["All of the text's words are here."]
+
+
 def test_given_pages_give_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     for p in pages:
