@@ -10,7 +10,7 @@ from leadmerge.plans.catalog.registry import Tables, query, text_time
 from leadmerge.plans.ingest import SourceSpec, ingest, ingest_sources, replay_counts
 from leadmerge.plans.serve import LeadReader
 from leadmerge.plans.validate import drain
-from leadmerge.session import work_path
+from leadmerge.session import cut_lineage, work_path
 from leadmerge.sources import files, intake
 from leadmerge.sources.sinks import write_csv
 from leadmerge.sources.store import LeadStore
@@ -34,7 +34,7 @@ def _quoted(c):
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def order_lines(t: Tables, breaks: bool) -> DataFrame:
+def order_lines(t: Tables, breaks: bool, *more) -> DataFrame:
     """Rows of a file as they come: empty cells anywhere, quotes, short, long and blank rows."""
     key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     note = F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit("\n" if breaks else " "), F.lit('", left'))
@@ -46,16 +46,45 @@ def order_lines(t: Tables, breaks: bool) -> DataFrame:
         F.when(key % 7 == 1, text).when(key % 7 == 2, F.concat(cells, F.lit(",more,and more")))
         .when(key % 7 == 3, F.concat(cells, F.lit("\n,,,"))).otherwise(cells)
     )
-    return t.orders.select(line.alias("value"))
+    return t.orders.select(line.alias("value"), *more)
 
 
-def _read_back(t: Tables, breaks: bool) -> DataFrame:
-    path = work_path(t.spark, "lines")
-    header = t.spark.createDataFrame([("Key,Phone, Note,Status",)], "value string")
-    # A part file is a file of its own: each needs the header, first.
-    lines = header.unionAll(order_lines(t, breaks)).coalesce(1)
-    lines.write.text(path)
-    rows = files.read_rows(t.spark, path, "MFULL", multiline=breaks)
+HEADER = "Key,Phone, Note,Status"
+
+
+def _headed_files(t: Tables, breaks: bool) -> str:
+    """A file with the header for every 5,000 order keys."""
+    path, part = work_path(t.spark, "lines"), F.floor(F.col("o_orderkey") / 5000).alias("part")
+    lines = order_lines(t, breaks, part).withColumn("first", F.lit(1))
+    heads = t.orders.select(part).distinct().select("part", F.lit(HEADER).alias("value"), F.lit(0).alias("first"))
+    dealt = lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "first")
+    dealt.drop("first").write.partitionBy("part").text(path)
+    return path
+
+
+def _one_file(t: Tables, lines: list[DataFrame]) -> str:
+    """One large file of all lines in order, as a sender would drop it."""
+    path = work_path(t.spark, "large")
+    whole = lines[0]
+    for more in lines[1:]:
+        whole = whole.unionAll(more)
+    whole.coalesce(1).write.text(path)
+    return path
+
+
+def _in_blocks(t: Tables, path: str, read) -> DataFrame:
+    """``read()`` with the files cut into 32 blocks or more, computed while that holds."""
+    setting = "spark.sql.files.maxPartitionBytes"
+    size = t.spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    before = t.spark.conf.get(setting, None)
+    t.spark.conf.set(setting, str(max(4096, min(size // 32, 128 << 20))))
+    try:
+        return cut_lineage(read())
+    finally:
+        t.spark.conf.unset(setting) if before is None else t.spark.conf.set(setting, before)
+
+
+def _line_cells(rows: DataFrame) -> DataFrame:
     cell = lambda name: F.col("raw_payload").getItem(name)
     return rows.select(
         "source", cell("Key").alias("key"), cell("Phone").alias("phone"), F.replace(cell(" Note"), F.lit("\n"), F.lit(" ")).alias("note"),
@@ -78,12 +107,22 @@ from orders"""
 
 @query(LINES_SQL)
 def csv_scan(t: Tables):
-    return _read_back(t, breaks=True)
+    """Many files with line breaks in cells."""
+    return _line_cells(files.read_rows(t.spark, _headed_files(t, True), "MFULL"))
 
 
 @query(LINES_SQL)
 def csv_scan_split(t: Tables):
-    return _read_back(t, breaks=False)
+    """Many files without line breaks in cells, by Spark's own reader."""
+    return _line_cells(files.read_rows(t.spark, _headed_files(t, False), "MFULL", multiline=False))
+
+
+@query(LINES_SQL)
+def csv_scan_large(t: Tables):
+    """One file with line breaks in cells, read block by block."""
+    header = t.spark.createDataFrame([(HEADER,)], "value string")
+    path = _one_file(t, [header, order_lines(t, True)])
+    return _line_cells(_in_blocks(t, path, lambda: files.read_rows(t.spark, path, "MFULL")))
 
 
 @query("""
@@ -129,22 +168,45 @@ def _counts(t: Tables, runs: dict[str, dict], names=("received", "inserted", "du
 @query("select 'NFULL' as source, c_custkey as rec_id, c_name as name from customer"
        " union all select case o_orderkey % 2 when 0 then 'NFULL' else 'MFULL' end, o_orderkey, o_orderpriority from orders")
 def pushed_batches(t: Tables):
-    """A batch of one source and a mixed one, as JSON files."""
-    one, mixed = work_path(t.spark, "one"), work_path(t.spark, "mixed")
-    row = lambda key, name: F.struct(F.col(key).cast("string").alias("id"), F.col(name).alias("name"))
-    part = lambda key: F.floor(F.col(key) / 500)
-    body = lambda df: df.select(F.to_json(F.struct("rows")).alias("value")).repartition(4)
-    body(t.customer.groupBy(part("c_custkey")).agg(F.collect_list(row("c_custkey", "c_name")).alias("rows"))).write.text(one, lineSep=" ")
-    source = F.when(F.col("o_orderkey") % 2 == 0, "NFULL").otherwise("MFULL")
-    entry = F.struct(source.alias("source"), row("o_orderkey", "o_orderpriority").alias("row"))
-    # One body per file.
-    bodies = t.orders.groupBy((F.col("o_orderkey") % 4).alias("part")).agg(F.collect_list(entry).alias("rows"))
-    bodies.select("part", F.to_json(F.struct("rows")).alias("value")).write.partitionBy("part").text(mixed)
-    single = t.spark.read.text(one).select(F.explode(F.from_json("value", intake.ROWS_SCHEMA)["rows"]).alias("raw_payload"))
-    parts = [f"{mixed}/part={i}" for i in range(4)]
-    both = intake.read_mixed_batch(t.spark, parts)
+    """Bodies of one source, and one mixed body of a whole table, read block by block."""
+    one, key = work_path(t.spark, "one"), F.floor(F.col("c_custkey") / 5000).alias("part")
+    bodies = t.customer.groupBy(key).agg(F.collect_list(_json_row("c_custkey", "c_name")).alias("rows"))
+    bodies.select("part", F.to_json(F.struct("rows")).alias("value")).write.partitionBy("part").text(one)
+    single = intake.read_source_batch(t.spark, one, "NFULL")
+    path = _mixed_body(t, t.orders)
+    both = _in_blocks(t, path, lambda: intake.read_mixed_batch(t.spark, path))
     cells = lambda df: df.select("source", F.col("raw_payload")["id"].cast("bigint").alias("rec_id"), F.col("raw_payload")["name"].alias("name"))
-    return cells(single.select(F.lit("NFULL").alias("source"), "raw_payload")).unionAll(cells(both))
+    return cells(single).unionAll(cells(both))
+
+
+def _json_row(key: str, name: str):
+    return F.struct(F.col(key).cast("string").alias("id"), F.col(name).alias("name"))
+
+
+def _mixed_body(t: Tables, orders: DataFrame, source=None) -> str:
+    """One body with an entry per order; the smallest key comes first."""
+    source = F.when(F.col("o_orderkey") % 2 == 0, "NFULL").otherwise("MFULL") if source is None else source
+    entry = F.to_json(F.struct(source.alias("source"), _json_row("o_orderkey", "o_orderpriority").alias("row")))
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    head = orders.where(F.col("o_orderkey") == first).select(F.concat(F.lit('{"pushed": "now", "rows": ['), entry).alias("value"))
+    rest = orders.where(F.col("o_orderkey") != first).select(F.concat(F.lit(","), entry).alias("value"))
+    return _one_file(t, [head, rest, t.spark.createDataFrame([("]}",)], "value string")])
+
+
+@query("select 'none' as bad, false as rejected, count(*) as entries from orders union all select 'source', true, 0 union all select 'cells', true, 0")
+def rejected_batches(t: Tables):
+    """One entry of an unknown source, or without cells, rejects the body of a whole table."""
+    last = t.orders.agg(F.max("o_orderkey")).first()[0]
+    is_last, rows = F.col("o_orderkey") == last, []
+    for bad, source, orders in (
+        ("none", F.lit("NFULL"), t.orders), ("source", F.when(is_last, "OTHER").otherwise("NFULL"), t.orders), ("cells", F.when(~is_last, "NFULL"), t.orders),
+    ):
+        path = _mixed_body(t, orders, source)
+        try:
+            rows.append((bad, False, intake.read_mixed_batch(t.spark, path).count()))
+        except intake.BatchRejected:
+            rows.append((bad, True, 0))
+    return t.spark.createDataFrame(rows, "bad string, rejected boolean, entries bigint")
 
 
 # -- runs ------------------------------------------------------------------------------------

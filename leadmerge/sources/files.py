@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from leadmerge.sources.blocks import count_of, pieces, records
 from leadmerge.sources.grids import grid_rows
 
 MAX_COLUMNS = 64
 
 
+def split_record(text: str) -> list[str]:
+    """Cells of one record: commas count outside quotes, a doubled quote inside is one.
+
+    A quote opens or closes wherever it stands, carriage returns outside quotes go.
+    """
+    cells = [""]
+    parts = text.split('"')
+    for i, part in enumerate(parts):
+        if i % 2:
+            cells[-1] += part
+        elif not part and 0 < i < len(parts) - 1:
+            cells[-1] += '"'
+        else:
+            first, *more = part.replace("\r", "").split(",")
+            cells[-1] += first
+            cells += more
+    return cells
+
+
+def _record_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column("text")
+        quoted = pc.match_substring(text, '"').to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(pc.replace_substring(text.filter(pa.array(~quoted)), "\r", ""), ",")
+        parsed = pa.array([split_record(t) for t in text.filter(pa.array(quoted)).to_pylist()], pa.list_(pa.string()))
+        place = np.argsort(np.argsort(quoted, kind="stable"), kind="stable")
+        cells = pa.concat_arrays([plain, parsed]).take(pa.array(place))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "block", "row")), cells], ["file", "block", "row", "cells"])
+
+
 def read_cells(
     spark: SparkSession,
     path: str | list[str],
@@ -19,17 +55,24 @@ def read_cells(
     """Delimited files as a cell grid, one grid per file.
 
     Quoted fields may hold commas, doubled quotes and line breaks. Every cell keeps its
-    place: empty ones are '', only those missing at the end of a row are left out.
-    Cells beyond ``max_columns`` + 1 are not read; :func:`read_rows` fails on a header
-    that wide, while a data row may be wider than its header. ``multiline=False`` lets
-    Spark split large files when no cell holds a line break. Unlike a strict character
-    reader, quotes in the middle of an unquoted field are kept.
+    place: empty ones are '', missing ones at the end of a row are left out. Large files
+    are read by many tasks, with line breaks in cells too: a line break ends a record if
+    an even number of quotes stands before it, or if it is the file's last character.
+    ``multiline=False`` takes Spark's own
+    reader for files without line breaks in cells: one pass less; there quotes in the
+    middle of an unquoted field are kept, empty cells at the end of a row count as
+    missing, and cells beyond ``max_columns`` + 1 are not read.
     """
+    if multiline:
+        none = lambda value: F.lit(0)
+        lines = pieces(spark, path, "\n", lambda value: count_of(value, '"'), none, none)
+        found, _ = records(lines, "\n")
+        cells = found.select("file", "block", "row", "text").mapInArrow(_record_cells, "file string, block long, row long, cells array<string>")
+        return cells.select(F.col("file").alias("grid_id"), F.struct("block", "row").alias("row_idx"), "cells")
     names = [f"_c{i}" for i in range(max_columns + 1)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     lines = (
         spark.read.schema(schema)
-        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("maxColumns", max(20480, max_columns + 1))

@@ -1,6 +1,7 @@
 """Files, pushed batches, CSV output and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,110 @@ def test_stream_of_landed_files(spark, tmp_path):
     again = ingest(store, items, idempotency_key="t:1")
     assert again["replayed"] and store.read("masters").count() == 3
     assert store.read("sightings").select(F.countDistinct("run_id")).first()[0] == 2
+
+
+def strict_cells(text):
+    """A character reader: quotes toggle anywhere, doubled ones inside are one."""
+    rows, row, field, inside, i = [], [], "", False, 0
+    while i < len(text):
+        c = text[i]
+        if inside and c == '"' and text[i + 1 : i + 2] == '"':
+            field, i = field + '"', i + 1
+        elif c == '"':
+            inside = not inside
+        elif inside or c not in ",\n\r":
+            field += c
+        elif c == ",":
+            row, field = [*row, field], ""
+        elif c == "\n":
+            rows, row, field = [*rows, [*row, field]], [], ""
+        i += 1
+    return rows + ([[*row, field]] if row or field else [])
+
+
+def cells_of(spark, path, block_bytes):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
+    try:
+        found = files.read_cells(spark, path)
+        assert found.rdd.getNumPartitions() >= 1
+        rows = found.orderBy("grid_id", "row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    return [r.cells for r in rows]
+
+
+@pytest.mark.parametrize("block_bytes", [7, 64, 1 << 20])
+def test_blocks_cut_quoted_records(spark, tmp_path, block_bytes):
+    rng = random.Random(block_bytes)
+    parts = ["a", "bb", ",", ",", "\n", "\r\n", '"', '""', '"x\ny"', '",\n,"', "é", '"\r\n"', "\n\n"]
+    for n in range(4):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 120 if block_bytes < 1000 else 4000)))
+        text += '"' * (text.count('"') % 2)  # the line break at the end of a file ends an open cell, too
+        path = write(tmp_path / f"{n}.csv", text)
+        assert cells_of(spark, path, block_bytes) == strict_cells(text), repr(text)
+
+
+def test_one_cell_over_many_blocks(spark, tmp_path):
+    text = 'k,v\n1,"' + "\n".join(f"line {i}, of one" for i in range(200)) + '"\n2,x\n3,"open\nto the end'
+    path = write(tmp_path / "long.csv", text)
+    got = cells_of(spark, path, 64)
+    assert got == strict_cells(text) and len(got) == 4
+
+
+def test_many_tasks_read_one_quoted_file(spark, tmp_path):
+    lines = "\n".join(f'{i},"first\nsecond ""{i}""",x' for i in range(2000))
+    path = write(tmp_path / "big.csv", "Key,Value,More\n" + lines + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_rows(spark, path, "S")
+        assert files.read_cells(spark, path).rdd.getNumPartitions() > 8
+        got = payloads(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = spark.read.csv(path, header=True, multiLine=True, escape='"').collect()
+    assert sorted((r["Key"], r["Value"], r["More"]) for r in got) == sorted(map(tuple, whole))
+
+
+def test_block_states_without_broadcast(spark, tmp_path, monkeypatch):
+    from leadmerge.sources import blocks
+
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    text = 'a,"b\nc",d\n' * 40
+    assert cells_of(spark, write(tmp_path / "s.csv", text), 50) == strict_cells(text)
+
+
+def bodies(rng, n):
+    """Rows with all that may look like a separator, and the body that holds them."""
+    text = lambda: "".join(rng.choice(['a', ',', '"', '\\', ']', '}', '[', '{', '"rows":[', ' ', 'é', '\n']) for _ in range(rng.randint(0, 12)))
+    return [{text() or "k": text() for _ in range(rng.randint(0, 3))} for _ in range(n)]
+
+
+@pytest.mark.parametrize("block_bytes", [11, 200, 1 << 20])
+def test_bodies_are_cut_between_entries(spark, tmp_path, block_bytes):
+    rng = random.Random(block_bytes)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
+    try:
+        for k, (shape, n) in enumerate([(None, 9), (1, 40), (None, 0), (None, 1), ("\t", 5)]):
+            rows = bodies(rng, n)
+            wrapped = [{"rows": rows}, {"source": "x, [", "rows": rows, "n": 1}][k % 2]
+            path = write(tmp_path / f"{k}.json", json.dumps(wrapped, indent=shape, ensure_ascii=bool(k % 2)) + "\n" * k)
+            assert intake.body_entries(spark, path) is not None
+            got = payloads(intake.read_source_batch(spark, path, "NFULL"))
+            assert sorted(json.dumps(r, sort_keys=True) for r in got) == sorted(json.dumps(r, sort_keys=True) for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bodies_that_are_rejected_or_read_whole(spark, tmp_path):
+    beside = write(tmp_path / "beside.json", '{"meta": {"a": 1, "b": [2, 3]}, "rows": [{"x": "1"}, {"x": "2"}]}')
+    assert intake.body_entries(spark, beside) is None
+    assert sorted(r["x"] for r in payloads(intake.read_source_batch(spark, beside, "NFULL"))) == ["1", "2"]
+    bad = ["", "{}", "[]", '{"rows": 5}', '{"rows": {"a": 1}}', '{"rows": [{"a": "1"}', '"rows": [{"a": "1"}]', '{"rows": [{"a": "1"}]}, 5',
+           '{"rows": [{"a": "1"},, {"a": "1"}]}', '{"rows": [5, {"a": "1"}]}', '{"rows": [{"a": }]}', '{"rows": [{"a": "1"}]]}', '{"rows": [{"a": "1}]}']
+    for k, body in enumerate(bad):
+        path = write(tmp_path / f"bad{k}.json", body)
+        with pytest.raises(intake.BatchRejected):
+            intake.read_source_batch(spark, path, "NFULL")
+    good = write(tmp_path / "z.json", '{"rows": [{"source": "NFULL", "row": {"a": "1"}}]}')
+    with pytest.raises(intake.BatchRejected):
+        intake.read_mixed_batch(spark, [good, write(tmp_path / "y.json", '{"rows": [{"source": "NFULL", "row": {"a": "1"}}, {"source": "OTHER", "row": {}}]}')])
