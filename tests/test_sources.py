@@ -256,7 +256,8 @@ def test_bodies_that_are_rejected_or_read_whole(spark, tmp_path):
     beside = write(tmp_path / "beside.json", '{"meta": {"a": 1, "b": [2, 3]}, "rows": [{"x": "1"}, {"x": "2"}]}')
     assert intake.body_entries(spark, beside) is None
     assert sorted(r["x"] for r in payloads(intake.read_source_batch(spark, beside, "NFULL"))) == ["1", "2"]
-    bad = ["", "{}", "[]", '{"rows": 5}', '{"rows": {"a": 1}}', '{"rows": [{"a": "1"}', '"rows": [{"a": "1"}]', '{"rows": [{"a": "1"}]}, 5',
+    assert payloads(intake.read_source_batch(spark, write(tmp_path / "empty.json", ""), "NFULL")) == []
+    bad = [" ", "{}", "[]", '{"rows": 5}', '{"rows": {"a": 1}}', '{"rows": [{"a": "1"}', '"rows": [{"a": "1"}]', '{"rows": [{"a": "1"}]}, 5',
            '{"rows": [{"a": "1"},, {"a": "1"}]}', '{"rows": [5, {"a": "1"}]}', '{"rows": [{"a": }]}', '{"rows": [{"a": "1"}]]}', '{"rows": [{"a": "1}]}']
     for k, body in enumerate(bad):
         path = write(tmp_path / f"bad{k}.json", body)
