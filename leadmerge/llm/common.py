@@ -36,6 +36,24 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(False))
 
 
+#: Rows without an id get a number from here on; ids are smaller.
+NO_ID = 1 << 62
+
+
+def own_id(key: Column, content: Column) -> Column:
+    """The id, or for rows without one a number made from what they hold.
+
+    Such numbers come behind all ids, so the smallest of a group is an id if it has one;
+    rows of equal content share theirs.
+    """
+    return F.coalesce(key.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(content), F.lit(NO_ID - 1)))
+
+
+def shown_id(node: Column) -> Column:
+    """The id that :func:`own_id` stands for, null if there was none."""
+    return F.when(node < NO_ID, node)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     """A text column with nulls as empty texts."""
     return batch.column(column).fill_null("")

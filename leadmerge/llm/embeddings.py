@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import components, stage
+from leadmerge.llm.common import components, own_id, shown_id, stage
 
 #: Width of a quantised projection of unit vectors.
 WIDTH = 2.0
@@ -96,8 +96,11 @@ def embedding_duplicates(
     into blocks and every pair of blocks compared in a task of its own, so no bucket is
     capped. Vectors that are null, zero, of another length than most, or hold null or
     non-finite components link with nothing and are their own component. Ids should be
-    unique integers; rows that repeat an id and a vector count as copies of each other.
-    Other columns are not looked at; an empty table gives no rows.
+    unique integers below 2**62; rows that repeat an id and a vector count as copies of
+    each other. A row without an id is linked like any other, keeps its null, and shows
+    the smallest id of its component, or null if no row there has one; of such a
+    component its first vector by hash is kept. Other columns are not looked at; an empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
     vector = F.col(vector_col)
@@ -106,7 +109,7 @@ def embedding_duplicates(
         & F.exists(vector, lambda x: x != 0)
     )
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), vector.cast("array<double>").alias("v"),
+        own_id(F.col(id_col), vector).alias("id"), vector.cast("array<double>").alias("v"),
         F.coalesce(sound, F.lit(False)).alias("ok"), F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2"),
     )
     lengths = rows.filter("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -201,9 +204,9 @@ def embedding_duplicates(
     )
     marked = rows.select("id", good.alias("good"), "h1", "h2")
     return marked.join(per_class, ["h1", "h2"], "left").select(
-        F.col("id").alias(id_col),
+        shown_id(F.col("id")).alias(id_col),
         F.when(F.col("good"), F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("good"), F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        shown_id(F.when(F.col("good"), F.col("component")).otherwise(F.col("id"))).alias("component_id"),
         F.coalesce(~F.col("good") | (F.col("id") == F.col("component")), F.lit(True)).alias("kept"),
     )
 
@@ -222,6 +225,9 @@ def _run_starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
 
 
 def _cosine(a, b):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    """Cosine of two arrays in double precision; scaled first, so that no square leaves the range."""
+    most = lambda v: F.array_max(F.transform(v, F.abs))
+    scaled = lambda v: F.zip_with(v, F.array_repeat(most(v), F.size(v)), lambda x, m: x / m)
+    dot = F.aggregate(F.zip_with(scaled(a), scaled(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(scaled(v), F.lit(0.0), lambda s, x: s + x * x))
     return dot / (norm(a) * norm(b))

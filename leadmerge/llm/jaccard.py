@@ -8,20 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import Bits, components, hash_words, mixed, stage, texts_of, word_lists
+from leadmerge.llm.common import Bits, components, hash_words, mixed, most_frequent, own_id, shown_id, stage, texts_of, word_lists
 
 #: Smallest n-grams of a set that look for a leader, and how many have to agree.
 SMALLEST, AGREE = 8, 2
 #: N-grams of this many sets or more come last in the global order ...
-FREQUENT = 64
-#: ... which a fixed-size filter holds: the bound rises so that it is never overfull.
-FILTER_ROWS = 1 << 22
+FREQUENT = 16
+#: ... as far as a fixed-size filter holds them: of more, those of the most sets do.
+FILTER_ROWS = 1 << 20
+#: N-grams are counted by their highest 44 bits: the part they are dealt to, and 32 bits in it.
+COUNT_PART_BITS, COUNT_BITS = 12, 44
+#: N-grams that one task counts at once.
+COUNT_ROWS = 4_000_000
 #: N-grams that one fragment of the order brings together.
 FRAGMENT_ROWS = 1_000_000
 #: Parts of the order in which overlaps of candidates are counted, as shares of it.
 PARTS = (0.0, 0.3, 1.0)
 _TOP = 1 << 62  # n-grams are 62-bit hashes; this bit marks the frequent ones
-_NO_ID = -(1 << 63)
 
 
 def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +66,14 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def set_table(rows: DataFrame, n: int) -> DataFrame:
-    """One row per text ``(id, sig, n, smallest)``, and n-grams several sets of a batch hold ``(gram, sets)``."""
+    """One row per text ``(id, sig, n, smallest)``, and the n-grams to count ``(part, grams)``.
+
+    The n-grams of the distinct sets of a batch are packed into one value per part of the
+    order, four bytes each.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("smallest", pa.list_(pa.int64())), ("gram", pa.int64()), ("sets", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("smallest", pa.list_(pa.int64())), ("part", pa.int32()), ("grams", pa.binary())])
         for batch in batches:
             offsets, grams = ngram_sets(texts_of(batch, "text"), n)
             counts = np.diff(offsets)
@@ -77,18 +84,56 @@ def set_table(rows: DataFrame, n: int) -> DataFrame:
             m = len(sig)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_ids(batch)), pa.array(sig), pa.array(counts), _lists(np.concatenate([[0], np.cumsum(few)]), grams[at]),
-                 pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
+                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
             # Each distinct set of the batch counts once.
             _, once = np.unique(sig, return_index=True)
             mask = np.zeros(m, bool)
             mask[once] = True
-            seen, sets = np.unique(grams[np.repeat(mask, counts)], return_counts=True)
-            seen, sets = seen[sets > 1], sets[sets > 1]
-            k = len(seen)
+            held = np.sort(_counted(grams[np.repeat(mask, counts)]))
+            parts, starts = np.unique(held >> 32, return_index=True)
+            packed = (held & 0xFFFFFFFF).astype(np.uint32)
+            blobs = [x.tobytes() for x in np.split(packed, starts[1:])] if len(parts) else []
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, f.type) for f in list(schema)[:4]] + [pa.array(seen), pa.array(sets.astype(np.int64))], schema=schema)
+                [pa.nulls(len(parts), f.type) for f in list(schema)[:4]] + [pa.array(parts.astype(np.int32)), pa.array(blobs, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(make, "id long, sig long, n long, smallest array<long>, part int, grams binary")
+
 
-    return rows.mapInArrow(make, "id long, sig long, n long, smallest array<long>, gram long, sets long")
+def _counted(grams: np.ndarray) -> np.ndarray:
+    """What of an n-gram's 62 bits is counted."""
+    return grams >> (62 - COUNT_BITS)
+
+
+def frequent_grams(packed: DataFrame, total: int) -> DataFrame:
+    """``(gram, sets)``: the n-grams that ``FREQUENT`` sets or more hold, all sets counted.
+
+    ``packed`` has the parts of :func:`set_table`; a part is cut further where it would
+    be too large for one task. Copies of a set in other batches count again.
+    """
+    cut = max(1, -(-total // (COUNT_ROWS << COUNT_PART_BITS)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, shares, blobs = [], [], []
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("grams").to_pylist()):
+                keys = np.frombuffer(blob, np.uint32)
+                share = (keys.astype(np.int64) * cut) >> 32  # in order, so each share is a run
+                found, starts = np.unique(share, return_index=True)
+                parts += [part] * len(found)
+                shares += found.tolist()
+                blobs += [x.tobytes() for x in np.split(keys, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(shares, pa.int32()), pa.array(blobs, pa.binary())], ["part", "share", "grams"])
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("grams").to_pylist()]))
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sets = np.diff(np.append(starts, len(keys)))
+        often = sets >= FREQUENT
+        part = int(group.column("part")[0].as_py())
+        return pa.table({"gram": (part << 32) | keys[starts[often]].astype(np.int64), "sets": sets[often].astype(np.int64)})
+
+    dealt = packed.withColumn("share", F.lit(0)) if cut == 1 else packed.mapInArrow(deal, "part int, share int, grams binary")
+    return dealt.groupBy("part", "share").applyInArrow(count, "gram long, sets long")
 
 
 def overlaps(rows: DataFrame, pairs: DataFrame, n: int, parts: list[tuple[float, float]]) -> DataFrame:
@@ -225,7 +270,7 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
             offsets, grams = ngram_sets(texts_of(batch, "text"), n)
             counts = np.diff(offsets)
             owner = np.repeat(np.arange(len(counts)), counts)
-            late = known.has(grams)
+            late = known.has(_counted(grams))
             grams = np.where(late, grams | _TOP, grams)
             order = np.lexsort((grams, owner)) if late.any() else np.arange(len(grams))
             grams = grams[order]
@@ -302,11 +347,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     more are linked, exactly, and texts reachable by links share the smallest of their
     ids. Equal sets are one class before any comparison. N-grams and sets are compared
     by 62-bit and 64-bit hashes. Null and empty texts have no set and are their own
-    component. Ids should be unique integers: rows that repeat an id have to repeat its
-    text; a null id counts below all others and stays null. Other columns are not
-    looked at; an empty table gives no rows.
+    component. Ids should be unique integers below 2**62: rows that repeat an id have to
+    repeat its text. A row without an id is linked like any other, keeps its null, and
+    shows the smallest id of its component, or null if no row there has one. Other
+    columns are not looked at; an empty table gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    named = jaccard_groups(docs.select(own_id(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).alias("text")), n)
+    return named.select(shown_id(F.col("id")).alias(id_col), "n_shingles", shown_id(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_groups(rows: DataFrame, n: int = 5) -> DataFrame:
+    """``(id, n_shingles, component_id)`` of ``rows(id, text)`` without null ids."""
     made = stage(set_table(rows, n), "sets")
     texts = made.filter("sig is not null")
     sets = stage(
@@ -317,8 +368,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = stage(leader_links(rows, sets, n), "links")
     groups = components(first, "links")
     total = texts.agg(F.sum("n")).first()[0] or 0
-    bound = max(FREQUENT, total // FILTER_ROWS)
-    often = made.filter("gram is not null").groupBy("gram").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= bound)
+    packed = made.filter("part is not null").select("part", "grams")
+    often = most_frequent(stage(frequent_grams(packed, total), "often"), "sets", FILTER_ROWS)
     frequent = Bits.collect(often, "gram").words
     grouped = stage(
         sets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("comp")), "sets"
@@ -327,8 +378,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = stage(components(first.unionAll(more), "links"), "links")
     smallest = roots.join(roots.groupBy("root").agg(F.min("node").alias("smallest")), "root").select(F.col("node").alias("rep"), "smallest")
     own = F.coalesce("smallest", "rep", "id")
-    shown = lambda c: F.when(c != _NO_ID, c)
     return (
         texts.select("id", "sig", "n").join(sets.select("sig", "rep"), "sig", "left").join(smallest, "rep", "left")
-        .select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(own).alias("component_id"))
+        .select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     )

@@ -1,5 +1,6 @@
 """Jaccard join, embedding duplicates, substring dedup, decontamination, mixing, components, pipeline."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -65,7 +66,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("frequent", [64, 3])
+@pytest.mark.parametrize("frequent", [16, 3])
 def test_jaccard_against_all_pairs(spark, docs, monkeypatch, frequent):
     """Also where most n-grams count as frequent, and groups chain."""
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
@@ -101,6 +102,48 @@ def test_jaccard_of_nothing(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted([(1, 0, 1), (2, 0, 2), (None, 0, None)], key=repr)
 
 
+def test_jaccard_of_rows_without_id(spark):
+    """Copies without an id belong to their own group only; unrelated groups stay apart."""
+    rng = random.Random(21)
+    one, two, three = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(7, one), (None, one), (9, one + " more"), (10, two), (None, two + " x"), (None, two), (None, three), (None, three + " y"), (3, "short")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.component_id) for r in got], key=repr) == sorted(
+        [(7, 7), (None, 7), (9, 7), (10, 10), (None, 10), (None, 10), (None, None), (None, None), (3, 3)], key=repr
+    )
+
+
+def test_frequent_grams_are_counted_over_all_sets(spark, monkeypatch):
+    """A passage that stands once in each of many batches is frequent, and makes few pairs."""
+    monkeypatch.setattr(jaccard, "COUNT_ROWS", 1)  # parts are cut further
+    rng = random.Random(22)
+    passage = " ".join(words(rng, 40))
+    rows = [(i, f"{' '.join(words(rng, 50))} {passage} {' '.join(words(rng, 50))}") for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        frame = spark.createDataFrame(rows, "id long, text string").repartition(6)
+        made = jaccard.set_table(frame, 5).cache()
+        total = made.agg(F.sum("n")).first()[0]
+        often = {r.gram: r.sets for r in jaccard.frequent_grams(made.filter("part is not null").select("part", "grams"), total * 4096).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(often) == 36 and set(often.values()) == {60}
+    got = jaccard.jaccard_components(frame.withColumnRenamed("id", "doc_id")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_embeddings_without_id_and_beyond_squares(spark):
+    v = [3.0, 1.0, 2.0, 0.5]
+    big = [x * 1e200 for x in v]
+    rows = [(4, v), (None, v), (None, [-1.0, 5.0, 0.0, 0.0]), (None, [-1.0, 5.0, 0.0, 0.0]), (6, big), (8, None), (None, None)]
+    rows += [(20, [1e200, 0.0, 0.0, 0.0]), (21, [0.9e200, math.sqrt(1 - 0.81) * 1e200 * (1 - 1e-9), 0.0, 0.0])]
+    got = embeddings.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in got], key=repr) == sorted(
+        [(4, 2, 4, True), (None, 2, 4, False), (6, 2, 4, False), (None, 1, None, True), (None, 1, None, True), (8, 0, 8, True), (None, 0, None, True),
+         (20, 1, 20, True), (21, 1, 20, False)], key=repr
+    )
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_embedding_links_and_recall(spark, block):
     """Against all pairs; a small block size splits every bucket and changes nothing."""
@@ -329,3 +372,17 @@ def test_pipeline_stages(spark):
         before = after
     assert {r.doc_id for r in before.collect()} == kept
     assert before.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_pipeline_without_ids(spark):
+    """Rows without an id are judged like others; one copy of a group stays."""
+    rng = random.Random(33)
+    one, two, item = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(7, one), (None, one), (9, one + " more"), (None, two), (None, two + " x"), (None, None), (4, ""), (11, f"x {item} y"), (None, f"{item} z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.one_per_group(spark, docs, SF)
+    got = sorted([(r.doc_id, r.text) for r in left.collect()], key=repr)
+    assert [g for g in got if g[0] is not None] == [(11, f"x {item} y"), (4, ""), (7, one)]
+    assert len([g for g in got if g[0] is None and g[1] and g[1].startswith(two)]) == 1 and (None, None) in got
+    assert left.columns == docs.columns
+    assert corpus_pipeline.one_per_group(spark, docs.limit(0), SF).count() == 0
