@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadmerge.llm.common import stage, table
+from leadmerge.llm.common import own_id, shown_id, stage, table
 from leadmerge.llm.decontamination import contaminated
-from leadmerge.llm.jaccard import jaccard_components
+from leadmerge.llm.jaccard import jaccard_groups
 from leadmerge.llm.mixing import mix_sources
 from leadmerge.llm.substrings import substring_dedup
 from leadmerge.llm.toxicity import toxicity
@@ -16,14 +16,14 @@ from leadmerge.llm.toxicity import toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance does not call toxic; the model is learnt from them and ``labels``."""
-    scores = toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("predicted = 1"))
+    named = _named(docs)
+    return _without(docs, toxicity(named, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id."""
-    groups = jaccard_components(docs)
-    return _without(docs, groups.filter("doc_id <> component_id"))
+    """Of every group of near duplicates the document with the smallest id, or the first text by hash if none has one."""
+    groups = jaccard_groups(_named(docs).select(F.col("doc_id").alias("id"), "text"))
+    return _without(docs, groups.filter("id <> component_id").withColumnRenamed("id", "doc_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs, up to edits."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, contaminated(_named(docs), table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number made from the text where there is no id, so that every row can be named."""
+    return docs.withColumn("doc_id", own_id(F.col("doc_id"), F.col("text")))
+
+
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` whose id is not in ``bad``; documents without an id stay."""
-    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` that ``bad`` does not name by the ids of :func:`_named`.
+
+    Rows that repeat an id, or without ids a text, are named together and go together.
+    Null and empty texts and empty tables pass; other columns are carried as they are.
+    """
+    left = _named(docs).join(bad.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("doc_id", shown_id(F.col("doc_id")))
+    return left.select(docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
