@@ -250,6 +250,31 @@ def _fragment_pairs(group: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "common": count})
 
 
+def central_links(rows: DataFrame, late: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets made up of frequent n-grams to the most central one, and the groups they join.
+
+    Copies of a text with few changes each are near the text, but not always near each
+    other. The text is the set with the largest share of frequent n-grams, so for each
+    of some n-grams that set leads. One candidate per set and n-gram; what is joined
+    here need not be compared pair by pair.
+    """
+    place = F.pmod(F.xxhash64("gram"), F.lit(4))  # some n-grams, the same ones in all sets
+    some = late.filter(place == 0)
+    leaders = (
+        some.groupBy("gram").agg(F.max_by("rep", F.col("often") / F.col("n")).alias("a"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        .filter("x <> y").select("gram", "a")
+    )
+    facts = late.select("rep", "n", "comp", "often").distinct()
+    side = lambda s: facts.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"c{s}"), F.col("often").alias(f"o{s}"))
+    pairs = (
+        some.select("gram", F.col("rep").alias("b")).join(leaders, "gram").filter("a <> b").select("a", "b").distinct()
+        .join(side("a"), "a").join(side("b"), "b").filter((F.col("ca") != F.col("cb")) & _linked(F.least("oa", "ob"), F.col("na"), F.col("nb")))
+    )
+    pairs = stage(pairs.select("a", "b", "na", "nb", "ca", "cb"), "pairs")
+    links = stage(overlaps(rows, pairs, n, [(0.0, 1.0)]).filter(_linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b", "ca", "cb"), "links")
+    return links, components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")), "links")
+
+
 def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, fragments: int) -> DataFrame:
     """All links between sets of different groups, from ``sets(rep, n, comp)``.
 
@@ -313,6 +338,8 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
         owned.filter(F.col("last") >= _TOP)
         .select("rep", "n", "comp", "often", F.explode(F.filter("prefix", lambda g: g >= _TOP)).alias("gram")).distinct(), "late",
     )
+    central, merged = central_links(rows, late, n)
+    late = late.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
     open_grams = late.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("gram")
     late = late.join(open_grams, "gram")
     one = late.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("often").alias("oa"))
@@ -336,7 +363,8 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
     pairs = totals.join(side("a"), "a").join(side("b"), "b").filter(_linked(F.col("common") + left, F.col("na"), F.col("nb")))
     pairs = stage(pairs.select("a", "b", "na", "nb"), "pairs")
     full = overlaps(rows, pairs, n, [PARTS[:2], PARTS[1:]])
-    return full.filter(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = full.filter(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return found.unionAll(central.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
