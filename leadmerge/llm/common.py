@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadmerge.session import work_path
@@ -31,6 +33,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value):
+    """Broadcast of any value; call what comes back, on a worker, to have it.
+
+    Workers need not find this package: its classes travel with the value.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        if not hasattr(get, "value"):
+            get.value = pickle.loads(shared.value)
+        return get.value
+
+    return get
+
+
 def in_fold(key: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text leaves ``fold``; false for a null key."""
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(False))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import ALNUM, hash_words, mixed, texts_of, word_lists
+from leadmerge.llm.common import ALNUM, hash_words, mixed, sent, texts_of, word_lists
 
 #: Words of a piece that its key holds, at most; the check looks at all of them.
 KEYED = 8
@@ -151,10 +151,10 @@ def contaminated(
     def find(part: int) -> DataFrame:
         chosen = some.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).toArrow().combine_chunks()
         ids, texts = (chosen[c].combine_chunks() for c in ("id", "text"))
-        shared = docs.sparkSession.sparkContext.broadcast(Pieces(ids, texts, tolerance))
+        shared = sent(docs.sparkSession, Pieces(ids, texts, tolerance))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = shared.value
+            pieces = shared()
             for batch in batches:
                 found = list(pieces.occurrences(texts_of(batch, "text")))
                 text, item, distance = (pa.array([x[c] for x in found], pa.int64()) for c in range(3))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from leadmerge.llm.common import in_fold, most_frequent, stage, texts_of, word_lists
+from leadmerge.llm.common import in_fold, most_frequent, sent, stage, texts_of, word_lists
 
 #: Latent states and rounds of Baum-Welch.
 STATES, ROUNDS = 8, 4
@@ -245,15 +245,14 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
     all of fixed number) come to the driver, which makes the next model.
     """
     model = Model.initial(lex)
-    context = rows.sparkSession.sparkContext
     if not lex.total:
         return model
     columns = ", ".join(f"n{k} double" for k in range(STATES))
     for _ in range(rounds):
-        shared = context.broadcast((lex, model))
+        shared = sent(rows.sparkSession, (lex, model))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lex, model = shared.value
+            lex, model = shared()
             encoder, counts = Encoder(lex), Counts(model)
             for batch in batches:
                 offsets, sequence, *_ = encoder.encode(texts_of(batch, "text"))
@@ -291,10 +290,10 @@ def hmm_scores(
     counts = stage(word_counts(training), "words")
     lex = lexicon(counts, training.count())
     model = train(training, lex, rounds)
-    shared = spark.sparkContext.broadcast((lex, model))
+    shared = sent(spark, (lex, model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, model = shared.value
+        lex, model = shared()
         encoder = Encoder(lex)
         inside, base = lex.log_in_ending(), lex.log_base()
         listed_log = np.log10(lex.counts + 0.5)

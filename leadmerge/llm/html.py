@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,6 +51,12 @@ BAD_NAMES = frozenset(
     " replies discussion disqus respond sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead share"
     " sharing social related recommended recommendations widget pagination pager toolbar copyright skip search form header".split()
 )
+# What a name may end with and still be one of them.
+PART_NAMES = frozenset(
+    "area bar block body bottom box button buttons close container content count footer form group head header heading icon"
+    " icons info inner item items label left link links list main message messages mini outer overlay panel right row section"
+    " slot small text thread title top unit wrap wrapper zone".split()
+)
 GOOD_NAMES = frozenset("article content post entry story text prose".split())
 BLOCK_TAG = {"p": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0, "blockquote": 1.0, "pre": 1.0, "li": -0.5, "td": -0.5}
 #: Costs of cutting between neighbours, and between blocks of the same parent.
@@ -125,15 +130,20 @@ class _Reader:
 
     @staticmethod
     def _named(attributes: str) -> float:
-        best = 0.0
+        best = worst = 0.0
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words = {w.lower() for part in _CAMEL.sub(" ", value).split() for w in _NAME.findall(part)}
-                if words & BAD_NAMES:
-                    return -9.0
-                if words & GOOD_NAMES:
-                    best = max(best, 3.0)
+                for part in value.split():
+                    words = [w.lower() for w in _NAME.findall(_CAMEL.sub(" ", part))]
+                    good, bad = GOOD_NAMES.intersection(words), BAD_NAMES.intersection(words)
+                    if bad and not good:
+                        # "notice-period", "comments-open": the name speaks of something else.
+                        if len(words) == 1 or words[-1] in BAD_NAMES or words[-1] in PART_NAMES:
+                            return -9.0
+                        worst = -1.0
+                    elif good and not bad:  # both, as in "entry-header", say nothing
+                        best = max(best, 3.0)
             elif name == "role":
                 role = ROLES.get(value.lower(), 0.0)
                 if role < 0:
@@ -141,7 +151,7 @@ class _Reader:
                 best = max(best, role)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return -12.0
-        return best
+        return worst or best
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -210,71 +220,69 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes stay with the source: cheapest labelling of costs and symmetric edges.
+def min_cut(costs: list[int], siblings: list[int], adjacent: list[int], weight: int) -> list[bool]:
+    """Which blocks are on the content side of the minimum cut.
 
-    A positive cost is what labelling the node as boilerplate costs, a negative one what
-    labelling it as content costs; an edge costs its weight if its ends differ.
-    Shortest augmenting paths from all source nodes at once; ties go to boilerplate.
+    A positive cost is what labelling a block as boilerplate costs, a negative one what
+    labelling it as content costs; a cut edge costs its weight. Block ``i`` has an edge of
+    ``adjacent[i]`` to the block before it and one of ``weight`` to the block
+    ``siblings[i]``, the last one of the same parent (-1: none). Parents are nested, so
+    these edges never cross: every block between two siblings is settled, for each pair
+    of their labels, once the second one comes, and the cut takes linear time. Of equal
+    cuts the one with the least content is taken.
     """
     n = len(costs)
-    supply = [max(0, c) for c in costs]
-    demand = [max(0, -c) for c in costs]
-    near: list[list[int]] = [[] for _ in range(n)]
-    head, room = [], []
-    for u, v, w in edges:
-        near[u].append(len(head))
-        head.append(v)
-        room.append(w)
-        near[v].append(len(head))
-        head.append(u)
-        room.append(w)
-    while True:
-        came = [-2] * n
-        queue = deque(i for i in range(n) if supply[i] > 0)
-        for i in queue:
-            came[i] = -1
-        end = -1
-        while queue:
-            u = queue.popleft()
-            if demand[u] > 0:
-                end = u
-                break
-            for e in near[u]:
-                if room[e] > 0 and came[head[e]] == -2:
-                    came[head[e]] = e
-                    queue.append(head[e])
-        if end < 0:
-            return [c != -2 for c in came]
-        flow, u = demand[end], end
-        while came[u] >= 0:
-            flow = min(flow, room[came[u]])
-            u = head[came[u] ^ 1]
-        flow = min(flow, supply[u])
-        supply[u] -= flow
-        demand[end] -= flow
-        u = end
-        while came[u] >= 0:
-            room[came[u]] -= flow
-            room[came[u] ^ 1] += flow
-            u = head[came[u] ^ 1]
+    # One more unit for every content block decides between equal cuts.
+    scale = n + 1
+    # Of the open blocks: the block, and the least cost between it and the one below for
+    # each pair of labels (below, own); settled blocks keep their best label for each pair around them.
+    path: list[tuple[int, tuple[int, int, int, int]]] = []
+    settled: list[tuple[int, int, int, tuple[int, int, int, int]]] = []
+
+    def own(i: int) -> tuple[int, int]:
+        return max(0, costs[i]) * scale, max(0, -costs[i]) * scale + 1
+
+    def settle(below: int, between: tuple, i: int, above: int, beyond: tuple) -> tuple[int, int, int, int]:
+        zero, one = own(i)
+        out, best = [], []
+        for x in (0, 1):
+            for y in (0, 1):
+                a, b = between[2 * x] + zero + beyond[y], between[2 * x + 1] + one + beyond[2 + y]
+                out.append(min(a, b))
+                best.append(int(b < a))
+        settled.append((i, below, above, tuple(best)))
+        return tuple(out)
+
+    for i in range(n):
+        w = adjacent[i] * scale
+        edge = (0, w, w, 0) if path else (0, 0, 0, 0)
+        if siblings[i] >= 0:
+            while path[-1][0] != siblings[i]:
+                j, between = path.pop()
+                edge = settle(path[-1][0], between, j, i, edge)
+            w = weight * scale
+            edge = (edge[0], edge[1] + w, edge[2] + w, edge[3])
+        path.append((i, edge))
+    edge = (0, 0, 0, 0)
+    while path:  # the rest is a path; nothing is below its first block and above its last one
+        j, between = path.pop()
+        edge = settle(path[-1][0] if path else n, between, j, n, edge)
+    label = [0] * (n + 1)
+    for i, below, above, best in reversed(settled):
+        label[i] = best[2 * label[below] + label[above]]
+    return [x == 1 for x in label[:n]]
 
 
 def main_blocks(page: str) -> list[str]:
     """Texts of the blocks on the content side of the cut."""
     blocks = blocks_of(page)
-    edges: dict[tuple[int, int], int] = {}
-    last: dict[int, int] = {}
+    adjacent, siblings, last = [], [], {}
     for i, b in enumerate(blocks):
-        if i:
-            # Less to cut where the page's own parts meet.
-            same = b.inside == blocks[i - 1].inside
-            edges[i - 1, i] = int(100 * ADJACENT * (1.0 if same else 0.25))
-        if b.parent in last:
-            pair = (last[b.parent], i)
-            edges[pair] = edges.get(pair, 0) + int(100 * SIBLINGS)
+        # Less to cut where the page's own parts meet.
+        adjacent.append(int(100 * ADJACENT * (1.0 if i and b.inside == blocks[i - 1].inside else 0.25)))
+        siblings.append(last.get(b.parent, -1))
         last[b.parent] = i
-    keep = min_cut([int(100 * b.cost) for b in blocks], [(u, v, w) for (u, v), w in edges.items()])
+    keep = min_cut([int(100 * b.cost) for b in blocks], siblings, adjacent, int(100 * SIBLINGS))
     return [b.text for b, k in zip(blocks, keep) if k]
 
 

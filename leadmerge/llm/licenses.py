@@ -118,9 +118,13 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     places: list[int] = []
     base, more, tagged = set(), set(), False
+    at = word = 0  # spaces are counted on from the last place; starts differ by less than a phrase
     for end, (phrase, label) in machine.iter(line):
         if phrase in BASE:
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            word += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
+            at = start
+            places.append(word)
             base.add(label)
         elif phrase == TAG:
             tagged = True

@@ -133,7 +133,17 @@ def pivotal_round(rows: DataFrame, *, seed: int = 11, fan_in: int = FAN_IN) -> D
     p = F.col("copies") - whole
     base = rows.select("source", "n_rows", "id", "size", "key", whole.alias("base"), p.alias("p"))
     settled = [base.filter("p = 0 or size = 0").select("source", "id", "size", (F.col("base") * F.col("size")).alias("taken"))]
-    now = base.filter("p > 0 and size > 0")
+    # Equal rows need no chance: so many of them are taken whole, and one is left with the rest.
+    classes = base.filter("p > 0 and size > 0").groupBy("source", "id", "size", "key").agg(
+        *[F.max(c).alias(c) for c in ("n_rows", "base", "p")], F.count("*").alias("m")
+    )
+    classes = classes.withColumn("k", F.floor(F.col("m") * F.col("p"))).withColumn("rest", F.col("m") * F.col("p") - F.col("k"))
+    closed = classes.withColumn("n", F.col("m") - (F.col("rest") > 0).cast("int")).filter("n > 0")
+    step = 1 << 16  # an array for every so many rows, however many are equal
+    some = closed.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))))
+    every = some.withColumn("i", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + step, F.col("n")) - 1)))
+    settled.append(every.select("source", "id", "size", ((F.col("base") + (F.col("i") < F.col("k")).cast("int")) * F.col("size")).alias("taken")))
+    now = classes.filter("rest > 0").select("source", "n_rows", "id", "size", "key", "base", F.col("rest").alias("p"))
     most = rows.agg(F.max("n_rows")).first()[0] or 1
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / fan_in))
     level = 0
@@ -174,7 +184,8 @@ def mix_sources(
     Returns ``(id_col, size, source_size, target, taken)``, one row per input row.
     ``size`` is the number of words, ``taken`` is 0 to ``cap`` whole copies of it, but for
     one row per source that takes a part. A null text has size 0 and is not taken; null sources are one source, last in order;
-    null ids are allowed. Rows with the same id and text are rounded one by one. An
+    null ids are allowed. Of rows with the same id and text as many are taken whole as
+    their share says, and one is rounded with the others. An
     empty table gives an empty result. Other columns are not looked at. Same rows, same
     seed: same result, whatever the partitions.
     """

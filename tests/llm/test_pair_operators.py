@@ -374,6 +374,24 @@ def test_pipeline_stages(spark):
     assert before.columns == ["doc_id", "size", "source_size", "target", "taken"]
 
 
+def test_mixing_of_many_equal_rows(spark):
+    """Equal rows are counted, not gathered; the words of their source are kept."""
+    import time
+
+    text = "w " * 9
+    docs = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("a").alias("source"))
+    others = spark.range(50).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("x "), F.repeat(F.lit("y "), (F.col("id") % 7).cast("int"))).alias("text"), F.lit("b").alias("source"))
+    start = time.time()
+    got = mixing.mix_sources(docs.unionAll(others)).groupBy("source_size", "doc_id", "size", "target", "taken").count().collect()
+    assert time.time() - start < 60
+    equal = {r.taken: r["count"] for r in got if r.doc_id == 5}
+    target = next(r.target for r in got if r.doc_id == 5)
+    assert sum(equal.values()) == 30_000 and len(equal) <= 3
+    assert abs(sum(t * n for t, n in equal.items()) - target) <= 9
+    again = mixing.mix_sources(docs.unionAll(others).repartition(7)).groupBy("source_size", "doc_id", "size", "target", "taken").count().collect()
+    assert sorted(got) == sorted(again)
+
+
 def test_pipeline_without_ids(spark):
     """Rows without an id are judged like others; one copy of a group stays."""
     rng = random.Random(33)

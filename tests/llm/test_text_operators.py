@@ -18,6 +18,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
 
+ROOT = __import__("pathlib").Path(__file__).resolve().parents[2]
+
 
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -263,14 +265,100 @@ def test_given_pages_give_their_articles(spark):
         assert html.main_blocks(p.html) == [x for x in parts if x]
 
 
+LONG = "This is a long sentence of the article with more than enough words in it to be told from anything else on the page."
+
+
+def nested(rng, n):
+    """Blocks of nested parents in page order: the last block of the same parent, or -1."""
+    stack, last, siblings, number = [0], {}, [], 0
+    for i in range(n):
+        for _ in range(rng.randint(0, 2)):
+            if rng.random() < 0.5:
+                number += 1
+                stack.append(number)
+            elif len(stack) > 1:
+                stack.pop()
+        siblings.append(last.get(stack[-1], -1))
+        last[stack[-1]] = i
+    return siblings
+
+
 def test_min_cut_is_cheapest():
     import itertools
     import random
 
     rng = random.Random(2)
-    for _ in range(200):
-        n = rng.randint(1, 7)
-        costs = [rng.randint(-9, 9) for _ in range(n)]
-        edges = [(u, v, rng.randint(0, 6)) for u, v in itertools.combinations(range(n), 2) if rng.random() < 0.5]
-        price = lambda keep: sum(max(0, -c) if k else max(0, c) for c, k in zip(costs, keep)) + sum(w for u, v, w in edges if keep[u] != keep[v])  # noqa: B023, E731
-        assert price(html.min_cut(costs, edges)) == min(price(k) for k in itertools.product((True, False), repeat=n))
+    for _ in range(400):
+        n = rng.randint(0, 9)
+        costs, siblings, weight = [rng.randint(-9, 9) for _ in range(n)], nested(rng, n), rng.randint(0, 6)
+        adjacent = [rng.randint(0, 6) for _ in range(n)]
+
+        def price(keep):
+            own = sum(max(0, -c) if k else max(0, c) for c, k in zip(costs, keep))  # noqa: B023
+            beside = sum(adjacent[i] for i in range(1, n) if keep[i] != keep[i - 1])  # noqa: B023
+            return own + beside + sum(weight for i, j in enumerate(siblings) if j >= 0 and keep[i] != keep[j])  # noqa: B023
+
+        every = [(price(k), sum(k), k) for k in itertools.product((False, True), repeat=n)]
+        assert tuple(html.min_cut(costs, siblings, adjacent, weight)) == min(every)[2]
+
+
+def test_long_page_is_cut_in_linear_time():
+    import time
+
+    page = "<body>" + "".join(f"<p>{LONG} It is number {i}.</p><div class='share-bar'>x</div>" for i in range(25_000))
+    start = time.process_time()
+    kept = html.main_blocks(page)
+    assert len(kept) == 25_000 and time.process_time() - start < 5
+
+
+def test_cut_is_right_where_the_cost_alone_is_not():
+    """Short blocks go with their neighbours: an entry between paragraphs stays, a sentence among links goes."""
+    page = f"<body><div><p>{LONG}</p><ul><li>Salt</li></ul><p>{LONG}</p></div><ul>{''.join(f'<li><a href=x>Section number {i}</a></li>' for i in range(9))}</ul></body>"
+    blocks = html.blocks_of(page)
+    by_cost = [b.text for b in blocks if b.cost > 0]
+    assert html.main_blocks(page) == [LONG, "Salt", LONG] and by_cost == [LONG, LONG]
+    menu = "".join(f"<li><a href=x>Page {i} of our site</a></li>" for i in range(4))
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><ul>{menu}<li>All pages of our site are listed here in the order of their names, with some more words that make this longer.</li>{menu}</ul></body>"
+    by_cost = [b.text for b in html.blocks_of(page) if b.cost > 0]
+    assert html.main_blocks(page) == [LONG, LONG] and len(by_cost) == 3
+
+
+def test_names_that_only_sound_like_boilerplate():
+    for page in (
+        f'<article><div class="article-header"><h1>A title</h1></div><p>{LONG}</p></article>',
+        f'<article class="post comments-open"><header class="entry-header"><h1>A title</h1></header><p>{LONG}</p></article>',
+        f'<body><div id="social-history"><h1>A title</h1><p>{LONG}</p></div></body>',
+        f'<article><h1>A title</h1><div class="notice-period"><p>{LONG}</p></div></article>',
+    ):
+        assert html.main_blocks(page) == ["A title", LONG], page
+    for name in ("cookie-bar", "adSlot", "newsletter_box", "comment-list", "share-buttons", "sidebar", "comments", "post-comments-list comments", "site-header"):
+        page = f'<body><article><p>{LONG}</p></article><div class="{name}"><p>{LONG}</p></div></body>'
+        assert html.main_blocks(page) == [LONG], name
+
+
+def test_many_hits_are_counted_in_linear_time():
+    import time
+
+    text = "cc by " * 150_000
+    start = time.process_time()
+    row = licenses.scan(text, licenses.automaton())
+    assert row[:4] == (300_000, 150_000, 0, 299_998) and time.process_time() - start < 5
+
+
+def test_models_travel_without_the_package(tmp_path):
+    """A worker that cannot import this package still has what is sent to it."""
+    import subprocess
+    import sys
+
+    made = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark import cloudpickle
+from leadmerge.llm import decontamination, hmm
+import pyarrow as pa
+items = decontamination.Pieces(pa.array([1]), pa.array(["one two three four five six"]), 0.25)
+open({str(tmp_path / "x")!r}, "wb").write(cloudpickle.dumps(items))
+"""
+    subprocess.run([sys.executable, "-c", made], check=True, cwd=tmp_path)
+    read = f"import pickle; x = pickle.load(open({str(tmp_path / 'x')!r}, 'rb')); import sys; assert 'leadmerge' not in sys.modules; print(list(x.occurrences(__import__('pyarrow').array(['a one two three four five six b']))))"
+    got = subprocess.run([sys.executable, "-c", read], check=True, cwd=tmp_path, capture_output=True, text=True)
+    assert "(0, 0, 0)" in got.stdout
