@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadmerge.contract import BASE_SOURCE, JOB_ACTIVE, RULES_VERSION, SECONDARY_SOURCE
 from leadmerge.operators.latest import distinct_occurrences
-from leadmerge.operators.membership import attach, drop_members, mark_members, stored_keys
+from leadmerge.operators.membership import (
+    PROBE_ROWS, attach, distinct_keys, drop_members, keep_members, stored_keys,
+)
 
 
 def classify_occurrences(
@@ -68,6 +70,34 @@ def new_masters(
     return candidates.join(known, "dedup_key", "left_anti")
 
 
+def superseded_masters(masters: DataFrame, *, base: str = BASE_SOURCE, secondary: str = SECONDARY_SOURCE) -> DataFrame:
+    """``(dedup_key, match_key)``: secondary masters whose match key a base master has.
+
+    They came before that base row; a merge that knows all rows would leave them out.
+    So this is what the order of batches added to the masters.
+    """
+    stored = masters.where(F.col("source") == secondary).select("dedup_key", "match_key")
+    return keep_members(stored, masters.where(F.col("source") == base), "match_key")
+
+
+def newly_superseded(
+    added: DataFrame, stored_masters: DataFrame, batch_rows: int | None = None, *, base: str = BASE_SOURCE, secondary: str = SECONDARY_SOURCE
+) -> DataFrame:
+    """What the base masters ``added`` by a batch supersede, each master in one batch only.
+
+    Added up over all batches this is :func:`superseded_masters` of the result. A small
+    batch probes the stored masters with its keys; keys that an earlier base master has
+    are left out, since their secondary masters were reported with it.
+    """
+    keys = distinct_keys(added.where(F.col("source") == base), "match_key")
+    earlier = stored_keys(stored_masters.where(F.col("source") == base), keys, "match_key", batch_rows)
+    fresh = keys.join(earlier.distinct(), "match_key", "left_anti")
+    late = stored_masters.where((F.col("source") == secondary) & F.col("match_key").isNotNull()).select("dedup_key", "match_key")
+    if batch_rows is not None and batch_rows <= PROBE_ROWS:
+        return late.join(F.broadcast(fresh), "match_key", "left_semi").select("dedup_key", "match_key")
+    return keep_members(late, fresh, "match_key")
+
+
 def omitted_count(
     stage: DataFrame,
     stored_masters: DataFrame,

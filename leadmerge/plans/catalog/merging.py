@@ -188,6 +188,24 @@ def ingest_omitted_count(t: Tables):
     return inc.omitted_count(two, inc.new_masters(one, one.limit(0)))
 
 
+@query(f"""
+with {TWO_BATCHES_SQL}
+select dedup_key, match_key, 2 as batch, true as recounted from first_batch f where source = 'MFULL' and exists (
+  select 1 from second_batch b where b.source = 'NFULL' and b.match_key = f.match_key)""")
+def superseded_masters(t: Tables):
+    """Secondary masters of the first batch that base rows of the second make redundant:
+    reported batch by batch, and found again over all masters."""
+    one, two = two_batches(t)
+    first = cut_lineage(inc.new_masters(one, one.limit(0)))
+    second = cut_lineage(inc.new_masters(two, first))
+    parts = [(1, inc.newly_superseded(first, first.limit(0))), (2, inc.newly_superseded(second, first, second.count()))]
+    reported = [late.withColumn("batch", F.lit(n)) for n, late in parts]
+    whole = inc.superseded_masters(first.unionByName(second)).select("dedup_key", F.lit(True).alias("recounted"))
+    return reported[0].unionByName(reported[1]).join(whole, "dedup_key", "full").select(
+        "dedup_key", "match_key", "batch", F.coalesce("recounted", F.lit(False)).alias("recounted")
+    )
+
+
 @query("""
 select cast(user_id as varchar) as dedup_key, event_type as source,
        strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_seen
@@ -241,5 +259,7 @@ def stream_ingest(t: Tables):
         items.repartition(slices).write.parquet(f"{root}/{name}")
         stream = item_stream(spark, f"{root}/{name}", fmt="parquet", max_files=1)
         start_ingest(stream, store, f"{root}/checkpoint-{name}", name=f"leads-{name}").awaitTermination()
+    # A new checkpoint delivers the same batches again under the same numbers.
+    start_ingest(item_stream(spark, f"{root}/base", fmt="parquet", max_files=1), store, f"{root}/checkpoint-again", name="leads-base").awaitTermination()
     masters = store.read("masters")
     return masters.groupBy("source", "match_key").agg(F.count("*").alias("masters"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from leadmerge.contract import ERROR_SAMPLES
 from leadmerge.functions import tolerant_timestamp
-from leadmerge.plans.catalog.leads import ADDRESS1, base_payloads, order_phone
+from leadmerge.plans.catalog.leads import ADDRESS1, CANONICAL_SQL, base_payloads, order_phone, secondary_payloads
 from leadmerge.plans.catalog.registry import Tables, query, text_time
 from leadmerge.plans.ingest import SourceSpec, ingest, ingest_sources, replay_counts
 from leadmerge.plans.serve import LeadReader
@@ -235,10 +236,13 @@ def idempotent_ingest(t: Tables):
     return t.spark.createDataFrame(rows, "run string, received bigint, inserted bigint, duplicates bigint, replayed boolean")
 
 
-@query("""
-select count(*) as received, count(*) filter (where o_orderkey % 3 = 0) as errors,
-       count(*) filter (where o_orderkey % 3 <> 0) as inserted, 2 as kinds
-from orders""")
+@query(f"""
+with c as (
+  select count(*) as received, count(*) filter (where o_orderkey % 3 = 0) as errors, count(*) filter (where o_orderkey % 3 <> 0) as inserted,
+         least(count(*) filter (where o_orderkey % 3 = 0), {ERROR_SAMPLES}) as samples from orders)
+select received, errors, inserted, 'row is not an object' as problem, true as sampled from c
+union all select received, errors, inserted, 'unknown source OTHER', true from c
+union all select received, errors, inserted, 'number of samples: ' || samples, true from c""")
 def error_rows(t: Tables):
     """Rows without cells or with an unknown source are counted and sampled, the rest goes in."""
     store, key = _store(t, "errors"), F.col("o_orderkey")
@@ -246,19 +250,52 @@ def error_rows(t: Tables):
     items = t.orders.select(
         F.when(key % 6 == 0, "OTHER").otherwise("NFULL").alias("source"), F.when(key % 6 != 3, cells).alias("raw_payload")
     )
+    # One kind of error at a time, so that the samples cannot hide one behind the other.
+    alone = {k: ingest(_store(t, f"errors{k}"), items.where(f"source is not null and (raw_payload is null) = {k}"), as_of=_at(AS_OF)) for k in ("true", "false")}
     done = ingest(store, items, as_of=_at(AS_OF))
-    rows = [(int(done["received"]), int(done["errors"]), int(done["inserted"]), 2 if done["error_samples"] else 0)]
-    return t.spark.createDataFrame(rows, "received bigint, errors bigint, inserted bigint, kinds int")
-
-
-@query("select count(*) as base, 0 as secondary_total, 0 as secondary_omitted, 0 as secondary_only, count(*) as merged_total from customer")
+    kinds = {"row is not an object": set(alone["true"]["error_samples"]), "unknown source OTHER": set(alone["false"]["error_samples"])}
+    rows = [(int(done["received"]), int(done["errors"]), int(done["inserted"]), k, found == {k}) for k, found in kinds.items()]
+    rows.append((*rows[0][:3], f"number of samples: {len(done['error_samples'])}", set(done["error_samples"]) <= set(kinds)))
+    return t.spark.createDataFrame(rows, "received bigint, errors bigint, inserted bigint, problem string, sampled boolean")
+
+
+@query(f"""
+with {CANONICAL_SQL}, c as (select distinct source, dedup_key, match_key from canonical),
+hit as (select match_key from c where source = 'NFULL' and match_key is not null)
+select count(*) filter (where source = 'NFULL') as base, count(*) filter (where source = 'MFULL') as secondary_total,
+       count(*) filter (where source = 'MFULL' and match_key in (select match_key from hit)) as secondary_omitted,
+       count(*) filter (where source = 'MFULL' and (match_key is null or match_key not in (select match_key from hit))) as secondary_only,
+       count(*) filter (where source = 'NFULL' or match_key is null or match_key not in (select match_key from hit)) as merged_total
+from c""")
 def replay_merge(t: Tables):
-    """Merge counts recomputed from the stored payloads."""
+    """Merge counts recomputed from the stored payloads; the secondary rows were stored first."""
     store = _store(t, "replay")
-    ingest(store, base_payloads(t), source="NFULL", as_of=_at(AS_OF))
+    ingest(store, secondary_payloads(t), source="MFULL", as_of=_at(AS_OF))
+    ingest(store, base_payloads(t), source="NFULL", as_of=_at("2025-03-04 13:00:00"))
     return replay_counts(store)
 
 
+@query("""
+select 'stopped' as way, true as raised, 'NFULL' as source, count(*) as masters from customer union all
+select 'went on', false, 'NFULL', count(*) from customer""")
+def backfill_stops(t: Tables):
+    """A one-shot backfill ends at the first source that fails, what came before it stays."""
+    def broken() -> DataFrame:
+        raise OSError("source is down")
+
+    rows, specs = [], [SourceSpec("NFULL", lambda: base_payloads(t)), SourceSpec("OTHER", broken), SourceSpec("MFULL", lambda: secondary_payloads(t).limit(0))]
+    for way, stop in (("stopped", True), ("went on", False)):
+        store, raised = _store(t, "backfill"), False
+        try:
+            ingest_sources(store, specs, stop_on_error=stop, as_of=_at(AS_OF))
+        except OSError:
+            raised = True
+        counts = store.read("masters").groupBy("source").count().collect()
+        rows += [(way, raised, r["source"], r["count"]) for r in counts]
+        assert store.runs().where("source = 'MFULL'").isEmpty() == stop
+    return t.spark.createDataFrame(rows, "way string, raised boolean, source string, masters bigint")
+
+
 @query("select 3 as n, 'NFULL' as source, count(*) as received from customer union all select 2, 'NFULL', count(*) from customer")
 def recent_runs(t: Tables):
     """The two newest of three runs, by the reader."""

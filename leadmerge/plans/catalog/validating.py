@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from leadmerge.functions import error_text
 from leadmerge.operators import queue, validation as vl
 from leadmerge.plans.catalog.registry import Tables, joined, query, text_time
 
@@ -312,7 +313,7 @@ select event_id,
     when 'view' then 'REVIEW_REQUIRED' when 'purchase' then 'APPROVED' when 'signup' then 'REJECTED' end as lead_status,
   case when event_type = 'click' and attempts < 4
     then strftime(timestamp '2024-01-20 12:00:00' + to_minutes(attempts * 5), '%Y-%m-%d %H:%M:%S') end as next_retry_at,
-  case when event_type = 'click' then 'down' end as last_error
+  case when event_type = 'click' then rpad('down', 500, 'x') end as last_error
 from e""")
 def queue_transition(t: Tables):
     kind = F.col("event_type")
@@ -322,7 +323,7 @@ def queue_transition(t: Tables):
         F.when(kind == "click", "failed").when(kind.isin("view", "purchase"), "decided")
         .when(kind == "signup", "rejected").otherwise("missing").alias("outcome"),
         F.when(kind == "view", "REVIEW_REQUIRED").otherwise("APPROVED").alias("decision"),
-        F.when(kind == "click", "down").alias("error_text"),
+        error_text(F.when(kind == "click", F.concat(F.rpad(F.lit("down"), 500, "x"), F.lit(" and more")))).alias("error_text"),
     )
     moved = queue.after_outcome(handled, CLAIM_AT)
     return moved.select(

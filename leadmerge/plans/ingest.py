@@ -18,8 +18,8 @@ from leadmerge.functions import parse_cutoff
 from leadmerge.functions.times import as_instant
 from leadmerge.operators.canonical import canonical, with_fingerprint
 from leadmerge.operators.incremental import (
-    after_cutoff, classify_occurrences, jobs_to_enqueue, new_masters, omitted_count,
-    possible_duplicates,
+    after_cutoff, classify_occurrences, jobs_to_enqueue, new_masters, newly_superseded,
+    omitted_count, possible_duplicates,
 )
 from leadmerge.operators.membership import PROBE_ROWS
 from leadmerge.operators.merge import merge_counts
@@ -72,20 +72,11 @@ def ingest(
     if max_rows is not None and (given := items.limit(max_rows + 1).count()) > max_rows:
         raise ValueError(f"batch too large ({given} > {max_rows})")
     run_id, as_of = run_id_for(idempotency_key), as_of or utc_now()
-    ledger = dict(
-        run_id=run_id, kind="ingest", source=source, idempotency_key=idempotency_key, started_at=as_of
-    )
-    store.log_run(**ledger, status="RUNNING")
-    try:
+    with store.running("ingest", run_id, as_of, source=source, idempotency_key=idempotency_key) as run:
         status, counts = _ingest(
             store, items, run_id, as_of, cutoff=cutoff, names=names, flag_duplicates=flag_duplicates, **mapping
         )
-    except Exception:
-        # Not finished, so nothing of it is visible and the key may be sent again.
-        store.log_run(**ledger, status="FAILED")
-        raise
-    store.log_run(**ledger, status=status, finished_at=as_of, **counts)
-    store.drop_stage(run_id)
+        run |= dict(status=status, **counts)
     return {"run_id": run_id, "status": status, **counts, "replayed": False}
 
 
@@ -120,6 +111,8 @@ def _ingest(
     store.write_run("masters", run_id, added)
 
     written = store.read_run("masters", run_id)
+    late = newly_superseded(written, masters_before, rows, base=names.base, secondary=names.secondary)
+    store.write_run("superseded", run_id, late.withColumn("superseded_at", now))
     wrote = side_by_side(
         written.agg(F.count("*").alias("inserted")),
         store.read_run("raw", run_id).agg(F.count("*").alias("new_raw")),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
-from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -133,18 +132,20 @@ class LeadReader:
         elif keys.isEmpty():
             raise ValueError("no master keys to mark")
         run_id = f"export-{uuid.uuid4().hex}"
-        log: dict[str, Any] = dict(run_id=run_id, kind="export", started_at=as_of)
-        self.store.log_run(**log, status="RUNNING")
-        rows = keys.select(
-            "dedup_key",
-            F.lit(context).cast("string").alias("context"),
-            as_instant(as_of).alias("exported_at"),
-        )
-        self.store.write_run("exports", run_id, rows)
-        marked = self.store.read_run("exports", run_id).count()
-        self.store.log_run(**log, status="COMPLETED", finished_at=as_of, received=marked)
+        with self.store.running("export", run_id, as_of) as run:
+            rows = keys.select(
+                "dedup_key",
+                F.lit(context).cast("string").alias("context"),
+                as_instant(as_of).alias("exported_at"),
+            )
+            self.store.write_run("exports", run_id, rows)
+            run["received"] = marked = self.store.read_run("exports", run_id).count()
         return marked
 
+    def superseded(self) -> DataFrame:
+        """Secondary masters that a base row of a later batch made redundant, and when."""
+        return self.store.read("superseded").select("dedup_key", "match_key", "superseded_at")
+
     def latest_results(self) -> DataFrame:
         """Last stored decision per lead."""
         results = self.store.read("results")

@@ -66,13 +66,23 @@ def run_validation(
     is visible, so its jobs are claimed again.
     """
     run_id, as_of = f"validate-{uuid.uuid4().hex}", as_of or utc_now()
-    now = as_instant(as_of)
     claimed = store.stage(run_id, claim(store.jobs(), as_of, limit=limit))
     handled = claimed.count()
     if handled == 0:
+        store.drop_stage(run_id)
         return 0
-    store.log_run(run_id=run_id, kind="validate", status="RUNNING", started_at=as_of)
+    with store.running("validate", run_id, as_of) as run:
+        _handle(store, run_id, claimed, handled, scorer, evidence, as_of, max_attempts, retry_base_minutes, rules)
+        run["received"] = handled
+    return handled
 
+
+def _handle(
+    store: LeadStore, run_id: str, claimed: DataFrame, handled: int, scorer: Scorer | DataFrame, evidence: Scorer | None,
+    as_of: datetime, max_attempts: int, retry_base_minutes: float, rules: dict,
+) -> None:
+    """All layers over the claimed jobs, and what they write."""
+    now = as_instant(as_of)
     keys = claimed.select("dedup_key").distinct()
     # A bounded claim probes the stored tables; a large one is a shuffled join.
     keys = F.broadcast(keys) if handled <= PROBE_ROWS else keys
@@ -121,12 +131,6 @@ def run_validation(
         "dedup_key", F.col("lead_status").alias("status"), now.alias("changed_at"), F.lit(3).alias("step")
     )
     store.write_run("status", run_id, validating.unionByName(final))
-    store.log_run(
-        run_id=run_id, kind="validate", status="COMPLETED", started_at=as_of, finished_at=as_of, received=handled
-    )
-    store.drop_stage(run_id)
-    store.drop_stage(f"{run_id}-outcome")
-    return handled
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
@@ -152,11 +156,8 @@ def drain(store: LeadStore, scorer: Scorer | DataFrame, **options) -> int:
 def requeue(store: LeadStore, *, limit: int = 0, as_of: datetime | None = None) -> int:
     """Queue leads that never got a job, oldest first; 0 means all."""
     run_id, as_of = f"requeue-{uuid.uuid4().hex}", as_of or utc_now()
-    store.log_run(run_id=run_id, kind="requeue", status="RUNNING", started_at=as_of)
-    chosen = requeue_candidates(store.masters(), store.jobs(), limit=limit)
-    jobs = chosen.select("dedup_key", F.lit(RULES_VERSION).alias("rules_version"))
-    queued = queue_jobs(store, run_id, jobs, as_instant(as_of))
-    store.log_run(
-        run_id=run_id, kind="requeue", status="COMPLETED", started_at=as_of, finished_at=as_of, received=queued
-    )
+    with store.running("requeue", run_id, as_of) as run:
+        chosen = requeue_candidates(store.masters(), store.jobs(), limit=limit)
+        jobs = chosen.select("dedup_key", F.lit(RULES_VERSION).alias("rules_version"))
+        run["received"] = queued = queue_jobs(store, run_id, jobs, as_instant(as_of))
     return queued

@@ -4,12 +4,13 @@ Append-only: every run writes its own ``run_id=...`` folder and current values a
 derived (latest status per lead, first and last sighting per source). A run is
 visible once the ledger holds its finished row, so a run that died half way leaves
 nothing behind that a reader would see, and repeating it overwrites its folder.
-One writer at a time.
+:meth:`LeadStore.compact` keeps the number of folders small. One writer at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
@@ -48,10 +49,11 @@ SCHEMAS = {
     " author string, post_date string, previous_posts array<string>, raw string,"
     " collected_at timestamp, run_id string",
     "exports": "dedup_key string, context string, exported_at timestamp, run_id string",
+    "superseded": "dedup_key string, match_key string, superseded_at timestamp, run_id string",
     "runs": "run_id string, kind string, source string, idempotency_key string,"
     " status string, started_at timestamp, finished_at timestamp, received bigint,"
     " inserted bigint, updated bigint, duplicates bigint, errors bigint, omitted bigint,"
-    " jobs_created bigint, error_samples array<string>",
+    " jobs_created bigint, error_samples array<string>, replaced array<string>",
 }
 
 
@@ -61,12 +63,18 @@ def _fold_sightings(rows: DataFrame) -> DataFrame:
     return ends.select(*key, F.explode(F.array_distinct(F.array("a", "b"))).alias("seen_at"))
 
 
-# Tables that only grow, and what readers need of them.
+# Logs of which readers need less than all rows: their runs are folded whenever they are compacted.
 FOLDS = {
     "status": lambda rows: latest_per_key(rows, ["dedup_key"], ["changed_at", "step"]),
     "jobs": lambda rows: current_jobs(rows),
     "sightings": _fold_sightings,
 }
+# Tables of which every row counts: the folders of small runs are merged as they are.
+MERGED = ("raw", "masters", "results", "evidence", "exports", "superseded")
+#: Folders up to this size count as small; larger ones are never written again.
+SMALL_BYTES = 256 << 20
+# Ledger rows of runs whose folders are gone keep their history under this name.
+_CLEARED = "cleared-"
 # Tables split by source below the run, so that base lookups prune the rest.
 BY_SOURCE = ("sightings", "masters")
 
@@ -111,10 +119,11 @@ class LeadStore:
 
         Several tables are read against the same state of the ledger.
         """
-        unfinished = self._unfinished()
+        hidden = self._hidden()
         frames = [self._all(t) for t in tables]
-        if unfinished:
-            frames = [f.where(~F.col("run_id").isin(unfinished)) for f in frames]
+        for i, table in enumerate(tables):
+            if names := [r for t, r in hidden if t in ("", table)]:
+                frames[i] = frames[i].where(~F.col("run_id").isin(names))
         return frames[0] if len(frames) == 1 else frames
 
     def read_run(self, table: str, run_id: str) -> DataFrame:
@@ -160,36 +169,69 @@ class LeadStore:
         path, fs = self._path(f"{self.root}/{table}")
         return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
 
-    def compact(self, as_of: datetime | None = None) -> int:
-        """Fold the logs of all finished runs into one run, and the ledger into one file.
-
-        Status and jobs keep the last state, sightings the first and last of an
-        occurrence, the ledger the last row of a run. The folded rows are written and
-        logged before what they replace is deleted: in between, and after a crash
-        there, readers see both, which their own folding makes harmless. Returns the
-        number of run folders and ledger files that went.
+    def _bytes(self, table: str, name: str) -> int:
+        path, fs = self._path(f"{self.root}/{table}/{name}")
+        return fs.getContentSummary(path).getLength()
+
+    def clear_dead_runs(self) -> int:
+        """Delete what unfinished runs left behind; their ledger rows keep the history under another name."""
+        dead = [r for t, r in self._hidden() if not t]
+        for run_id in dead:
+            for table in (*FOLDS, *MERGED, "stage"):
+                self._delete(f"{self.root}/{table}/run_id={run_id}")
+        for name in self._names("stage"):  # a staged batch outlives its run only if that died
+            self._delete(f"{self.root}/stage/{name}")
+        if dead:
+            rows = self.runs()
+            self._rewrite_ledger(rows.withColumn(
+                "run_id", F.when(F.col("run_id").isin(dead), F.concat(F.lit(_CLEARED), "run_id")).otherwise(F.col("run_id"))
+            ))
+        return len(dead)
+
+    def _rewrite_ledger(self, rows: DataFrame) -> int:
+        old = [n for n in self._names("runs") if n.endswith(".parquet")]
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        for name in old:
+            self._delete(f"{self.root}/runs/{name}")
+        return len(old)
+
+    def compact(self, as_of: datetime | None = None, *, small_bytes: int = SMALL_BYTES) -> int:
+        """Bring every table down to few folders; returns how many folders and files were replaced.
+
+        Status and jobs keep the last state of a key, sightings the first and last of an
+        occurrence. Of the other tables the folders of finished runs up to
+        ``small_bytes`` become one; a folder that has grown beyond that is not read
+        again, so a row is written a few times at most. The new run's ledger row names
+        what it replaces, which hides it from readers from then on; it is deleted by the
+        next call, so a reader that has listed its files can finish. Unfinished runs are
+        cleared, and the ledger keeps the last row of a run.
         """
-        as_of, gone = as_of or utc_now(), 0
+        as_of = as_of or utc_now()
+        self.clear_dead_runs()
+        hidden = {(t, f"run_id={r}") for t, r in self._hidden()}
+        for table, name in hidden:
+            self._delete(f"{self.root}/{table}/{name}")
         run_id = f"compact-{as_of:%Y%m%d%H%M%S%f}"
         log: dict[str, Any] = dict(run_id=run_id, kind="compact", started_at=as_of)
-        finished = {
-            f"run_id={r.run_id}"
-            for r in self._all("runs").where("finished_at is not null").select("run_id").distinct().collect()
-        }
-        old = {t: [n for n in self._names(t) if n in finished] for t in FOLDS}
+        old = {t: [n for n in self._names(t) if n.startswith("run_id=")] for t in (*FOLDS, *MERGED)}
+        for table in MERGED:
+            small = [n for n in old[table] if self._bytes(table, n) <= small_bytes]
+            old[table] = small if len(small) > 1 else []
         self.log_run(**log, status="RUNNING")
-        for table, fold in FOLDS.items():
-            self.write_run(table, run_id, fold(self.read(table)))
-        self.log_run(**log, status="COMPLETED", finished_at=as_of)
         for table, names in old.items():
-            for name in names:
-                self._delete(f"{self.root}/{table}/{name}")
-                gone += 1
-        ledger = [n for n in self._names("runs") if n.endswith(".parquet")]
-        self.runs().coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
-        for name in ledger:
-            self._delete(f"{self.root}/runs/{name}")
-        return gone + len(ledger)
+            if len(names) > 1:
+                rows = self._all(table).where(F.col("run_id").isin([n.removeprefix("run_id=") for n in names]))
+                rows = FOLDS[table](rows) if table in FOLDS else self._few_files(rows, sum(self._bytes(table, n) for n in names))
+                self.write_run(table, run_id, rows)
+        replaced = [f"{t}/{n.removeprefix('run_id=')}" for t, names in old.items() if len(names) > 1 for n in names]
+        # What earlier calls replaced is gone, so only this call's list has to be read.
+        files = self._rewrite_ledger(self.runs().withColumn("replaced", F.lit(None).cast("array<string>")))
+        self.log_run(**log, status="COMPLETED", finished_at=as_of, replaced=replaced)
+        return len(replaced) + files
+
+    def _few_files(self, rows: DataFrame, size: int) -> DataFrame:
+        """Rows of many small files in files of some hundred megabytes."""
+        return rows.coalesce(max(1, -(-size // SMALL_BYTES)))
 
     # -- ledger ------------------------------------------------------------------
 
@@ -202,9 +244,35 @@ class LeadStore:
         )
         return picked.select("_r.*")
 
-    def _unfinished(self) -> list[str]:
-        open_runs = self._all("runs").groupBy("run_id").agg(F.max("finished_at").alias("f"))
-        return [r.run_id for r in open_runs.where(F.col("f").isNull()).collect()]
+    def _hidden(self) -> list[tuple[str, str]]:
+        """``(table, run)`` that readers pass over: replaced ones, and unfinished runs in any table ("").
+
+        The list is bounded by what happened since the last :meth:`compact`.
+        """
+        runs = self._all("runs").where(~F.col("run_id").startswith(_CLEARED))
+        ends = runs.groupBy("run_id").agg(F.max("finished_at").alias("f")).where("f is null")
+        gone = runs.where("finished_at is not null").select(F.explode("replaced").alias("r")).distinct()
+        open_ = ends.select(F.concat(F.lit("/"), "run_id").alias("r"))
+        return [tuple(r.r.split("/", 1)) for r in open_.unionAll(gone).collect()]
+
+    @contextmanager
+    def running(self, kind: str, run_id: str, started_at: datetime, **fields: Any):
+        """A run around a block: RUNNING before it, then COMPLETED with what the block
+        puts into the given dict, or FAILED if it raises. Its staged tables go either way."""
+        log = dict(run_id=run_id, kind=kind, started_at=started_at, **fields)
+        self.log_run(**log, status="RUNNING")
+        done: dict[str, Any] = {"status": "COMPLETED", "finished_at": started_at}
+        try:
+            yield done
+        except Exception:
+            # Not finished, so nothing of it is visible and it may be tried again.
+            self.log_run(**log, status="FAILED")
+            raise
+        finally:
+            for name in self._names("stage"):
+                if name.startswith(f"run_id={run_id}"):
+                    self._delete(f"{self.root}/stage/{name}")
+        self.log_run(**{**log, **done})
 
     def log_run(self, **fields: Any) -> None:
         """Append one ledger row."""

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadmerge.operators.incremental import unlinked_raw
-from leadmerge.plans.ingest import Names, SourceSpec, ingest, ingest_sources, replay_counts
+from leadmerge.plans.ingest import Names, SourceSpec, ingest, ingest_sources, replay_counts, run_id_for
 from leadmerge.plans.serve import LeadReader
 from leadmerge.plans.validate import drain, requeue, run_validation
-from leadmerge.sources.store import LeadStore
+from leadmerge.sources.store import SCHEMAS, LeadStore
 from leads import (
     A_BASE, A_SECOND, B_BASE, C_SECOND, D_BASE, D_SECOND, base_row, items, secondary_row,
 )
@@ -313,11 +313,20 @@ def test_logs_stay_small_over_many_batches(spark, tmp_path):
                idempotency_key=f"b{i}", as_of=at, cutoff="2020-01-01")
         if i % 2:
             links, before, jobs = sorted(map(tuple, store.links().collect())), shown(), store.jobs().drop("run_id").count()
+            listed = store.read("masters")  # a reader from before finishes after
             assert store.compact(at + dt.timedelta(minutes=1)) > 0
+            assert listed.count() == store.read("masters").count() == i + 2
             assert (sorted(map(tuple, store.links().collect())), shown(), store.jobs().drop("run_id").count()) == (links, before, jobs)
-        folders = [len(os.listdir(tmp_path / "state" / t)) for t in ("status", "jobs", "sightings")]
+        folders = {t: len(os.listdir(tmp_path / "state" / t)) for t in SCHEMAS if t != "runs" and (tmp_path / "state" / t).exists()}
         files = [f for f in os.listdir(tmp_path / "state" / "runs") if f.endswith(".parquet")]
-        assert max(folders) <= 3 and len(files) <= 8 and not os.listdir(tmp_path / "state" / "stage")
+        assert max(folders.values()) <= 6 and len(files) <= 8 and not os.listdir(tmp_path / "state" / "stage")
+        assert {"raw", "masters", "superseded", "status", "jobs", "sightings"} <= set(folders)
+    masters = store.read("masters").count()
+    store.compact(at + dt.timedelta(minutes=2))
+    assert all(len(os.listdir(tmp_path / "state" / t)) == 1 for t in folders) and store.read("masters").count() == masters
+    # A folder that has grown is not written again.
+    store.compact(at + dt.timedelta(minutes=3), small_bytes=0)
+    assert os.listdir(tmp_path / "state" / "masters") and store.read("masters").count() == masters
     again = ingest(store, items(spark, "NFULL", [A_BASE]), source="NFULL", idempotency_key="b0")
     assert again["replayed"] and again["received"] == 2
     seen = {r.source_record_id: r.received_at for r in store.raw_refreshed().collect()}
@@ -330,8 +339,18 @@ def test_failed_batch_is_logged_and_can_be_repeated(spark, tmp_path):
     with pytest.raises(Exception, match="torn file"):
         ingest(store, broken, source="NFULL", idempotency_key="k")
     assert [r.status for r in store.runs().collect()] == ["FAILED"] and store.read("masters").count() == 0
+    # What it left behind goes, its history stays and is no longer looked out for.
+    store.write_run("masters", run_id_for("k"), store.read("masters"))
+    assert store.clear_dead_runs() == 1 and store.clear_dead_runs() == 0
+    assert [(r.status, r.run_id) for r in store.runs().collect()] == [("FAILED", "cleared-" + run_id_for("k"))]
+    assert not (tmp_path / "state" / "masters" / f"run_id={run_id_for('k')}").exists()
     done = ingest(store, items(spark, "NFULL", [A_BASE]), source="NFULL", idempotency_key="k")
     assert (done["replayed"], done["inserted"]) == (False, 1)
     with pytest.raises(ValueError, match="too large"):
         ingest(store, items(spark, "NFULL", [A_BASE, B_BASE]), source="NFULL", max_rows=1)
-    assert store.runs().count() == 1
+    assert store.runs().where("not startswith(run_id, 'cleared-')").count() == 1
+    with pytest.raises(ZeroDivisionError):
+        run_validation(store, lambda rows: 1 / 0, as_of=DAY1) if requeue(store, as_of=DAY1) else None
+    assert {r.kind for r in store.runs().where("status = 'FAILED' and not startswith(run_id, 'cleared-')").collect()} == {"validate"}
+    assert run_validation(store, spark.createDataFrame([], "dedup_key string, response_json string, error string"), as_of=dt.datetime(2020, 1, 1)) >= 0
+    assert not [n for n in store._names("stage")]
