@@ -250,20 +250,17 @@ def _fragment_pairs(group: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "common": count})
 
 
-def central_links(rows: DataFrame, late: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Links of sets made up of frequent n-grams to the most central one, and the groups they join.
+def joined_groups(rows: DataFrame, late: DataFrame, n: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links between groups of sets made up of frequent n-grams, and ``late`` with the groups they join.
 
-    Copies of a text with few changes each are near the text, but not always near each
-    other. The text is the set with the largest share of frequent n-grams, so for each
-    of some n-grams that set leads. One candidate per set and n-gram; what is joined
-    here need not be compared pair by pair.
+    For some n-grams a set of the largest group that holds the n-gram leads, another one
+    in every turn, and each set of another group is compared with it. One candidate per
+    set and n-gram; what is joined here need not be compared pair by pair.
     """
-    place = F.pmod(F.xxhash64("gram"), F.lit(4))  # some n-grams, the same ones in all sets
-    some = late.filter(place == 0)
-    leaders = (
-        some.groupBy("gram").agg(F.max_by("rep", F.col("often") / F.col("n")).alias("a"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        .filter("x <> y").select("gram", "a")
-    )
+    some = late.filter(F.pmod(F.xxhash64("gram"), F.lit(4)) == 0)  # the same n-grams in all sets
+    drawn = F.xxhash64("rep", "gram", F.lit(turn))
+    per_group = some.groupBy("gram", "comp").agg(F.max_by("rep", drawn).alias("a"), F.count("*").alias("k"))
+    leaders = per_group.groupBy("gram").agg(F.max_by("a", "k").alias("a"), F.count("*").alias("groups")).filter("groups > 1").select("gram", "a")
     facts = late.select("rep", "n", "comp", "often").distinct()
     side = lambda s: facts.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"c{s}"), F.col("often").alias(f"o{s}"))
     pairs = (
@@ -272,7 +269,9 @@ def central_links(rows: DataFrame, late: DataFrame, n: int) -> tuple[DataFrame,
     )
     pairs = stage(pairs.select("a", "b", "na", "nb", "ca", "cb"), "pairs")
     links = stage(overlaps(rows, pairs, n, [(0.0, 1.0)]).filter(_linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b", "ca", "cb"), "links")
-    return links, components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")), "links")
+    merged = components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")), "links")
+    moved = late.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    return links.select(F.col("a").alias("u"), F.col("b").alias("v")), stage(moved, "late")
 
 
 def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, fragments: int) -> DataFrame:
@@ -334,20 +333,24 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
 
     packed = owned.select("rep", "n", "comp", "prefix").mapInArrow(deal, "part long, sets binary")
     counted = packed.groupBy("part").applyInArrow(_fragment_pairs, "a long, b long, common long")
+    # Two such sets can only be linked if each consists of frequent n-grams by three quarters.
     late = stage(
-        owned.filter(F.col("last") >= _TOP)
+        owned.filter((F.col("last") >= _TOP) & (4 * F.col("often") >= 3 * F.col("n")))
         .select("rep", "n", "comp", "often", F.explode(F.filter("prefix", lambda g: g >= _TOP)).alias("gram")).distinct(), "late",
     )
-    central, merged = central_links(rows, late, n)
-    late = late.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    early, late = joined_groups(rows, late, n, 1)
+    more, late = joined_groups(rows, late, n, 2)
     open_grams = late.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("gram")
     late = late.join(open_grams, "gram")
-    one = late.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("often").alias("oa"))
-    two = late.select("gram", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("often").alias("ob"))
+    held = late.groupBy("rep", "n", "comp", "often").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    held = held.withColumn("gram", F.explode("grams"))
+    one = held.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("often").alias("oa"), F.col("grams").alias("ga"))
+    two = held.select("gram", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("often").alias("ob"), F.col("grams").alias("gb"))
     late_pairs = (
         one.join(two, (one["gram"] == two["gram"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                 & _linked(F.least("oa", "ob"), F.col("na"), F.col("nb")))
-        .select("a", "b", F.lit(0).cast("long").alias("common")).distinct()
+                 & _linked(F.least("oa", "ob"), F.col("na"), F.col("nb"))
+                 & (one["gram"] == F.array_min(F.array_intersect("ga", "gb"))))  # each pair once
+        .select("a", "b", F.lit(0).cast("long").alias("common"))
     )
     totals = counted.unionAll(late_pairs).groupBy("a", "b").agg(F.sum("common").alias("common"))
     totals = stage(totals, "pairs")
@@ -364,7 +367,7 @@ def between_links(rows: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int
     pairs = stage(pairs.select("a", "b", "na", "nb"), "pairs")
     full = overlaps(rows, pairs, n, [PARTS[:2], PARTS[1:]])
     found = full.filter(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return found.unionAll(central.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.unionAll(early).unionAll(more)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
