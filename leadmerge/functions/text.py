@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from leadmerge.contract import ERROR_TEXT_LIMIT
@@ -77,12 +78,10 @@ def _accent_table() -> tuple[str, str]:
         if 0xAC00 <= code <= 0xDFFF or 0x300 <= code <= 0x36F:
             continue  # Hangul decomposes into several letters; surrogates; marks
         char = chr(code)
-        bare = "".join(
-            x for x in unicodedata.normalize("NFD", char) if not 0x300 <= ord(x) <= 0x36F
-        )
-        if len(bare) == 1 and bare != char:
+        letter = bare(char)
+        if len(letter) == 1 and letter != char:
             source.append(char)
-            target.append(bare)
+            target.append(letter)
     marks = "".join(chr(c) for c in range(0x300, 0x370))
     return "".join(source) + marks, "".join(target)
 
@@ -94,6 +93,45 @@ def deaccent(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, source, target)).otherwise(c)
 
 
+@lru_cache(maxsize=1)
+def _beyond_table() -> str:
+    """Pattern of the characters that :func:`deaccent` does not treat exactly: several
+    letters in one, and marks that change places with others. Derived like the table."""
+    source, target = _accent_table()
+    known = dict(zip(source, target + "\0" * (len(source) - len(target))))
+    found: list[list[int]] = []
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF or 0x300 <= code <= 0x36F:
+            continue
+        char = chr(code)
+        if known.get(char, char) != bare(char) or unicodedata.combining(char):
+            if found and found[-1][1] == code - 1:
+                found[-1][1] = code
+            else:
+                found.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in found) + "]"
+
+
+def bare(text: str) -> str:
+    """Canonical decomposition without the combining marks U+0300-U+036F."""
+    return "".join(x for x in unicodedata.normalize("NFD", text) if not 0x300 <= ord(x) <= 0x36F)
+
+
+def _bare_all(texts: pd.Series) -> pd.Series:
+    return texts.map(bare, na_action="ignore")
+
+
+def deaccent_exact(c: Column) -> Column:
+    """The whole canonical decomposition without accents, for texts of any script.
+
+    Only texts with characters beyond the table of :func:`deaccent` go to Python, in
+    Arrow batches; the others cross as nulls.
+    """
+    decomposed = F.pandas_udf(_bare_all, "string")
+    beyond = c.rlike(_beyond_table())
+    return F.coalesce(decomposed(F.when(beyond, c)), deaccent(c))
+
+
 def clean_email(c: Column) -> Column:
     """Blank and the placeholder ``.`` mean no address."""
     return F.nullif(blank_to_null(c), F.lit("."))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadmerge.contract import BASE_SOURCE, JOB_ACTIVE, RULES_VERSION, SECONDARY_SOURCE
 from leadmerge.operators.latest import distinct_occurrences
 from leadmerge.operators.membership import (
-    PROBE_ROWS, attach, distinct_keys, drop_members, keep_members, stored_keys,
+    PROBE_ROWS, attach, distinct_keys, drop_members, keep_members, stored_keys, stored_keys_of,
 )
 
 
@@ -179,3 +179,23 @@ def possible_duplicates(masters: DataFrame, key: str = "dedup_key", fingerprint:
     return flagged.withColumn(
         "possible_duplicate_of", F.when(F.col("_least") != F.col(key), F.col("_least"))
     ).drop("_least")
+
+
+def least_keys(rows: DataFrame, key: str = "least_key", fingerprint: str = "fingerprint") -> DataFrame:
+    """``(fingerprint, least_key)``: the least key of each fingerprint."""
+    return rows.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fingerprint")).agg(F.min(key).alias("least_key"))
+
+
+def flag_against(added: DataFrame, stored: DataFrame, batch_rows: int | None = None, key: str = "dedup_key", fingerprint: str = "fingerprint") -> DataFrame:
+    """:func:`possible_duplicates` of a batch against what is stored.
+
+    ``stored`` has a row ``(fingerprint, least_key)`` or more for each stored
+    fingerprint; a small batch probes it with its own.
+    """
+    mine = least_keys(added, key, fingerprint)
+    known = stored_keys_of(stored, mine, "fingerprint", batch_rows)
+    least = least_keys(known.unionByName(mine)).withColumnRenamed("least_key", "_least")
+    flagged = attach(added, least.withColumnRenamed("fingerprint", fingerprint), fingerprint)
+    return flagged.withColumn(
+        "possible_duplicate_of", F.when(F.col("_least") != F.col(key), F.col("_least"))
+    ).drop("_least")

@@ -68,7 +68,11 @@ def stored_keys(
     without a shuffle. Larger or unknown batches compare against all stored keys
     in a shuffled join.
     """
-    keys = stored.where(F.col(key).isNotNull()).select(key)
+    return stored_keys_of(stored.where(F.col(key).isNotNull()).select(key), batch, key, batch_rows)
+
+
+def stored_keys_of(stored: DataFrame, batch: DataFrame, key: str, batch_rows: int | None = None) -> DataFrame:
+    """Stored rows, narrowed by their key to those a small batch can meet."""
     if batch_rows is not None and batch_rows <= PROBE_ROWS:
-        keys = keys.join(F.broadcast(distinct_keys(batch, key)), key, "left_semi")
-    return keys
+        return stored.join(F.broadcast(distinct_keys(batch, key)), key, "left_semi")
+    return stored

@@ -245,6 +245,23 @@ def duplicate_flag(t: Tables):
     return inc.possible_duplicates(rows, key="p_partkey").select("p_partkey", "possible_duplicate_of")
 
 
+@query("""
+with f as (select p_partkey, p_name || '|' || p_brand as fp, p_partkey % 2 as late from part),
+first_batch as (select fp, min(p_partkey) as least from f where late = 0 group by 1),
+stored as (select fp, min(p_partkey) as least from f group by 1)
+select p_partkey, case when least <> p_partkey then least end as possible_duplicate_of from f join first_batch using (fp) where late = 0
+union all
+select p_partkey, case when least <> p_partkey then least end from f join stored using (fp) where late = 1""")
+def duplicate_flag_batches(t: Tables):
+    """Two batches one after the other; the second one probes the least keys of the first."""
+    rows = t.part.select("p_partkey", F.concat_ws("|", "p_name", "p_brand").alias("fingerprint"))
+    one, two = (rows.where(F.col("p_partkey") % 2 == n) for n in (0, 1))
+    nothing = inc.least_keys(one.limit(0), "p_partkey")
+    stored = cut_lineage(inc.least_keys(one, "p_partkey"))
+    flagged = inc.flag_against(one, nothing, key="p_partkey").unionByName(inc.flag_against(two, stored, two.count(), key="p_partkey"))
+    return flagged.select("p_partkey", "possible_duplicate_of")
+
+
 @query(f"""
 with {LEADS_SQL}
 select source, match_key, count(*) as masters from merged group by all""")

@@ -129,6 +129,11 @@ def deaccent(t: Tables):
     return t.documents.select("doc_id", F.sha2(fn.deaccent(F.col("text")), 256).alias("text_hash"))
 
 
+@query("select doc_id, sha256(strip_accents(text)) as text_hash from documents")
+def deaccent_exact(t: Tables):
+    return t.documents.select("doc_id", F.sha2(fn.deaccent_exact(F.col("text")), 256).alias("text_hash"))
+
+
 @query("""
 select s_suppkey,
        case when s_nationkey % 5 = 0 then null

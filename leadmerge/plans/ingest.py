@@ -18,8 +18,8 @@ from leadmerge.functions import parse_cutoff
 from leadmerge.functions.times import as_instant
 from leadmerge.operators.canonical import canonical, with_fingerprint
 from leadmerge.operators.incremental import (
-    after_cutoff, classify_occurrences, jobs_to_enqueue, new_masters, newly_superseded,
-    omitted_count, possible_duplicates,
+    after_cutoff, classify_occurrences, flag_against, jobs_to_enqueue, least_keys, new_masters,
+    newly_superseded, omitted_count,
 )
 from leadmerge.operators.membership import PROBE_ROWS
 from leadmerge.operators.merge import merge_counts
@@ -107,10 +107,11 @@ def _ingest(
     )
     added = added.withColumn("created_at", now).withColumn("possible_duplicate_of", F.lit(None).cast("string"))
     if flag_duplicates:
-        added = _flag(added.drop("possible_duplicate_of"), masters_before)
+        added = flag_against(added.drop("possible_duplicate_of"), store.read("fingerprints").drop("run_id"), rows)
     store.write_run("masters", run_id, added)
 
     written = store.read_run("masters", run_id)
+    store.write_run("fingerprints", run_id, least_keys(written, "dedup_key"))
     late = newly_superseded(written, masters_before, rows, base=names.base, secondary=names.secondary)
     store.write_run("superseded", run_id, late.withColumn("superseded_at", now))
     wrote = side_by_side(
@@ -139,16 +140,6 @@ def _result(row: dict[str, Any]) -> dict[str, Any]:
     return {k: row[k] for k in kept}
 
 
-def _flag(added: DataFrame, stored: DataFrame) -> DataFrame:
-    """Fingerprint flag over stored and new masters, returned for the new ones."""
-    columns = ["dedup_key", "fingerprint"]
-    both = stored.select(*columns, F.lit(False).alias("_new")).unionByName(
-        added.select(*columns, F.lit(True).alias("_new"))
-    )
-    flags = possible_duplicates(both).where("_new").select("dedup_key", "possible_duplicate_of")
-    return added.join(flags, "dedup_key")
-
-
 def _enqueue(store: LeadStore, run_id: str, written: DataFrame, rows: int, cutoff: str, now) -> int:
     candidates = after_cutoff(written, parse_cutoff(cutoff))
     # Only the jobs of this batch's leads are folded; a small batch probes the log.

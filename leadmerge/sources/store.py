@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from leadmerge.operators.incremental import source_links
+from leadmerge.operators.incremental import least_keys, source_links
 from leadmerge.operators.latest import latest_per_key
 from leadmerge.operators.queue import current_jobs, current_status
 from leadmerge.session import prepare
@@ -49,6 +49,7 @@ SCHEMAS = {
     " author string, post_date string, previous_posts array<string>, raw string,"
     " collected_at timestamp, run_id string",
     "exports": "dedup_key string, context string, exported_at timestamp, run_id string",
+    "fingerprints": "fingerprint string, least_key string, run_id string",
     "superseded": "dedup_key string, match_key string, superseded_at timestamp, run_id string",
     "runs": "run_id string, kind string, source string, idempotency_key string,"
     " status string, started_at timestamp, finished_at timestamp, received bigint,"
@@ -68,6 +69,7 @@ FOLDS = {
     "status": lambda rows: latest_per_key(rows, ["dedup_key"], ["changed_at", "step"]),
     "jobs": lambda rows: current_jobs(rows),
     "sightings": _fold_sightings,
+    "fingerprints": least_keys,
 }
 # Tables of which every row counts: the folders of small runs are merged as they are.
 MERGED = ("raw", "masters", "results", "evidence", "exports", "superseded")

@@ -220,3 +220,13 @@ def test_verdict_decode(spark):
     assert [g and g.verdict for g in got] == ["GOOD", "GOOD", "BAD", None, None, None, None]
     assert got[1].opportunity_score == "88" and got[1].has_opening_keywords and got[1].red_flags == ["r"]
     assert got[2].key_factors is None and got[3] is None
+
+
+def test_exact_deaccent_of_every_character(spark):
+    import unicodedata
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = ["a" + "".join(map(chr, codes[i : i + 24])) + "z" for i in range(0, len(codes), 24)]
+    texts += ["e" + chr(0x301) + chr(c) for c in codes if unicodedata.combining(chr(c))] + ["", None]
+    want = [None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if not "\u0300" <= x <= "\u036f") for t in texts]
+    assert apply(spark, texts, fn.deaccent_exact) == want
