@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,13 @@ from leadmerge.llm.common import most_frequent, stage, texts_of
 
 #: The pre-token pattern of the byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters, or with a special token's string, go to the library whole.
+#: Texts of these characters are split by the pattern here, others by the library's own
+#: splitter: what newer scripts belong to depends on its version.
 PLAIN = r"^[\n\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{17f}]*$"
 #: Entries of the broadcast table (a few MB) and of a worker's cache.
 TABLE_ROWS, CACHE_ROWS = 65_536, 200_000
-#: Pre-tokens that one batch proposes for the table.
-PROPOSED = 20_000
+#: Pre-tokens that one task proposes for the table, and how many it counts meanwhile.
+PROPOSED, COUNTED = 20_000, 200_000
 
 
 class _Counter:
@@ -38,13 +40,16 @@ class _Counter:
         self.split = regex.compile(PRE_TOKEN).findall
         self.table, self.cache = table, {}
 
+    def library_split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def lengths(self, pieces: list[str]) -> np.ndarray:
+    def lengths(self, pieces: list[str], split: Callable[[str], list[str]] | None = None) -> np.ndarray:
         """Token counts of texts, each the sum over its pre-tokens."""
         table, cache = self.table, self.cache
-        parts = [self.split(p) for p in pieces]
+        parts = [(split or self.split)(p) for p in pieces]
         missing = list({t for ts in parts for t in ts if t not in table and t not in cache})
         if len(cache) + len(missing) > CACHE_ROWS:
             cache.clear()
@@ -67,19 +72,23 @@ def _spaced(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray
 
 def _count(counter: _Counter, texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts), np.int64)
-    plain = pc.match_substring_regex(texts, PLAIN)
+    special = pa.array(np.zeros(len(texts), bool))
     for mark in counter.special:
-        plain = pc.and_(plain, pc.invert(pc.match_substring(texts, mark)))
+        special = pc.or_(special, pc.match_substring(texts, mark))
+    known = pc.match_substring_regex(texts, PLAIN)
+    plain, other = pc.and_(known, pc.invert(special)), pc.invert(pc.or_(known, special))
     # A lone space always starts the next pre-token, so the text can be cut there;
     # between runs of white space it cannot.
     runs = pc.match_substring_regex(texts, r"[ \n]{2}")
-    odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    odd = np.flatnonzero(special.to_numpy(zero_copy_only=False))
     long = np.flatnonzero(pc.and_(plain, runs).to_numpy(zero_copy_only=False))
     even = np.flatnonzero(pc.and_(plain, pc.invert(runs)).to_numpy(zero_copy_only=False))
     if len(odd):
         out[odd] = counter.whole(texts.take(pa.array(odd)).to_pylist())
     for i in long:
         out[i] = counter.lengths([texts[int(i)].as_py()])[0]
+    for i in np.flatnonzero(other.to_numpy(zero_copy_only=False)):
+        out[i] = counter.lengths([texts[int(i)].as_py()], counter.library_split)[0]
     if len(even):
         offsets, pieces, first = _spaced(texts.take(pa.array(even)))
         index, names = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
@@ -96,21 +105,30 @@ def _count(counter: _Counter, texts: pa.Array) -> np.ndarray:
 def frequent_lengths(docs: DataFrame, path: str, *, text_col: str = "text", rows: int = TABLE_ROWS) -> dict[str, int]:
     """Lengths of the ``rows`` most frequent pre-tokens of all texts.
 
-    Each batch proposes its own most frequent ones with their counts, so what is added
-    up is a bounded list per batch and never the pre-tokens of the texts.
+    Each task counts with a bounded summary, of which the least go when it is full, and
+    proposes the most frequent ones with their counts. So what is added up is a bounded
+    list per task and never the pre-tokens of the texts.
     """
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(PRE_TOKEN).findall
+        found: Counter[str] = Counter()
+
+        def keep(most: int) -> None:
+            best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]
+            found.clear()
+            found.update(dict(best))
+
         for batch in batches:
             _, pieces, first = _spaced(texts_of(batch, text_col))
             counts = np.bincount(pieces.indices.to_numpy()[~first], minlength=len(pieces.dictionary))
-            found: dict[str, int] = {}
             for i in np.argsort(-counts, kind="stable")[: 2 * PROPOSED]:
                 for token in split(" " + pieces.dictionary[int(i)].as_py()):
-                    found[token] = found.get(token, 0) + int(counts[i])
-            best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:PROPOSED]
-            yield pa.RecordBatch.from_pydict({"token": [t for t, _ in best], "n": [n for _, n in best]})
+                    found[token] += int(counts[i])
+            if len(found) > COUNTED:
+                keep(COUNTED // 2)
+        keep(PROPOSED)
+        yield pa.RecordBatch.from_pydict({"token": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter(path, {})
@@ -135,8 +153,8 @@ def token_counts(
     open; counts are those of its ``encode`` without added special tokens, truncation
     or padding. The lengths of the most frequent pre-tokens are broadcast
     (``table_rows``, a fixed bound), the others are encoded once per worker and kept in
-    a bounded cache. Texts outside the plain Latin range and texts that hold a special
-    token's string are given to the library whole. A null or empty text has 0 bytes and
+    a bounded cache, for texts of any script. Texts that hold a special token's string are
+    given to the library whole. A null or empty text has 0 bytes and
     0 tokens. Other columns and ids are passed by; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -362,3 +362,21 @@ open({str(tmp_path / "x")!r}, "wb").write(cloudpickle.dumps(items))
     read = f"import pickle; x = pickle.load(open({str(tmp_path / 'x')!r}, 'rb')); import sys; assert 'leadmerge' not in sys.modules; print(list(x.occurrences(__import__('pyarrow').array(['a one two three four five six b']))))"
     got = subprocess.run([sys.executable, "-c", read], check=True, cwd=tmp_path, capture_output=True, text=True)
     assert "(0, 0, 0)" in got.stdout
+
+
+def test_token_counts_of_any_script(spark, monkeypatch):
+    """Every assigned character, in words and between them, through the tiers; summaries that overflow."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "COUNTED", 50)
+    monkeypatch.setattr(tokens, "PROPOSED", 20)
+    rng = random.Random(3)
+    chars = [chr(c) for c in range(9, 0x33480) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(c + rng.choice(("", "a", " ", "1", "!", "\t", "\r\n")) for c in chars[i : i + 400]) for i in range(0, len(chars), 400)]
+    texts += ["It’s “quoted” — and\ttabbed\r\n" * 20, "你好 " * 30, "Привет <|endoftext|> мир"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    library = Tokenizer.from_file(PATH)
+    want = {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(frame, PATH, table_rows=30).collect()} == want
