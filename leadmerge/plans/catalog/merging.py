@@ -262,21 +262,25 @@ def duplicate_flag_batches(t: Tables):
     return flagged.select("p_partkey", "possible_duplicate_of")
 
 
+# Files of one slice, written by as many tasks.
+SLICE_FILES = 32
+
+
 @query(f"""
 with {LEADS_SQL}
 select source, match_key, count(*) as masters from merged group by all""")
 def stream_ingest(t: Tables):
-    """Base files, then secondary files in two slices, each as a stream of batches."""
+    """Base files, then secondary files in two slices, each as a stream of batches of some files."""
     spark, root = t.spark, work_path(t.spark, "stream")
     store = LeadStore(spark, f"{root}/state")
     own_phone = F.map_filter("raw_payload", lambda k, v: k != "Secondary Contact ")
     landing = (("base", base_payloads(t), 1), ("secondary", secondary_payloads(t), 2))
     for name, rows, slices in landing:
         items = rows.select("source", own_phone.alias("raw_payload"))
-        items.repartition(slices).write.parquet(f"{root}/{name}")
-        stream = item_stream(spark, f"{root}/{name}", fmt="parquet", max_files=1)
+        items.repartition(slices * SLICE_FILES).write.parquet(f"{root}/{name}")
+        stream = item_stream(spark, f"{root}/{name}", fmt="parquet", max_files=SLICE_FILES)
         start_ingest(stream, store, f"{root}/checkpoint-{name}", name=f"leads-{name}").awaitTermination()
     # A new checkpoint delivers the same batches again under the same numbers.
-    start_ingest(item_stream(spark, f"{root}/base", fmt="parquet", max_files=1), store, f"{root}/checkpoint-again", name="leads-base").awaitTermination()
+    start_ingest(item_stream(spark, f"{root}/base", fmt="parquet", max_files=SLICE_FILES), store, f"{root}/checkpoint-again", name="leads-base").awaitTermination()
     masters = store.read("masters")
     return masters.groupBy("source", "match_key").agg(F.count("*").alias("masters"))

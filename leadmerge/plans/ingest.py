@@ -25,6 +25,7 @@ from leadmerge.operators.membership import PROBE_ROWS
 from leadmerge.operators.merge import merge_counts
 from leadmerge.operators.onerow import side_by_side
 from leadmerge.operators.queue import current_jobs
+from leadmerge.session import dealt
 from leadmerge.sources.store import LeadStore, keyed_by, utc_now
 
 COUNTS = ("received", "inserted", "updated", "duplicates", "errors", "omitted", "jobs_created")
@@ -90,7 +91,7 @@ def _ingest(
         F.when(~known, F.concat(F.lit("unknown source "), F.coalesce("source", F.lit("null"))))
         .when(F.col("raw_payload").isNull(), F.lit("row is not an object"))
     )
-    parsed = canonical(items.select("source", "raw_payload", problem.alias("problem")), **mapping)
+    parsed = canonical(dealt(items.select("source", "raw_payload", problem.alias("problem"))), **mapping)
     staged = store.stage(run_id, with_fingerprint(parsed))
     received, errors = staged.agg(F.count("*"), F.count("problem")).first()
     samples = [r.problem for r in staged.where("problem is not null").limit(ERROR_SAMPLES).collect()]
@@ -209,7 +210,7 @@ def ingest_sources(
 
 def replay(store: LeadStore, *, names: Names = Names(), **mapping) -> tuple[DataFrame, DataFrame]:
     """Recompute canonical rows from the stored payloads: ``(base, secondary)``."""
-    rows = canonical(store.raw(("source", "raw_payload")), **mapping)
+    rows = canonical(dealt(store.raw(("source", "raw_payload"))), **mapping)
     return rows.where(F.col("source") == names.base), rows.where(F.col("source") == names.secondary)
 
 

@@ -51,3 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores.
+
+    For work that costs far more per row than the row has bytes: a scan is cut by bytes,
+    so that a well compressed file would be worked off by one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

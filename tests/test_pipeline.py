@@ -354,3 +354,12 @@ def test_failed_batch_is_logged_and_can_be_repeated(spark, tmp_path):
     assert {r.kind for r in store.runs().where("status = 'FAILED' and not startswith(run_id, 'cleared-')").collect()} == {"validate"}
     assert run_validation(store, spark.createDataFrame([], "dedup_key string, response_json string, error string"), as_of=dt.datetime(2020, 1, 1)) >= 0
     assert not [n for n in store._names("stage")]
+
+
+def test_a_batch_of_one_scan_task_is_parsed_by_all_cores(spark, store, monkeypatch):
+    staged, stage = [], LeadStore.stage
+    monkeypatch.setattr(LeadStore, "stage", lambda self, run, rows: staged.append(rows.rdd.getNumPartitions()) or stage(self, run, rows))
+    batch = base_items(spark, [A_BASE, B_BASE, D_BASE, {**A_BASE}]).coalesce(1)
+    done = ingest(store, batch, as_of=DAY1)
+    assert (done["received"], done["inserted"]) == (4, 3)
+    assert staged[0] >= spark.sparkContext.defaultParallelism > 1
