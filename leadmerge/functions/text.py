@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -20,6 +21,8 @@ SPACES = (
     + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is computed once per row.
@@ -93,28 +96,9 @@ def deaccent(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, source, target)).otherwise(c)
 
 
-@lru_cache(maxsize=1)
-def _beyond_table() -> str:
-    """Pattern of the characters that :func:`deaccent` does not treat exactly: several
-    letters in one, and marks that change places with others. Derived like the table."""
-    source, target = _accent_table()
-    known = dict(zip(source, target + "\0" * (len(source) - len(target))))
-    found: list[list[int]] = []
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or 0x300 <= code <= 0x36F:
-            continue
-        char = chr(code)
-        if known.get(char, char) != bare(char) or unicodedata.combining(char):
-            if found and found[-1][1] == code - 1:
-                found[-1][1] = code
-            else:
-                found.append([code, code])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in found) + "]"
-
-
 def bare(text: str) -> str:
     """Canonical decomposition without the combining marks U+0300-U+036F."""
-    return "".join(x for x in unicodedata.normalize("NFD", text) if not 0x300 <= ord(x) <= 0x36F)
+    return _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def _bare_all(texts: pd.Series) -> pd.Series:
@@ -124,12 +108,12 @@ def _bare_all(texts: pd.Series) -> pd.Series:
 def deaccent_exact(c: Column) -> Column:
     """The whole canonical decomposition without accents, for texts of any script.
 
-    Only texts with characters beyond the table of :func:`deaccent` go to Python, in
-    Arrow batches; the others cross as nulls.
+    Only texts that are not ASCII go to Python, in Arrow batches; the others cross as
+    nulls. A pattern of all characters beyond the table of :func:`deaccent` would try its
+    hundreds of ranges one after the other at every character.
     """
     decomposed = F.pandas_udf(_bare_all, "string")
-    beyond = c.rlike(_beyond_table())
-    return F.coalesce(decomposed(F.when(beyond, c)), deaccent(c))
+    return F.coalesce(decomposed(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def clean_email(c: Column) -> Column:

@@ -230,3 +230,8 @@ def test_exact_deaccent_of_every_character(spark):
     texts += ["e" + chr(0x301) + chr(c) for c in codes if unicodedata.combining(chr(c))] + ["", None]
     want = [None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if not "\u0300" <= x <= "\u036f") for t in texts]
     assert apply(spark, texts, fn.deaccent_exact) == want
+
+
+def test_exact_deaccent_has_no_pattern_of_hundreds_of_ranges(spark):
+    plan = spark.range(1).select(fn.deaccent_exact(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 1000
