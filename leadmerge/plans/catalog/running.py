@@ -63,13 +63,22 @@ def _headed_files(t: Tables, breaks: bool) -> str:
     return path
 
 
-def _one_file(t: Tables, lines: list[DataFrame]) -> str:
-    """One large file of all lines in order, as a sender would drop it."""
+# Keys per large file: as many blocks each, written by a task of its own.
+LARGE_KEYS = 1_000_000
+
+
+def _large_part():
+    return F.floor(F.col("o_orderkey") / LARGE_KEYS).alias("part")
+
+
+def _large_files(t: Tables, lines: list[DataFrame]) -> str:
+    """Large files of all lines ``(part, value)``, one per part, in the order of the frames."""
     path = work_path(t.spark, "large")
-    whole = lines[0]
-    for more in lines[1:]:
-        whole = whole.unionAll(more)
-    whole.coalesce(1).write.text(path)
+    whole = lines[0].withColumn("place", F.lit(0))
+    for i, more in enumerate(lines[1:], 1):
+        whole = whole.unionByName(more.withColumn("place", F.lit(i)))
+    dealt = whole.repartition("part").sortWithinPartitions("part", "place")
+    dealt.select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
@@ -120,9 +129,9 @@ def csv_scan_split(t: Tables):
 
 @query(LINES_SQL)
 def csv_scan_large(t: Tables):
-    """One file with line breaks in cells, read block by block."""
-    header = t.spark.createDataFrame([(HEADER,)], "value string")
-    path = _one_file(t, [header, order_lines(t, True)])
+    """Large files with line breaks in cells, read block by block."""
+    part = _large_part()
+    path = _large_files(t, [t.orders.select(part).distinct().withColumn("value", F.lit(HEADER)), order_lines(t, True, part)])
     return _line_cells(_in_blocks(t, path, lambda: files.read_rows(t.spark, path, "MFULL")))
 
 
@@ -169,7 +178,7 @@ def _counts(t: Tables, runs: dict[str, dict], names=("received", "inserted", "du
 @query("select 'NFULL' as source, c_custkey as rec_id, c_name as name from customer"
        " union all select case o_orderkey % 2 when 0 then 'NFULL' else 'MFULL' end, o_orderkey, o_orderpriority from orders")
 def pushed_batches(t: Tables):
-    """Bodies of one source, and one mixed body of a whole table, read block by block."""
+    """Bodies of one source, and large mixed bodies of a whole table, read block by block."""
     one, key = work_path(t.spark, "one"), F.floor(F.col("c_custkey") / 5000).alias("part")
     bodies = t.customer.groupBy(key).agg(F.collect_list(_json_row("c_custkey", "c_name")).alias("rows"))
     bodies.select("part", F.to_json(F.struct("rows")).alias("value")).write.partitionBy("part").text(one)
@@ -185,18 +194,21 @@ def _json_row(key: str, name: str):
 
 
 def _mixed_body(t: Tables, orders: DataFrame, source=None) -> str:
-    """One body with an entry per order; the smallest key comes first."""
+    """Large bodies with an entry per order; the smallest key of a body comes first."""
     source = F.when(F.col("o_orderkey") % 2 == 0, "NFULL").otherwise("MFULL") if source is None else source
     entry = F.to_json(F.struct(source.alias("source"), _json_row("o_orderkey", "o_orderpriority").alias("row")))
-    first = orders.agg(F.min("o_orderkey")).first()[0]
-    head = orders.where(F.col("o_orderkey") == first).select(F.concat(F.lit('{"pushed": "now", "rows": ['), entry).alias("value"))
-    rest = orders.where(F.col("o_orderkey") != first).select(F.concat(F.lit(","), entry).alias("value"))
-    return _one_file(t, [head, rest, t.spark.createDataFrame([("]}",)], "value string")])
+    part = _large_part()
+    firsts = orders.where("o_orderkey is not null").groupBy(part).agg(F.min("o_orderkey").alias("first"))
+    entries = orders.select(part, "o_orderkey", entry.alias("value")).join(F.broadcast(firsts), "part")
+    is_first = F.col("o_orderkey") == F.col("first")
+    head = entries.where(is_first).select("part", F.concat(F.lit('{"pushed": "now", "rows": ['), "value").alias("value"))
+    rest = entries.where(~is_first).select("part", F.concat(F.lit(","), "value").alias("value"))
+    return _large_files(t, [head, rest, firsts.select("part", F.lit("]}").alias("value"))])
 
 
 @query("select 'none' as bad, false as rejected, count(*) as entries from orders union all select 'source', true, 0 union all select 'cells', true, 0")
 def rejected_batches(t: Tables):
-    """One entry of an unknown source, or without cells, rejects the body of a whole table."""
+    """One entry of an unknown source, or without cells, rejects the bodies of a whole table."""
     last = t.orders.agg(F.max("o_orderkey")).first()[0]
     is_last, rows = F.col("o_orderkey") == last, []
     for bad, source, orders in (

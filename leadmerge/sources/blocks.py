@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leadmerge.session import cut_lineage
 
@@ -26,24 +26,52 @@ _WHOLE, _HEAD, _OPEN = 0, 1, 2
 _RECORD = "file string, block long, row long, kind int, before long, after long, text string"
 
 
-def pieces(spark: SparkSession, path: str | list[str], separator: str, quotes, outside, inside) -> DataFrame:
-    """``(file, block, value, q, d0, d1)`` in file order within each block.
-
-    ``quotes(value)`` counts the quotes of a piece, ``outside(value)`` and
-    ``inside(value)`` the brackets it opens less those it closes if it starts outside or
-    inside quotes.
-    """
+def pieces(spark: SparkSession, path: str | list[str], separator: str) -> DataFrame:
+    """``(file, block, value)`` in file order within each block."""
     text = spark.read.option("lineSep", separator).text(path)
-    value = F.col("value")
     return text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.make_valid_utf8("value").alias("value"),
-    ).select("file", "block", "value", *[f(value).cast("int").alias(n) for f, n in ((quotes, "q"), (outside, "d0"), (inside, "d1"))])
+    )
+
+
+_OPENED = np.zeros(256, np.int8)
+_OPENED[[ord("["), ord("{")]], _OPENED[[ord("]"), ord("}")]] = 1, -1
 
 
-def count_of(value: Column, characters: str) -> Column:
-    """How many of ``characters`` a text holds, each one byte long."""
-    return F.octet_length(value) - F.octet_length(F.translate(value, characters, ""))
+def _counts(values: pa.Array, nested: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quotes of each piece, and the brackets it opens less those it closes if it starts
+    outside or inside quotes.
+
+    ``nested`` is JSON: brackets count, and a character behind a backslash does not.
+    """
+    n = len(values)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + n + 1].astype(np.int64)
+    data = values.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    quotes = data == ord('"')
+    signs = _OPENED[data] if nested else None
+    if nested:
+        # A character is escaped behind an odd number of backslashes of its piece.
+        first = np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        after = np.flatnonzero((data[:-1] == ord("\\")) & (quotes[1:] | (signs[1:] != 0)) & ~first[1:-1]) + 1
+        for place in after.tolist():
+            run = place - 1
+            while not first[run] and data[run - 1] == ord("\\"):
+                run -= 1
+            if (place - run) % 2:
+                quotes[place], signs[place] = False, 0
+    so_far = np.concatenate([[0], np.cumsum(quotes)])
+    q = np.diff(so_far[offsets])
+    if not nested:
+        return q, np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = np.flatnonzero(signs)
+    piece = np.searchsorted(offsets, at, "right") - 1
+    inside = (so_far[at] - so_far[offsets[piece]]) % 2 == 1
+    d0, d1 = (np.bincount(piece[k], signs[at[k]], n).astype(np.int64) for k in (~inside, inside))
+    return q, d0, d1
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
@@ -57,15 +85,15 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
         yield files.dictionary[int(code[start])].as_py(), int(block[start]), batch.slice(start, stop - start)
 
 
-def _walk(run: pa.RecordBatch, odd: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(counts: tuple[np.ndarray, np.ndarray, np.ndarray], odd: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Inside quotes or not, and open brackets, behind each piece."""
-    q, d0, d1 = (run.column(c).to_numpy().astype(np.int64) for c in ("q", "d0", "d1"))
+    q, d0, d1 = counts
     after = (odd + np.cumsum(q)) & 1
     before = np.concatenate([[odd], after[:-1]])
     return after, depth + np.cumsum(np.where(before == 1, d1, d0))
 
 
-def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_up(batches: Iterator[pa.RecordBatch], nested: bool) -> Iterator[pa.RecordBatch]:
     """One row per block: its quotes, and its change of depth from either start."""
     key, state = None, [0, 0, 0, 0]
     names = ["file", "block", "q", "d0", "d1"]
@@ -79,16 +107,17 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     yield row()
                 key, state = (file, block), [0, 1, 0, 0]
-            a, x = _walk(run, state[0], state[2])
-            b, y = _walk(run, state[1], state[3])
+            counts = _counts(run.column("value"), nested)
+            a, x = _walk(counts, state[0], state[2])
+            b, y = _walk(counts, state[1], state[3])
             state = [int(a[-1]), int(b[-1]), int(x[-1]), int(y[-1])]
     if key is not None:
         yield row()
 
 
-def block_states(parts: DataFrame) -> DataFrame:
+def block_states(parts: DataFrame, nested: bool) -> DataFrame:
     """``(file, block, odd, depth, odd_after, depth_after)``: the state at both ends of each block."""
-    sums = parts.select("file", "block", "q", "d0", "d1").mapInArrow(_sum_up, "file string, block long, q long, d0 long, d1 long")
+    sums = parts.mapInArrow(lambda batches: _sum_up(batches, nested), "file string, block long, q long, d0 long, d1 long")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     known = sums.withColumn("odd", before("q") % 2).withColumn("d", F.when(F.col("odd") == 1, F.col("d1")).otherwise(F.col("d0")))
@@ -97,8 +126,9 @@ def block_states(parts: DataFrame) -> DataFrame:
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], separator: str, limit: int, wanted: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Records of the blocks: whole ones, ends of an earlier block's, and unfinished ones."""
+def _cut(batches: Iterator[pa.RecordBatch], separator: str, limit: int, nested: bool, wanted: tuple[int, ...], below: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Records of the blocks: whole ones, ends of an earlier block's, and unfinished ones;
+    of the whole ones those that begin with less than ``below`` open brackets."""
     key = None
     odd = depth = rows = begun = 0
     clean = False  # whether a record has begun in this block
@@ -123,10 +153,10 @@ def _cut(batches: Iterator[pa.RecordBatch], separator: str, limit: int, wanted:
                 key, waiting, rows = (file, block), [], 0
                 odd, depth = int(run.column("odd")[0].as_py()), int(run.column("depth")[0].as_py())
                 clean, begun = odd == 0 and depth <= limit, depth
-            inside, depths = _walk(run, odd, depth)
+            values = run.column("value")
+            inside, depths = _walk(_counts(values, nested), odd, depth)
             odd, depth = int(inside[-1]), int(depths[-1])
             ends = np.flatnonzero((inside == 0) & (depths <= limit))
-            values = run.column("value")
             if not len(ends):
                 waiting += values.to_pylist()
                 continue
@@ -137,7 +167,7 @@ def _cut(batches: Iterator[pa.RecordBatch], separator: str, limit: int, wanted:
                 kinds[0] = _HEAD
             long_ = starts != ends
             long_[0] |= bool(waiting)
-            kept = np.isin(kinds, wanted)
+            kept = np.isin(kinds, wanted) & (True if below is None else before < below)
             if kept.any():
                 texts = values.take(pa.array(ends[kept]))
                 several = np.flatnonzero(long_[kept])
@@ -154,15 +184,16 @@ def _cut(batches: Iterator[pa.RecordBatch], separator: str, limit: int, wanted:
         yield from left()
 
 
-def records(parts: DataFrame, separator: str, limit: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``(file, block, row, before, after, text)`` of all records, and the states of the blocks.
+def records(parts: DataFrame, separator: str, limit: int = 0, *, nested: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(file, block, row, before, after, text)`` of all records, the same of those that
+    begin with less than ``limit`` open brackets, and the states of the blocks.
 
     A record ends at a separator outside quotes with at most ``limit`` open brackets, or
-    with its file; ``before`` and ``after`` are the open brackets at its ends. Blocks are
-    those of the file scan: the scan's settings must be the same when the result is
+    with its file; ``before`` and ``after`` are the open brackets at its ends, which count
+    in ``nested`` text, that is JSON. Blocks are those of the file scan: the scan's settings must be the same when the result is
     computed, else the job fails.
     """
-    states = cut_lineage(block_states(parts))
+    states = cut_lineage(block_states(parts, nested))
     size = states.agg(F.coalesce(F.sum(F.octet_length("file") + 48), F.lit(0))).first()[0]
     changed = F.raise_error(F.lit("the blocks of the files are not those that were counted")).cast("long")
 
@@ -174,11 +205,14 @@ def records(parts: DataFrame, separator: str, limit: int = 0) -> tuple[DataFrame
         return numbered.join(known, ["file", "block"], how).sortWithinPartitions("file", "block", "line")
 
     every = with_state(parts, states, "left").withColumn("odd", F.coalesce("odd", changed))
-    whole = every.mapInArrow(lambda batches: _cut(batches, separator, limit, (_WHOLE,)), _RECORD)
+    whole, outer = (
+        every.mapInArrow(lambda batches, below=below: _cut(batches, separator, limit, nested, (_WHOLE,), below), _RECORD).drop("kind")
+        for below in (None, limit)
+    )
     torn = states.where((F.col("odd") == 1) | (F.col("depth") > limit) | (F.col("odd_after") == 1) | (F.col("depth_after") > limit))
     if torn.isEmpty():
-        return whole.drop("kind"), states
-    ends = with_state(parts, torn, "inner").mapInArrow(lambda batches: _cut(batches, separator, limit, (_HEAD, _OPEN)), _RECORD)
+        return whole, outer, states
+    ends = with_state(parts, torn, "inner").mapInArrow(lambda batches: _cut(batches, separator, limit, nested, (_HEAD, _OPEN)), _RECORD)
     ends = cut_lineage(ends)
     # A head goes to the last block before it that left a record open.
     so_far = Window.partitionBy("file").orderBy("block", "kind")
@@ -191,4 +225,4 @@ def records(parts: DataFrame, separator: str, limit: int = 0) -> tuple[DataFrame
              F.max_by("after", "block").alias("after"), F.array_join(texts, separator).alias("text"))
         .select("file", F.col("owner").alias("block"), "row", "before", "after", "text")
     )
-    return whole.drop("kind").unionByName(joined), states
+    return whole.unionByName(joined), outer.unionByName(joined.where(F.col("before") < limit)), states

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from leadmerge.sources.blocks import count_of, pieces, records
+from leadmerge.sources.blocks import pieces, records
 from leadmerge.sources.grids import grid_rows
 
 MAX_COLUMNS = 64
@@ -64,9 +64,7 @@ def read_cells(
     missing, and cells beyond ``max_columns`` + 1 are not read.
     """
     if multiline:
-        none = lambda value: F.lit(0)
-        lines = pieces(spark, path, "\n", lambda value: count_of(value, '"'), none, none)
-        found, _ = records(lines, "\n")
+        found, *_ = records(pieces(spark, path, "\n"), "\n")
         cells = found.select("file", "block", "row", "text").mapInArrow(_record_cells, "file string, block long, row long, cells array<string>")
         return cells.select(F.col("file").alias("grid_id"), F.struct("block", "row").alias("row_idx"), "cells")
     names = [f"_c{i}" for i in range(max_columns + 1)]

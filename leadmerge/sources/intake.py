@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadmerge.contract import SOURCES
 from leadmerge.session import cut_lineage
-from leadmerge.sources.blocks import count_of, pieces, records
+from leadmerge.sources.blocks import pieces, records
 
 ROWS_SCHEMA = "rows array<map<string,string>>"
 MIXED_SCHEMA = "rows array<struct<source:string,row:map<string,string>>>"
@@ -23,21 +23,6 @@ class BatchRejected(ValueError):
     """A pushed batch that must not be ingested at all."""
 
 
-def _unescaped(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?s)\\.", "")
-
-
-def _depth(value: Column) -> Column:
-    """Brackets that JSON text opens less those it closes, if it starts outside a string."""
-    bare = F.regexp_replace(_unescaped(value), r'(?s)"[^"]*+(?:"|$)', "")
-    return count_of(bare, "[{") - count_of(bare, "]}")
-
-
-def _depth_inside(value: Column) -> Column:
-    """The same, if it starts inside a string."""
-    return _depth(F.regexp_replace(_unescaped(value), r'(?s)^[^"]*+(?:"|$)', ""))
-
-
 def body_entries(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
     """``(file, text)``: the entries of the list ``rows`` of each body, as JSON text.
 
@@ -45,13 +30,13 @@ def body_entries(spark: SparkSession, path: str | list[str]) -> DataFrame | None
     holds more than one entry. Null if a body has other lists or objects beside
     ``rows``: those have to be read whole. A file without a byte is no body.
     """
-    parts = pieces(spark, path, ",", lambda v: count_of(_unescaped(v), '"'), _depth, _depth_inside)
-    found, states = records(parts, ",", limit=2)
+    found, outer, states = records(pieces(spark, path, ","), ",", limit=2, nested=True)
     before, after, text = F.col("before"), F.col("after"), F.col("text")
     opens = ((before == 0) & text.rlike(_OPENING[0])) | ((before == 1) & text.rlike(_OPENING[1]))
-    units = found.withColumn("opens", opens).withColumn("other", (before < 2) & (after >= 2) & ~F.col("opens"))
+    units = found.withColumn("opens", opens)
     ends = states.groupBy("file").agg(F.max_by(F.struct("odd_after", "depth_after"), "block").alias("end"))
-    unit_counts = units.groupBy("file").agg(
+    # Only what lies outside the list decides whether it is a body.
+    unit_counts = outer.withColumn("opens", opens).withColumn("other", (before < 2) & (after >= 2) & ~F.col("opens")).groupBy("file").agg(
         F.count_if("opens").alias("lists"), F.count_if("other").alias("others"), F.count_if(before == 0).alias("tops")
     )
     facts = ends.join(unit_counts, "file", "left").agg(

@@ -266,3 +266,35 @@ def test_bodies_that_are_rejected_or_read_whole(spark, tmp_path):
     good = write(tmp_path / "z.json", '{"rows": [{"source": "NFULL", "row": {"a": "1"}}]}')
     with pytest.raises(intake.BatchRejected):
         intake.read_mixed_batch(spark, [good, write(tmp_path / "y.json", '{"rows": [{"source": "NFULL", "row": {"a": "1"}}, {"source": "OTHER", "row": {}}]}')])
+
+
+def test_pieces_are_counted_as_json_text_says():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from leadmerge.sources.blocks import _counts
+
+    def depth(text):
+        bare = re.sub(r'"[^"]*(?:"|$)', "", text)
+        return sum(bare.count(c) for c in "[{") - sum(bare.count(c) for c in "]}")
+
+    random.seed(5)
+    for _ in range(300):
+        values = ["".join(random.choice('ab"\\\\[]{}\u00e9\n') for _ in range(random.randrange(10))) for _ in range(random.randrange(1, 9))]
+        skip = random.randrange(len(values))
+        plain = [re.sub(r"(?s)\\.", "", v) for v in values[skip:]]
+        want = [(v.count('"'), depth(v), depth(re.sub(r'^[^"]*(?:"|$)', "", v))) for v in plain]
+        part = pa.array(values, pa.string()).slice(skip)
+        assert list(zip(*(c.tolist() for c in _counts(part, True)))) == want
+        assert _counts(part, False)[0].tolist() == [v.count('"') for v in values[skip:]]
+
+
+def test_the_check_of_a_body_makes_no_text_of_its_entries(spark, tmp_path):
+    path = tmp_path / "body"
+    path.write_text('{"pushed": "now", "rows": [' + ", ".join(f'{{"a": "{i}"}}' for i in range(500)) + "]}")
+    from leadmerge.sources.blocks import pieces, records
+
+    every, outer, _ = records(pieces(spark, str(path), ","), ",", limit=2, nested=True)
+    assert every.count() == 501 and outer.count() == 2
