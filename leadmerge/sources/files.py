@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from leadmerge.functions.text import bind
 from leadmerge.sources.blocks import pieces, records
 from leadmerge.sources.grids import grid_rows
 
@@ -68,7 +69,9 @@ def read_cells(
         cells = found.select("file", "block", "row", "text").mapInArrow(_record_cells, "file string, block long, row long, cells array<string>")
         return cells.select(F.col("file").alias("grid_id"), F.struct("block", "row").alias("row_idx"), "cells")
     names = [f"_c{i}" for i in range(max_columns + 1)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # One column more than is read: to a reader that picks columns a short row is no
+    # malformed record, each of which would cost an exception.
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_beyond"]])
     lines = (
         spark.read.schema(schema)
         .option("quote", '"')
@@ -77,8 +80,9 @@ def read_cells(
         .csv(path)
     )
     # The reader gives null for a missing and for an unquoted empty cell.
-    width = F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), F.lit(i + 1)) for i, n in enumerate(names)])
-    cells = F.slice(F.transform(F.array(*names), lambda c: F.coalesce(c, F.lit(""))), F.lit(1), width)
+    filled = lambda cell, i: F.when(cell.isNotNull(), i + 1)
+    width = lambda row: F.coalesce(F.array_max(F.transform(row, filled)), F.lit(0))
+    cells = bind(F.array(*names), lambda row: F.transform(F.slice(row, F.lit(1), width(row)), lambda c: F.coalesce(c, F.lit(""))))
     return lines.select(
         F.col("_metadata.file_path").alias("grid_id"),
         # Splits of one file may be read in any order: block first, then row.

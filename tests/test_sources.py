@@ -298,3 +298,12 @@ def test_the_check_of_a_body_makes_no_text_of_its_entries(spark, tmp_path):
 
     every, outer, _ = records(pieces(spark, str(path), ","), ",", limit=2, nested=True)
     assert every.count() == 501 and outer.count() == 2
+
+
+def test_short_rows_are_no_malformed_records_of_the_reader(spark, tmp_path):
+    path = write(tmp_path / "short.csv", 'Key,Note\n1\n\n2,"a, b",c\n,,\n3,x"y\n')
+    cells = files.read_cells(spark, path, multiline=False, max_columns=2)
+    scan = cells._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.requiredSchema().size() == 3 < scan.relation().dataSchema().size()
+    want = [["Key", "Note"], ["1"], ["2", "a, b", "c"], [], ["3", 'x"y']]
+    assert [r.cells for r in cells.orderBy("row_idx").collect()] == want
