@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,59 @@ def test_baum_welch_counts_against_enumeration():
     assert better.log10(offsets, flat).sum() >= model.log10(offsets, flat).sum()
 
 
+def test_hmm_cuts_texts_into_words_twice(spark, docs, tmp_path, monkeypatch):
+    """Once to count the words, once for all rounds and scores, however many rounds there are."""
+    plain, seen = hmm.word_lists, str(tmp_path / "seen")
+
+    def counted(texts):
+        with open(seen, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return plain(texts)
+
+    monkeypatch.setattr(hmm, "word_lists", counted)
+    got = hmm.hmm_scores(docs, rounds=3).collect()
+    with open(seen) as f:
+        assert sum(map(int, f)) == len(got) + sum(not r.held_out for r in got)
+
+
+def test_hmm_sequences_and_endings():
+    rng = np.random.default_rng(2)
+    lengths = [1, 7, 1, 0, 900]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    sequence = rng.integers(0, hmm.OWN_WORDS + hmm.ENDINGS + 1, offsets[-1]).astype(hmm.CODE)
+    column = hmm.packed(offsets, sequence)
+    got = hmm.unpacked(column)
+    assert (got[0] == offsets).all() and (got[1] == sequence).all()
+    got = hmm.unpacked(column.slice(1, 3))
+    assert got[0].tolist() == [0, 7, 8, 8] and (got[1] == sequence[1:9]).all()
+    assert [len(x) for x in hmm.unpacked(column.slice(0, 0))] == [1, 0]
+    words = ["a", "of", "the", "endings", "größe", "größe", "x你好", "😀"]
+    assert hmm.endings(pa.array(words)).tolist() == [zlib.crc32(w[-3:].encode()) % hmm.ENDINGS for w in words]
+    assert hmm.endings(pa.array([], pa.string())).tolist() == []
+
+
+def test_recursions_with_tiny_emissions():
+    """Scaling every few steps only: nothing underflows, whatever step a sequence ends at."""
+    rng = np.random.default_rng(3)
+    k = hmm.STATES
+    emit = rng.dirichlet(np.ones(6), k).T * 1e-40
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), emit)
+    sequences = [rng.integers(0, 6, n) for n in (1, 2, 3, 4, 5, 255, 256, 257, 1001)]
+    offsets, flat = np.concatenate([[0], np.cumsum([len(s) for s in sequences])]), np.concatenate(sequences).astype(hmm.CODE)
+    for sequence, log in zip(sequences, model.log10(offsets, flat)):
+        state, want = model.start, 0.0
+        for i, s in enumerate(sequence):
+            state = (state if i == 0 else state @ model.move) * model.emit[s]
+            want += math.log10(state.sum())
+            state = state / state.sum()
+        assert math.isclose(want, log, rel_tol=1e-12)
+    counts = hmm.Counts(model)
+    counts.add(offsets, flat)
+    pieces = sum(-(-len(s) // hmm.PIECE) for s in sequences)
+    assert np.allclose(counts.emit.sum(axis=1), np.bincount(flat, minlength=6))
+    assert math.isclose(counts.start.sum(), pieces) and math.isclose(counts.move.sum(), len(flat) - pieces)
+
+
 def test_toxicity_on_held_out_rows(spark):
     import random
 
